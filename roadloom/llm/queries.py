@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions.frames import table
-from roadloom.llm import repair
+from roadloom.llm import mixing, packing, repair, spans
 from roadloom.operators.multivalue import values_column
 
 
@@ -40,8 +40,45 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(entries.filter(F.col("highway_class") == repair.UNMATCHED), "highway").groupBy("text").agg(F.sum("n_edges").alias("n_edges"), F.round(F.max("score"), 6).alias("best_score"))
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    """The container sizes; a fixed table of a few rows (more than 1,000 are refused)."""
+    rows = table(spark, sf_dir, "pack_capacities", "spec_id", "capacity_tokens").limit(1_001).collect()
+    if len(rows) > 1_000:
+        raise ValueError("too many container sizes for one pass")
+    return [(r.spec_id, r.capacity_tokens) for r in rows]
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents", "doc_id", "text"), _capacities(spark, sf_dir))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container size: containers used, the fewest possible by tokens alone, and the share of them filled."""
+    placed = p6_pack(spark, sf_dir).groupBy("spec_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("piece") > 0).alias("cuts"))
+    sizes = table(spark, sf_dir, "pack_capacities", "spec_id", "capacity_tokens")
+    return placed.join(sizes, "spec_id").select("spec_id", "capacity_tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), "tokens", "cuts", (F.col("tokens") / F.col("containers") / F.col("capacity_tokens")).alias("filled"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = mixing.sized(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixing.mixture(held, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = mixing.sized(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixing.shares(held, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_amounts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_unmatched)}
+    return {f.__name__: f for f in (p4_found, p4_unmatched, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
