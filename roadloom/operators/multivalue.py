@@ -171,7 +171,7 @@ def values_column(column: Column, known: Iterable[str] = (), delimiters: str = D
         return pd.Series([done[c] if c >= 0 else [] for c in codes], index=texts.index)
 
     split.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(split, "array<string>")(column)
+    return F.pandas_udf(split, "array<string>").asNondeterministic()(column)  # else a filter on the result runs it a second time
 
 
 def may_hold_several(column: Column, delimiters: str = DELIMITERS) -> Column:
