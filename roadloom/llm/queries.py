@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import table
+from roadloom.functions.frames import stored, table
 from roadloom.llm import mixing, packing, repair, spans
 from roadloom.operators.multivalue import values_column
 
@@ -24,6 +24,7 @@ def _free_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     names = sorted({n for n, _ in reference.forms})
     edges = table(spark, sf_dir, "edges", "edge_id", "highway").filter(F.col("highway").isNotNull() & ~F.col("highway").isin(names))
     single = edges.select("highway").distinct().select("highway", values_column(F.col("highway")).alias("values")).filter(F.size("values") == 1).select("highway", F.col("values")[0].alias("text"))
+    single = stored(single)  # a row per distinct text: what follows reads it several times
     mapped = repair.map_values(single, "text", reference)
     return edges, single, single.join(mapped, "text").select("highway", "text", F.col("entry").alias("highway_class"), "score")
 
