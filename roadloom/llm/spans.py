@@ -226,30 +226,54 @@ def candidate_segments(texts: DataFrame, least: int = LEAST, gram: int = GRAM, c
     return texts.mapInArrow(run, SEGMENT)
 
 
-WINDOW = "wa bigint, wb bigint, d0 bigint, d1 bigint, doc bigint, pos int, own boolean"
+SLICE = "doc bigint, first int, n int, d0 bigint, d1 bigint, own boolean, piece string"
 
 
-def _windows(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """The windows of the wanted segments (doc, first, n, d0, d1, own) with their hashes."""
+def _slices(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """The wanted segments (doc, first, n, d0, d1, own) with their stretches of text."""
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "d0", "d1", "own")).alias("list"))  # bounded by the document's own segments
     both = texts.join(per_doc, "doc").select("doc", "text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in SLICE.split(", ")]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
         for batch in batches:
+            rows = []
             for doc, x, items in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                points = code_points(x.as_py())
-                n = np.asarray([i["n"] for i in items], dtype=np.int64)
-                first = np.asarray([i["first"] for i in items], dtype=np.int64)
-                fits = first + n + least - 1 <= len(points)  # a second text under one id is no place of these segments
-                items = [i for i, ok in zip(items, fits.tolist()) if ok]
-                n, first = n[fits], first[fits]
-                pos = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hashes = [mix(stretch_hash(prefix_sums(points, b), pos, pos + least, b)).view(np.int64) for b in "ab"]
-                d0, d1 = (np.repeat(np.asarray([i[k] for i in items], dtype=np.int64), n) for k in ("d0", "d1"))
-                own = np.repeat(np.asarray([i["own"] for i in items], dtype=bool), n)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(d0), pa.array(d1), pa.array(np.full(len(pos), doc, dtype=np.int64)), pa.array(pos.astype(np.int32)), pa.array(own)], names=[f.split()[0] for f in WINDOW.split(", ")])
+                text = x.as_py()
+                for i in items:
+                    end = i["first"] + i["n"] + least - 1
+                    if end <= len(text):  # a second text under one id may be shorter: it is no place of this segment
+                        rows.append((doc, i["first"], i["n"], i["d0"], i["d1"], i["own"], text[i["first"] : end]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+
+    return both.mapInArrow(run, SLICE)
+
 
-    return both.mapInArrow(run, WINDOW)
+def _windows(slices: DataFrame, least: int, places: bool) -> DataFrame:
+    """The windows of the slices by their hashes: (wa, wb, doc, pos) of the own ones, or else (wa, wb, d0, d1) of all."""
+    schema = "wa bigint, wb bigint, doc bigint, pos int" if places else "wa bigint, wb bigint, d0 bigint, d1 bigint"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = [code_points(x.as_py()) for x in batch.column(6)]
+            n = batch.column(2).to_numpy()
+            size = n + least - 1
+            start = np.cumsum(size) - size
+            at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            whole = np.concatenate(points)
+            hashes = [pa.array(mix(stretch_hash(prefix_sums(whole, b), at, at + least, b)).view(np.int64)) for b in "ab"]
+            repeat = lambda k: np.repeat(batch.column(k).to_numpy(), n)
+            if places:
+                rest = [pa.array(repeat(0)), pa.array((repeat(1) + at - np.repeat(start, n)).astype(np.int32))]
+            else:
+                rest = [pa.array(repeat(3)), pa.array(repeat(4))]
+            yield pa.RecordBatch.from_arrays([*hashes, *rest], names=names)
+
+    return (slices.filter("own") if places else slices).mapInArrow(run, schema)
 
 
 def shared_windows(documents: DataFrame, least: int = LEAST, gram: int | None = None, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS, rows: int = ROWS) -> DataFrame:
@@ -264,9 +288,9 @@ def shared_windows(documents: DataFrame, least: int = LEAST, gram: int | None =
     unsettled = stretch.join(mixed, "low")
     single = found.join(unsettled.filter("d0 = d1").select(*key), key, "left_semi").select("doc", "first", "n", F.col("doc").alias("d0"), F.col("doc").alias("d1"), F.lit(True).alias("own"))
     known = unsettled.filter("d0 < d1").select(F.col("d0").alias("doc"), "at.first", "at.n", "d0", "d1", F.lit(False).alias("own"))
-    windows = stored(_windows(texts, single.unionByName(known), least))
-    twice = windows.groupBy("wa", "wb").agg(F.min("d0").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("wa", "wb")
-    edges = windows.filter("own").join(twice, ["wa", "wb"], "left_semi").select("doc", F.col("pos").alias("first"), F.lit(1).alias("n")).distinct()
+    slices = stored(_slices(texts, single.unionByName(known), least))
+    twice = _windows(slices, least, False).groupBy("wa", "wb").agg(F.min("d0").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("wa", "wb")
+    edges = _windows(slices, least, True).join(twice, ["wa", "wb"], "left_semi").select("doc", F.col("pos").alias("first"), F.lit(1).alias("n"))
     return settled.unionByName(edges)
 
 
