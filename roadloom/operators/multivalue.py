@@ -75,24 +75,19 @@ class Segmenter:
         return bool(quote)
 
     def _quoted(self, text: str, at: int) -> int:
-        """Where the quoted atom that starts at `at` ends (after its quote), or -1."""
+        """Where the quoted atom that starts at `at` ends (after its quote), or -1 if nothing closes it. A doubled quote stays inside."""
         q, k, n = text[at], at + 1, len(text)
         while k < n:
             if text[k] == q:
-                if k + 1 < n and text[k + 1] == q and not self._closes(text, k + 1, at):
+                if k + 1 < n and text[k + 1] == q:
                     k += 2
                     continue
-                if k + 1 < n and text[k + 1] == q and k == at + 1 and not self._closes(text, k + 1, k):
-                    k += 2
-                    continue
-                return k + 1 if self._closes(text, k, at) else -1
+                return k + 1 if self._closes(text, k) else -1
             k += 1
         return -1
 
-    def _closes(self, text: str, k: int, at: int) -> bool:
+    def _closes(self, text: str, k: int) -> bool:
         """Nothing but white space between the quote at k and the next delimiter or the end."""
-        if k == at:
-            return False
         k += 1
         while k < len(text) and text[k].isspace() and text[k] not in self.delimiters:
             k += 1
@@ -175,9 +170,9 @@ def values_column(column: Column, known: Iterable[str] = (), delimiters: str = D
 
 
 def may_hold_several(column: Column, delimiters: str = DELIMITERS) -> Column:
-    """JVM-side test that no text of two or more values fails."""
+    """JVM-side test that every text of two or more values passes: it holds a delimiter. One look at each character."""
     inside = "".join("\\" + d if d in "\\^]-[&|" else d for d in delimiters)
-    return column.rlike(f"[^\\s{inside}][\\s\\S]*[{inside}][\\s\\S]*[^\\s{inside}]")
+    return column.rlike(f"[{inside}]")
 
 
 def explode_values(
