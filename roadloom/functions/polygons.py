@@ -101,10 +101,9 @@ def orientation(ax, ay, bx, by, cx, cy) -> np.ndarray:
     ax, ay, bx, by, cx, cy = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (ax, ay, bx, by, cx, cy)))
     left, right = (ax - cx) * (by - cy), (ay - cy) * (bx - cx)
     det = left - right
-    sign = np.sign(det)
+    sign = np.array(np.sign(det))
     unsure = np.abs(det) <= 3.4e-16 * (np.abs(left) + np.abs(right))
     if unsure.any():
-        sign = sign.copy()
         for k in zip(*np.nonzero(unsure)) if unsure.ndim else [()]:
             a, b, c, d, e, f = (Fraction(float(v[k])) for v in (ax, ay, bx, by, cx, cy))
             exact = (a - e) * (d - f) - (b - f) * (c - e)

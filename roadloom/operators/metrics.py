@@ -57,7 +57,7 @@ def densities(multigraph: DataFrame, nodes: DataFrame, areas: DataFrame) -> Data
     e = multigraph.groupBy("city").agg(F.count("*").alias("n_links"))
     d = network.degrees(multigraph, nodes).groupBy("city").agg(F.sum("degree").alias("degree_sum"))
     out = n.join(e, "city", "left").join(d, "city", "left").join(areas, "city", "left").na.fill(0, ["n_links", "degree_sum"])
-    return out.select("city", "n_nodes", "n_links", "area_km2", (F.col("n_nodes") / F.col("area_km2")).alias("node_density"), (F.col("n_links") / F.col("area_km2")).alias("link_density"), (F.col("degree_sum") / F.col("n_nodes")).alias("average_degree"), "degree_sum", (F.col("degree_sum") == 2 * F.col("n_links")).alias("degree_edge_check"))
+    return out.select("city", "n_nodes", "n_links", "area_km2", F.try_divide("n_nodes", "area_km2").alias("node_density"), F.try_divide("n_links", "area_km2").alias("link_density"), F.try_divide("degree_sum", "n_nodes").alias("average_degree"), "degree_sum", (F.col("degree_sum") == 2 * F.col("n_links")).alias("degree_edge_check"))
 
 
 def closeness(sums: DataFrame, populations: DataFrame) -> DataFrame:
@@ -125,8 +125,8 @@ def rank_correlation(pairs: DataFrame, x: str, y: str, key: str = "city") -> Dat
         return counts.select(key, c, (below + (F.col("n") + 1) / 2).alias(name))
 
     both = pairs.join(ranked(x, "rx"), [key, x]).join(ranked(y, "ry"), [key, y])
-    rho = F.when((F.count("*") >= 3) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry"))
-    return both.groupBy(key).agg(F.count("*").alias("n"), rho.alias("rho"))
+    sums = both.groupBy(key).agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
+    return sums.select(key, "n", F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def hierarchy_clarity(betweenness: DataFrame, simple: DataFrame) -> DataFrame:

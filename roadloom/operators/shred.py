@@ -80,6 +80,8 @@ def shred(payload: str | None, wanted: Callable[[str, str], bool] | None = None)
     todo = [("", top, 0, [(0, 0, root)])]
     while todo:
         at, path, depth, entries = todo.pop()
+        if at and (wanted is None or wanted(at, "")):  # an unnamed leaf, so that elements without attributes have levels too
+            out[f"{at}/@"] = ([e[0] for e in entries], [e[1] for e in entries], [None] * len(entries))
         for a in path.attrs:
             if wanted is None or wanted(at, a):
                 out[f"{at}/@{a}"] = ([e[0] for e in entries], [e[1] + (e[2] is not None and a in e[2][2]) for e in entries], [e[2][2].get(a) if e[2] is not None else None for e in entries])
@@ -164,20 +166,20 @@ def _road_leaves(at: str, attr: str) -> bool:
     """The leaves that the child tables of the map records need (projection pushed into the shredding)."""
     steps = at.split("/")
     if steps[-1] in RECORDS:
-        return attr == "id"
+        return attr in ("", "id")
     for child, (_, attrs) in KEYS.items():
         own = child.split("/")
         if len(steps) > len(own) and steps[-len(own) :] == own and steps[-len(own) - 1] in RECORDS:
-            return attr in attrs
+            return not attr or attr in attrs
     return False
 
 
 def _elements(shredding: dict[str, Column], tagged: str | None) -> Iterator[tuple[str, str | None, str, str]]:
     """(kind, id, child path, child key) of the children of every record; tagged: only records with a tag of that k."""
     for kind in RECORDS:
-        for path in {p for p in {leaf.rpartition("/@")[0] for leaf in shredding} if p.rpartition("/")[2] == kind} | {leaf.rpartition("/@")[0].rpartition("/")[0] for leaf in shredding if leaf.rpartition("/@")[0].rpartition("/")[0].rpartition("/")[2] == kind}:
+        for path in paths_of(shredding, kind):
             head = rebuild(shredding, path)
-            ids = dict(zip(head["parent"].tolist(), head["id"].tolist())) if head else {}
+            ids = dict(zip(head["parent"].tolist(), head["id"].tolist())) if "id" in head else {}
             tags = rebuild(shredding, path, "tag")
             chosen = None
             if tagged is not None:
@@ -239,7 +241,7 @@ def element_children(df: DataFrame, payload: str = "payload", key: str = "extrac
 
 def elements(df: DataFrame, payload: str = "payload", key: str = "extract_id") -> DataFrame:
     """One row per node, way or relation with its attributes: (key, kind, id, path, attributes map), document paths kept."""
-    columns = shredded(df.select(df[f"`{key}`"].alias("__key"), df[f"`{payload}`"].alias("__doc")), "__doc", lambda at, a: at.rpartition("/")[2] in RECORDS, keep=["__key"])
+    columns = shredded(df.select(df[f"`{key}`"].alias("__key"), df[f"`{payload}`"].alias("__doc")), "__doc", lambda at, _: at.rpartition("/")[2] in RECORDS, keep=["__key"])
     kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("attributes", T.MapType(T.StringType(), T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +254,7 @@ def elements(df: DataFrame, payload: str = "payload", key: str = "extract_id") -
                     for name in RECORDS:
                         for path in paths_of(shredding, name):
                             rows = rebuild(shredding, path)
-                            attrs = [a for a in rows if a != "parent"]
+                            attrs = [a for a in rows if a not in ("parent", "")]
                             for k in range(len(rows["parent"])):
                                 held = [(a, rows[a][k]) for a in attrs if rows[a][k] is not None]
                                 origin.append(row)

@@ -117,7 +117,7 @@ def full_vs_lcc(spark, d):
     names = ["n_nodes", "n_links", "node_density", "link_density", "average_degree"]
     both = full.select("city", *[F.col(c).cast("double").alias(f"full_{c}") for c in names]).join(part.select("city", *[F.col(c).cast("double").alias(f"part_{c}") for c in names]), "city")
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(f"full_{c}").alias("full_value"), F.col(f"part_{c}").alias("lcc_value")) for c in names])).alias("r")
-    pct = F.round(100 * F.abs(F.col("r.lcc_value") - F.col("r.full_value")) / F.abs(F.col("r.full_value")), 6)
+    pct = F.round(F.try_divide(100 * F.abs(F.col("r.lcc_value") - F.col("r.full_value")), F.abs(F.col("r.full_value"))), 6)
     return both.select("city", rows).select("city", "r.measure", F.round("r.full_value", 6).alias("full_value"), F.round("r.lcc_value", 6).alias("lcc_value"), pct.alias("pct_difference"))
 
 

@@ -27,7 +27,7 @@ _LCC = """size AS (SELECT city, component, count(*) AS n_nodes FROM cc GROUP BY
 best AS (SELECT city, component FROM size QUALIFY row_number() OVER (PARTITION BY city ORDER BY n_nodes DESC, component) = 1),
 lcc AS (SELECT cc.city, cc.node_id FROM cc JOIN best USING (city, component)),
 lmu AS (SELECT mu.* FROM mu JOIN lcc ON lcc.city = mu.city AND lcc.node_id = mu.lo)"""
-_AREA = "area AS (SELECT city, count(DISTINCT (CAST(floor(x / 500) AS BIGINT), CAST(floor(y / 500) AS BIGINT))) * 0.25 AS area_km2 FROM nd WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY city)"
+_AREA = "area AS (SELECT city, count(DISTINCT (CAST(floor(x / 500) AS BIGINT), CAST(floor(y / 500) AS BIGINT))) * CAST(0.25 AS DOUBLE) AS area_km2 FROM nd WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY city)"
 _WITH, _REC = f"WITH {_BASE}", f"WITH RECURSIVE {_BASE},\n{_SYM}"
 
 
@@ -229,11 +229,11 @@ SELECT city, measure, round(CAST(a AS DOUBLE), 6) AS full_value, round(CAST(b AS
     "built_up": f"{_GRID} SELECT l.city, any_value(n_rows * n_cols) AS n_cells, count(*) FILTER (c >= 0.005) AS n_built_up, round(sum(area), 2) AS building_area_m2 FROM lim l JOIN cov USING (city) GROUP BY l.city",
     "coverage_describe": f"{_GRID} SELECT city, count(*) AS n, round(avg(c), 9) AS mean, round(stddev_samp(c), 9) AS sd, round(min(c), 9) AS least, round(quantile_cont(c, 0.25), 9) AS q25, round(quantile_cont(c, 0.5), 9) AS q50, round(quantile_cont(c, 0.75), 9) AS q75, round(max(c), 9) AS most FROM cov WHERE c > 0 GROUP BY city",
     "cell_components": f"{_GRIDREC} SELECT city, grid_id, component_id FROM built",
-    "component_stats": f"{_GRIDREC} SELECT city, component_id, count(*) AS cell_count, count(*) * 0.25 AS component_area_km2, round(sum(area), 2) AS building_area_m2, round(avg(c), 6) AS mean_building_coverage, round(median(c), 6) AS median_building_coverage, round(avg(center_x), 3) AS centroid_x, round(avg(center_y), 3) AS centroid_y FROM built GROUP BY city, component_id",
+    "component_stats": f"{_GRIDREC} SELECT city, component_id, count(*) AS cell_count, count(*) * CAST(0.25 AS DOUBLE) AS component_area_km2, round(sum(area), 2) AS building_area_m2, round(avg(c), 6) AS mean_building_coverage, round(median(c), 6) AS median_building_coverage, round(avg(center_x), 3) AS centroid_x, round(avg(center_y), 3) AS centroid_y FROM built GROUP BY city, component_id",
     "component_gaps": f"{_GRIDREC} SELECT a.city, a.component_id AS component_a, b.component_id AS component_b, round(min({_GAP}), 6) AS gap_km FROM built a JOIN built b ON a.city = b.city AND a.component_id < b.component_id WHERE {_GAP} <= 1.0 GROUP BY a.city, a.component_id, b.component_id",
-    "extent_selection": f"{_GRIDREC},\n{_EXTENT} SELECT x.city, p.component_id, s.ids AS selected_component_ids, s.n AS n_components, x.n AS extent_cells, x.n * 0.25 AS extent_area_km2, round(sqrt(pow(x.mx - ctr.x, 2) + pow(x.my - ctr.y, 2)) / 1000, 6) AS distance_to_city_center_km FROM (SELECT city, count(*) AS n, avg(center_x) AS mx, avg(center_y) AS my FROM ext GROUP BY city) x JOIN prim p USING (city) JOIN (SELECT city, count(*) AS n, string_agg(CAST(component_id AS VARCHAR), ',' ORDER BY component_id) AS ids FROM sel GROUP BY city) s USING (city) JOIN ctr USING (city)",
+    "extent_selection": f"{_GRIDREC},\n{_EXTENT} SELECT x.city, p.component_id, s.ids AS selected_component_ids, s.n AS n_components, x.n AS extent_cells, x.n * CAST(0.25 AS DOUBLE) AS extent_area_km2, round(sqrt(pow(x.mx - ctr.x, 2) + pow(x.my - ctr.y, 2)) / 1000, 6) AS distance_to_city_center_km FROM (SELECT city, count(*) AS n, avg(center_x) AS mx, avg(center_y) AS my FROM ext GROUP BY city) x JOIN prim p USING (city) JOIN (SELECT city, count(*) AS n, string_agg(CAST(component_id AS VARCHAR), ',' ORDER BY component_id) AS ids FROM sel GROUP BY city) s USING (city) JOIN ctr USING (city)",
     "urban_core": f"{_GRIDREC},\n{_EXTENT} SELECT city, grid_id, round(c, 6) AS building_coverage, round(t, 6) AS core_threshold FROM core",
-    "extent_report": f"{_GRIDREC},\n{_EXTENT} SELECT l.city, l.n_rows * l.n_cols AS grid_cells, b.n AS built_up_cells, round(b.a / 1e6, 6) AS building_area_km2, e.n AS extent_cells, round(e.n * 0.25, 6) AS extent_area_km2, round(e.m, 6) AS mean_coverage, round(e.md, 6) AS median_coverage, k.n AS core_cells, round(k.n * 0.25, 6) AS core_area_km2, round(k.t, 6) AS core_threshold FROM lim l JOIN (SELECT city, count(*) FILTER (c >= 0.005) AS n, sum(area) AS a FROM cov GROUP BY city) b USING (city) JOIN (SELECT city, count(*) AS n, avg(c) AS m, median(c) AS md FROM ext GROUP BY city) e USING (city) JOIN (SELECT city, count(*) AS n, min(t) AS t FROM core GROUP BY city) k USING (city)",
+    "extent_report": f"{_GRIDREC},\n{_EXTENT} SELECT l.city, l.n_rows * l.n_cols AS grid_cells, b.n AS built_up_cells, round(b.a / 1e6, 6) AS building_area_km2, e.n AS extent_cells, round(e.n * CAST(0.25 AS DOUBLE), 6) AS extent_area_km2, round(e.m, 6) AS mean_coverage, round(e.md, 6) AS median_coverage, k.n AS core_cells, round(k.n * CAST(0.25 AS DOUBLE), 6) AS core_area_km2, round(k.t, 6) AS core_threshold FROM lim l JOIN (SELECT city, count(*) FILTER (c >= 0.005) AS n, sum(area) AS a FROM cov GROUP BY city) b USING (city) JOIN (SELECT city, count(*) AS n, avg(c) AS m, median(c) AS md FROM ext GROUP BY city) e USING (city) JOIN (SELECT city, count(*) AS n, min(t) AS t FROM core GROUP BY city) k USING (city)",
     "alt_core_support": f"{_GRID}, q AS (SELECT city, greatest(0.02, quantile_cont(c, 0.75)) AS k, quantile_cont(c, 0.5) AS m FROM cov WHERE c > 0 GROUP BY city), q2 AS (SELECT city, k, least(k, greatest(0.01, m)) AS s FROM q) SELECT city, round(any_value(k), 9) AS core_threshold, round(any_value(s), 9) AS support_threshold, count(*) FILTER (c >= k) AS n_core, count(*) FILTER (c >= s) AS n_support FROM cov JOIN q2 USING (city) GROUP BY city",
     "extent_outline": f"{_GRIDREC},\n{_EXTENT}, e AS (SELECT city, 'h' AS k, row AS a, col AS b FROM ext UNION ALL SELECT city, 'h', row + 1, col FROM ext UNION ALL SELECT city, 'v', col, row FROM ext UNION ALL SELECT city, 'v', col + 1, row FROM ext), o AS (SELECT city, k, a, b FROM e GROUP BY city, k, a, b HAVING count(*) = 1) SELECT city, count(*) AS n_edges, CAST(count(*) * 500.0 AS DOUBLE) AS perimeter_m FROM o GROUP BY city",
     "utm_inverse": f"WITH {_NODES}, loc AS (SELECT * FROM nd WHERE x IS NOT NULL AND y IS NOT NULL), {_degrees('loc')} SELECT city, node_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM deg",
