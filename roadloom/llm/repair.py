@@ -143,7 +143,8 @@ def token_matches(distinct: DataFrame, reference: Reference) -> DataFrame:
     for w in sorted(reference.places):
         s = skeleton(w)
         words += [(w, s, d) for d in deletions(s, allowed(len(s)))]
-        words += [(w, s, "^" + s[:k]) for k in range(max(5, len(s) - 4), len(s))]
+        if w in reference.idf:  # a single word; the start of a run may well be a whole word itself
+            words += [(w, s, "^" + s[:k]) for k in range(max(5, len(s) - 4), len(s))]
     vocabulary = spark.createDataFrame(pd.DataFrame(words, columns=["word", "word_skeleton", "part"]), "word string, word_skeleton string, part string")
     pairs = distinct.select("token").mapInPandas(expand, "token string, skeleton string, part string").join(vocabulary, "part").select("token", "skeleton", "word", "word_skeleton", F.startswith("part", F.lit("^")).alias("cut")).groupBy("token", "skeleton", "word", "word_skeleton").agg(F.max("cut").alias("cut"))
 
