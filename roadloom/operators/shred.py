@@ -210,6 +210,26 @@ def _bigint(text: str | None) -> int | None:
     return value if value is not None and -(2**63) <= value < 2**63 else None
 
 
+def _tables(df: DataFrame, payload: str, key: str, fields: list[T.StructField], kinds: list[pa.DataType], wanted: Callable[[str, str], bool], make: Callable[[dict[str, Column]], Iterable[tuple]]) -> DataFrame:
+    """key and the fields of every row that make() rebuilds from the columns of a payload, which don't leave the task."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *fields])
+    rows = spread(df).select(df[f"`{key}`"].alias("__key"), df[f"`{payload}`"].cast("string").alias("__doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 256):
+                origin: list[int] = []
+                out: list[tuple] = []
+                for row, doc in enumerate(part.column(1)):
+                    made = list(dict.fromkeys(make(shred(doc.as_py(), wanted))))
+                    origin.extend([row] * len(made))
+                    out += made
+                cells = zip(*out) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(origin, pa.int64())), *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def element_children(df: DataFrame, payload: str = "payload", key: str = "extract_id", tagged: str | None = "highway") -> DataFrame:
     """Child rows (key, parent_kind, parent_id, child_path, child_key) of the node, way and relation elements at any depth.
 
@@ -217,50 +237,22 @@ def element_children(df: DataFrame, payload: str = "payload", key: str = "extrac
     per repeated ancestor and child; repeated elements of one id give distinct rows once. An element without a whole
     number as id has a null parent_id; a missing attribute counts as empty in child_key.
     """
-    columns = shredded(df.select(df[f"`{key}`"].alias("__key"), df[f"`{payload}`"].alias("__doc")), "__doc", _road_leaves, keep=["__key"])
-    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("parent_kind", T.StringType()), T.StructField("parent_id", T.LongType()), T.StructField("child_path", T.StringType()), T.StructField("child_key", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, 128):
-                out: list[list] = [[] for _ in range(5)]
-                origin: list[int] = []
-                for row, cells in enumerate(part.column("columns").to_pylist()):
-                    shredding = {c["path"]: (c["reps"], c["defs"], c["vals"]) for c in cells}
-                    for item in dict.fromkeys(_elements(shredding, tagged)):
-                        origin.append(row)
-                        out[1].append(item[0])
-                        out[2].append(_bigint(item[1]))
-                        out[3].append(item[2])
-                        out[4].append(item[3])
-                keys = part.column("__key").take(pa.array(origin, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=[key, "parent_kind", "parent_id", "child_path", "child_key"])
-
-    return columns.mapInArrow(run, kind)
+    fields = [T.StructField("parent_kind", T.StringType()), T.StructField("parent_id", T.LongType()), T.StructField("child_path", T.StringType()), T.StructField("child_key", T.StringType())]
+    make = lambda columns: ((kind, _bigint(i), path, child) for kind, i, path, child in _elements(columns, tagged))
+    return _tables(df, payload, key, fields, [pa.string(), pa.int64(), pa.string(), pa.string()], _road_leaves, make)
 
 
 def elements(df: DataFrame, payload: str = "payload", key: str = "extract_id") -> DataFrame:
-    """One row per node, way or relation with its attributes: (key, kind, id, path, attributes map), document paths kept."""
-    columns = shredded(df.select(df[f"`{key}`"].alias("__key"), df[f"`{payload}`"].alias("__doc")), "__doc", lambda at, _: at.rpartition("/")[2] in RECORDS, keep=["__key"])
-    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("attributes", T.MapType(T.StringType(), T.StringType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, 128):
-                out: list[list] = [[] for _ in range(4)]
-                origin: list[int] = []
-                for row, cells in enumerate(part.column("columns").to_pylist()):
-                    shredding = {c["path"]: (c["reps"], c["defs"], c["vals"]) for c in cells}
-                    for name in RECORDS:
-                        for path in paths_of(shredding, name):
-                            rows = rebuild(shredding, path)
-                            attrs = [a for a in rows if a not in ("parent", "")]
-                            for k in range(len(rows["parent"])):
-                                held = [(a, rows[a][k]) for a in attrs if rows[a][k] is not None]
-                                origin.append(row)
-                                for o, v in zip(out, (name, _bigint(dict(held).get("id")), path, held), strict=True):
-                                    o.append(v)
-                keys = part.column("__key").take(pa.array(origin, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.map_(pa.string(), pa.string()))], names=[key, "kind", "id", "path", "attributes"])
-
-    return columns.mapInArrow(run, kind)
+    """One row per distinct node, way or relation with its attributes: (key, kind, id, path, attributes map), document paths kept."""
+
+    def make(columns: dict[str, Column]) -> Iterator[tuple]:
+        for name in RECORDS:
+            for path in paths_of(columns, name):
+                rows = rebuild(columns, path)
+                attrs = [a for a in rows if a not in ("parent", "")]
+                for k in range(len(rows["parent"])):
+                    held = tuple((a, rows[a][k]) for a in attrs if rows[a][k] is not None)
+                    yield name, _bigint(dict(held).get("id")), path, held
+
+    fields = [T.StructField("kind", T.StringType()), T.StructField("id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("attributes", T.MapType(T.StringType(), T.StringType()))]
+    return _tables(df, payload, key, fields, [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())], lambda at, _: at.rpartition("/")[2] in RECORDS, make)
