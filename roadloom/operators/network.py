@@ -7,6 +7,8 @@ Nothing is gathered on the driver; loops cut their lineage by checkpoint().
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +66,48 @@ def degrees(multigraph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return ends if nodes is None else nodes.select("city", "node_id").join(ends, ["city", "node_id"], "left").na.fill(0, ["degree"])
 
 
-def components(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(city, node_id, component): connected components by label hooking and pointer jumping.
-
-    Each round hooks a node and its label's owner to the smallest label around it and then follows the labels one step,
-    which takes a number of rounds logarithmic in the component's diameter. Labels are stored after each round.
+def joined_labels(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest id of the component of each), over the ids that occur."""
+    ids = np.unique(np.concatenate([lo, hi]))
+    a, b = np.searchsorted(ids, lo), np.searchsorted(ids, hi)
+    top = np.arange(len(ids))
+    while True:
+        ra, rb = top[a], top[b]
+        apart = ra != rb
+        if not apart.any():
+            return ids, ids[top]
+        a, b = a[apart], b[apart]
+        np.minimum.at(top, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while True:
+            up = top[top]
+            if (up == top).all():
+                break
+            top = up
+
+
+#: Pairs of one group that one task may hold: three columns of numbers, some 200 MB with their copies.
+MOST_PAIRS = 5_000_000
+
+
+def components(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 64, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """(city, node_id, component): connected components.
+
+    If no city has more than most_pairs pairs (they are counted first), each city's pairs are joined in one task. Otherwise
+    labels hook and jump over the whole table: each round hooks a node and its label's owner to the smallest label around it
+    and then follows the labels one step, which takes a number of rounds logarithmic in the diameter. Labels are stored
+    after each round.
     """
-    both = stored(symmetric(pairs.select("city", "lo", "hi").distinct()))
+    pairs = stored(pairs.select("city", "lo", "hi"))
+    most = pairs.groupBy("city").count().agg(F.max("count")).first()[0] or 0
+    if most <= most_pairs:
+
+        def join(own: pa.Table) -> pa.Table:
+            ids, top = joined_labels(own.column("lo").to_numpy(), own.column("hi").to_numpy())
+            return pa.table({"city": pa.array([own.column("city")[0].as_py()] * len(ids), pa.string()), "node_id": pa.array(ids, pa.int64()), "component": pa.array(top, pa.int64())})
+
+        found = pairs.select(F.col("city").cast("string"), "lo", "hi").groupBy("city").applyInArrow(join, "city string, node_id bigint, component bigint")
+        return nodes.select("city", "node_id").join(found, ["city", "node_id"], "left").select("city", "node_id", F.coalesce("component", "node_id").alias("component"))
+    both = stored(symmetric(pairs.distinct()))
     labels = nodes.select("city", "node_id", F.col("node_id").alias("label"))
     near = both.groupBy("city", "a").agg(F.min("b").alias("m"))
     labels = stored(labels.join(near, [labels.city == near.city, labels.node_id == near.a], "left").select(labels.city, "node_id", F.least("label", "m").alias("label")))

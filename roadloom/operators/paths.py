@@ -1,14 +1,13 @@
 """Shortest paths from sampled sources.
 
 A city's graph goes, as its edge list, to every batch of its sources (one cogrouped task per batch: no driver, no
-broadcast), where a numpy breadth-first search or a binary-heap Dijkstra runs over compressed adjacency. Only sums per
+broadcast), where a numpy breadth-first search or a bucketed shortest-path search runs over compressed adjacency. Only sums per
 source leave the task unless the distances themselves are wanted. A city must fit one task, which is checked: beyond
 `most_edges` edges hop distances run as a frontier join and weighted ones as a relaxing join, round by round.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -49,26 +48,48 @@ class Csr:
             dist[front] = level
         return dist
 
-    def lists(self) -> list[list[tuple[int, float]]]:
-        to, w, start = self.to.tolist(), self.w.tolist(), self.start.tolist()
-        return [list(zip(to[start[k] : start[k + 1]], w[start[k] : start[k + 1]])) for k in range(len(self.ids))]
-
-
-def dijkstra(adjacent: list[list[tuple[int, float]]], source: int) -> np.ndarray:
-    """Distances from a node index, inf where unreachable."""
-    dist = [float("inf")] * len(adjacent)
-    dist[source] = 0.0
-    heap = [(0.0, source)]
-    while heap:
-        d, k = heapq.heappop(heap)
-        if d > dist[k]:
-            continue
-        for j, w in adjacent[k]:
-            n = d + w
-            if n < dist[j]:
-                dist[j] = n
-                heapq.heappush(heap, (n, j))
-    return np.asarray(dist)
+    def edges_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in at, position in to) of all edges out of the nodes at."""
+        sizes = self.start[at + 1] - self.start[at]
+        which = np.repeat(np.arange(len(at)), sizes)
+        return which, np.repeat(self.start[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(which))
+
+    def distances(self, sources: np.ndarray) -> np.ndarray:
+        """Distances from node indexes, one row each, inf where unreachable: bucket by bucket of path length, all sources at once.
+
+        A node is settled once no shorter sum of lengths along a path exists, so the result is that of Dijkstra's algorithm.
+        """
+        n, k = len(self.ids), len(sources)
+        d = np.full(k * n, np.inf)
+        waiting = np.arange(k) * n + sources
+        d[waiting] = 0.0
+        width = 4.0 * float(self.w.mean()) if len(self.w) else 1.0
+        limit = width
+        while len(waiting):
+            near = d[waiting] <= limit
+            now, later = waiting[near], [waiting[~near]]
+            while len(now):
+                node = now % n
+                which, edge = self.edges_of(node)
+                target = (now - node)[which] + self.to[edge]
+                far = d[now][which] + self.w[edge]
+                better = far < d[target]
+                target, far = target[better], far[better]
+                np.minimum.at(d, target, far)
+                target = np.unique(target)
+                close = d[target] <= limit
+                now = target[close]
+                later.append(target[~close])
+            waiting = np.unique(np.concatenate(later))
+            waiting = waiting[d[waiting] > limit]  # the others were reached and settled within this bucket
+            limit = max(limit + width, float(d[waiting].min()) + width) if len(waiting) else limit
+        return d.reshape(k, n)
+
+    def rows(self, sources: np.ndarray, most: int = 4_000_000):
+        """(source index, distances) one by one, as many at once as fit in `most` cells."""
+        step = max(1, most // max(1, len(self.ids)))
+        for a in range(0, len(sources), step):
+            yield from zip(sources[a : a + step].tolist(), self.distances(sources[a : a + step]))
 
 
 def batched(sources: DataFrame, size: int) -> DataFrame:
@@ -130,11 +151,10 @@ def path_lengths(pairs: DataFrame, sources: DataFrame, size: int = 32, most_edge
 
     def kernel(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         g = Csr(edges["lo"].to_numpy(), edges["hi"].to_numpy(), edges["length"].to_numpy(), own["node_id"].to_numpy())
-        adjacent, parts = g.lists(), []
-        for s in own["node_id"].to_numpy():
-            d = dijkstra(adjacent, int(np.searchsorted(g.ids, s)))
+        parts = []
+        for k, d in g.rows(np.searchsorted(g.ids, own["node_id"].to_numpy())):
             ok = np.isfinite(d)
-            parts.append(pd.DataFrame({"city": own["city"].iloc[0], "source": s, "target": g.ids[ok], "d": d[ok]}))
+            parts.append(pd.DataFrame({"city": own["city"].iloc[0], "source": g.ids[k], "target": g.ids[ok], "d": d[ok]}))
         return pd.concat(parts)
 
     return per_batch(pairs.select("city", "lo", "hi", "length"), sources, kernel, LENGTHS, size)
@@ -191,15 +211,13 @@ def path_sums(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int
         xy = np.full((len(g.ids), 2), np.nan)
         for end in ("lo", "hi"):
             xy[np.searchsorted(g.ids, edges[end].to_numpy())] = edges[[f"{end}_x", f"{end}_y"]].to_numpy(dtype=float)
-        adjacent, rows = g.lists(), []
-        for s in own["node_id"].to_numpy():
-            k = int(np.searchsorted(g.ids, s))
-            d = dijkstra(adjacent, k)
+        rows = []
+        for k, d in g.rows(np.searchsorted(g.ids, own["node_id"].to_numpy())):
             ok = np.isfinite(d)
             ok[k] = False
             straight = np.hypot(*(xy[ok] - xy[k]).T)
             seen = straight > 0
-            rows.append((own["city"].iloc[0], int(s), int(ok.sum()), float(d[ok].sum()), float((1 / d[ok]).sum()), float((d[ok][seen] / straight[seen]).sum()), int(seen.sum())))
+            rows.append((own["city"].iloc[0], int(g.ids[k]), int(ok.sum()), float(d[ok].sum()), float((1 / d[ok]).sum()), float((d[ok][seen] / straight[seen]).sum()), int(seen.sum())))
         return pd.DataFrame(rows, columns=_names(SWEEP))
 
     return per_batch(ends, sources, kernel, SWEEP, size)
@@ -218,12 +236,13 @@ def edge_betweenness(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, siz
 
     def kernel(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         g = Csr(edges["lo"].to_numpy(), edges["hi"].to_numpy(), edges["length"].to_numpy(), own["node_id"].to_numpy())
-        adjacent, total = g.lists(), {}
-        for s in own["node_id"].to_numpy():
-            for e, v in dependencies(adjacent, int(np.searchsorted(g.ids, s))).items():
-                total[e] = total.get(e, 0.0) + v
-        city = own["city"].iloc[0]
-        return pd.DataFrame([(city, int(g.ids[a]), int(g.ids[b]), v) for (a, b), v in total.items()], columns=_names(PARTIAL))
+        total = np.zeros(len(g.to))
+        for k, d in g.rows(np.searchsorted(g.ids, own["node_id"].to_numpy())):
+            add_dependencies(g, k, d, total)
+        tail = np.repeat(np.arange(len(g.ids)), np.diff(g.start))
+        used = np.flatnonzero(total)
+        a, b = g.ids[tail[used]], g.ids[g.to[used]]
+        return pd.DataFrame({"city": own["city"].iloc[0], "lo": np.minimum(a, b), "hi": np.maximum(a, b), "share": total[used]})
 
     parts = per_batch(pairs.select("city", "lo", "hi", "length"), sources, kernel, PARTIAL, size).groupBy("city", "lo", "hi").agg(F.sum("share").alias("share"))
     n = nodes.groupBy("city").agg(F.count("*").alias("n")).join(sources.groupBy("city").agg(F.count("*").alias("k")), "city")
@@ -231,32 +250,29 @@ def edge_betweenness(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, siz
     return full.select("city", "lo", "hi", (F.coalesce("share", F.lit(0.0)) / (F.col("k") * F.greatest(F.lit(1), F.col("n") - 1))).alias("betweenness"))
 
 
-def dependencies(adjacent: list[list[tuple[int, float]]], source: int) -> dict[tuple[int, int], float]:
-    """Edge (smaller index, larger index) -> dependency of the source on it."""
-    n = len(adjacent)
-    dist, sigma = [float("inf")] * n, [0.0] * n
-    parents: list[list[int]] = [[] for _ in range(n)]
-    dist[source], sigma[source] = 0.0, 1.0
-    done, order, heap = [False] * n, [], [(0.0, source)]
-    while heap:
-        d, k = heapq.heappop(heap)
-        if done[k]:
-            continue
-        done[k] = True
-        order.append(k)
-        for j, w in adjacent[k]:
-            far = d + w
-            if far < dist[j]:
-                dist[j], sigma[j], parents[j] = far, sigma[k], [k]
-                heapq.heappush(heap, (far, j))
-            elif far == dist[j] and not done[j]:
-                sigma[j] += sigma[k]
-                parents[j].append(k)
-    flow, out = [0.0] * n, {}
-    for k in reversed(order):
-        share = (1.0 + flow[k]) / sigma[k]
-        for p in parents[k]:
-            c = sigma[p] * share
-            out[(p, k) if p < k else (k, p)] = out.get((p, k) if p < k else (k, p), 0.0) + c
-            flow[p] += c
-    return out
+def add_dependencies(g: Csr, source: int, dist: np.ndarray, total: np.ndarray) -> None:
+    """Adds to total, per directed edge, the source's dependency on it (Brandes).
+
+    The shortest-path edges (those whose length is exactly the difference they bridge) form an acyclic graph, which is
+    walked front by front: path counts forwards, dependencies backwards.
+    """
+    tail = np.repeat(np.arange(len(g.ids)), np.diff(g.start))
+    on = np.flatnonzero((dist[tail] + g.w == dist[g.to]) & (dist[tail] < dist[g.to]) & np.isfinite(dist[tail]))
+    u, v = tail[on], g.to[on]
+    first = np.searchsorted(u, np.arange(len(g.ids) + 1))
+    left = np.bincount(v, minlength=len(g.ids))
+    sigma, flow = np.zeros(len(g.ids)), np.zeros(len(g.ids))
+    sigma[source] = 1.0
+    front, fronts = np.asarray([source]), []
+    while len(front):
+        sizes = first[front + 1] - first[front]
+        edge = np.repeat(first[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        fronts.append(edge)
+        np.add.at(sigma, v[edge], sigma[u[edge]])
+        np.subtract.at(left, v[edge], 1)
+        reached = np.unique(v[edge])
+        front = reached[left[reached] == 0]
+    for edge in reversed(fronts):
+        c = sigma[u[edge]] / sigma[v[edge]] * (1.0 + flow[v[edge]])
+        np.add.at(flow, u[edge], c)
+        total[on[edge]] += c

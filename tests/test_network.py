@@ -66,8 +66,9 @@ def test_components(spark, kind):
     pairs = {"path": list(zip(order, order[1:])), "random": [(rnd.randint(1, 200), rnd.randint(1, 200)) for _ in range(150)], "none": [(1, 2)]}[kind]
     pairs = [p for p in pairs if p[0] != p[1]]
     n, m, _ = graph(spark, pairs, nodes=range(1, 201))
-    labels = network.components(m, n)
-    assert {r.node_id: r.component for r in labels.collect()} == union_find(pairs, range(1, 201))
+    for most in (10**6, 1):  # in one task per city, and by rounds of joins
+        labels = network.components(m, n, most_pairs=most)
+        assert {r.node_id: r.component for r in labels.collect()} == union_find(pairs, range(1, 201))
     sizes = {}
     for c in union_find(pairs, range(1, 201)).values():
         sizes[c] = sizes.get(c, 0) + 1
