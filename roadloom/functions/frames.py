@@ -29,15 +29,21 @@ def keep_columns(df: DataFrame, keep: Iterable[str], made: Iterable[str]) -> lis
     return out
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint() in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in spark.checkpoint.dir.
 
     The setting is read from the session; only where it is unset (tests, notebooks) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "roadloom-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo
-from roadloom.functions.frames import located, stored, table
+from roadloom.functions.frames import located, shared_folder, stored, table
 from roadloom.functions.stats import pilot_size
-from roadloom.operators import grid, metrics, network, paths, sampling, scoring, shapes
+from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes
+from roadloom.streaming import cells as streaming
 
 SEED = 42
 
@@ -545,6 +548,12 @@ def polygon_clean(spark, d):
     return shapes.cleaned(table(spark, d, "city_extents", "region_id", "city", "geometry"), tolerance=50.0)
 
 
+def search_area(spark, d):
+    """Cells that a circle of 15 km about each centre meets, and their area within it."""
+    c = features.search_cells(_centers(spark, d), 15_000.0)
+    return c.groupBy("city").agg(F.count("*").alias("n_cells"), F.round(F.sum("cell_area_m2"), 0).alias("area_m2"))
+
+
 def convex_hull(spark, d):
     return shapes.convex_hulls(nodes(spark, d)).select("city", "corners", _r("area_m2", 2))
 
@@ -588,6 +597,22 @@ def winners(spark, d):
     return scoring.winners(scoring.normalised(_metric_table(spark, d))).select("metric", "city", _r("score"))
 
 
+# --- streams -----------------------------------------------------------------------------------------------------------
+
+
+def streamed_coverage(spark, d):
+    """Covered area per cell of the footprints, arriving as files in micro-batches."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    footprints(spark, d).repartition(4).write.parquet(f"{place}/in")
+    got = streaming.ingest(spark, f"{place}/in", f"{place}/out", f"{place}/state", files_per_batch=2)
+    return got.select("city", "cx", "cy", _r("building_area_m2", 3))
+
+
+def loading_windows(spark, d):
+    """Edges per city and week of loading, as a stream would count them."""
+    return streaming.windowed_counts(table(spark, d, "edges", "city", "loaded_at"), every="7 days")
+
+
 _PLAIN = (
     edges_directed, edges_undirected, selfloop_filter, edges_min_length, degree, degree_histogram, degree_shares, handshake_check, components, component_sizes_topk, lcc_nodes, network_summary,
     density_full_population, node_link_density, full_vs_lcc, graph_simplify, truncate_graph, articulation_bridges, pilot_sample, hop_distances, closeness, closeness_mean, weighted_distances,
@@ -596,6 +621,7 @@ _PLAIN = (
     tiers, normalization_reference, evaluate_vs_reference, interpretation, city_index, grid_cells, coverage, built_up, coverage_describe, cell_components, component_stats, component_gaps,
     extent_selection, urban_core, extent_report, alt_core_support, alternative_extent, extent_outline, utm_inverse, utm_round_trip, mercator_project, local_metres, extraction_envelope,
     polygon_area, polygon_overlay, polygon_clean, convex_hull, admin_classify, road_distance_lattice, distance_thresholds, buffer_coverage, winners,
+    search_area, streamed_coverage, loading_windows,
 )
 
 

@@ -236,6 +236,8 @@ SELECT city, measure, round(CAST(a AS DOUBLE), 6) AS full_value, round(CAST(b AS
     "extent_report": f"{_GRIDREC},\n{_EXTENT} SELECT l.city, l.n_rows * l.n_cols AS grid_cells, b.n AS built_up_cells, round(b.a / 1e6, 6) AS building_area_km2, e.n AS extent_cells, round(e.n * CAST(0.25 AS DOUBLE), 6) AS extent_area_km2, round(e.m, 6) AS mean_coverage, round(e.md, 6) AS median_coverage, k.n AS core_cells, round(k.n * CAST(0.25 AS DOUBLE), 6) AS core_area_km2, round(k.t, 6) AS core_threshold FROM lim l JOIN (SELECT city, count(*) FILTER (c >= 0.005) AS n, sum(area) AS a FROM cov GROUP BY city) b USING (city) JOIN (SELECT city, count(*) AS n, avg(c) AS m, median(c) AS md FROM ext GROUP BY city) e USING (city) JOIN (SELECT city, count(*) AS n, min(t) AS t FROM core GROUP BY city) k USING (city)",
     "alt_core_support": f"{_GRID}, q AS (SELECT city, greatest(0.02, quantile_cont(c, 0.75)) AS k, quantile_cont(c, 0.5) AS m FROM cov WHERE c > 0 GROUP BY city), q2 AS (SELECT city, k, least(k, greatest(0.01, m)) AS s FROM q) SELECT city, round(any_value(k), 9) AS core_threshold, round(any_value(s), 9) AS support_threshold, count(*) FILTER (c >= k) AS n_core, count(*) FILTER (c >= s) AS n_support FROM cov JOIN q2 USING (city) GROUP BY city",
     "extent_outline": f"{_GRIDREC},\n{_EXTENT}, e AS (SELECT city, 'h' AS k, row AS a, col AS b FROM ext UNION ALL SELECT city, 'h', row + 1, col FROM ext UNION ALL SELECT city, 'v', col, row FROM ext UNION ALL SELECT city, 'v', col + 1, row FROM ext), o AS (SELECT city, k, a, b FROM e GROUP BY city, k, a, b HAVING count(*) = 1) SELECT city, count(*) AS n_edges, CAST(count(*) * 500.0 AS DOUBLE) AS perimeter_m FROM o GROUP BY city",
+    "streamed_coverage": f"{_GRID} SELECT city, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, round(area, 3) AS building_area_m2 FROM held WHERE area > 0",
+    "loading_windows": "SELECT city, time_bucket(INTERVAL '7 days', loaded_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') AS start, count(*) AS n FROM edges GROUP BY ALL",
     "utm_inverse": f"WITH {_NODES}, loc AS (SELECT * FROM nd WHERE x IS NOT NULL AND y IS NOT NULL), {_degrees('loc')} SELECT city, node_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM deg",
     "utm_round_trip": f"WITH {_NODES}, zone(city, srid) AS (VALUES {_ZONES}) SELECT city, count(*) AS n, CAST(0.0 AS DOUBLE) AS worst_m FROM nd JOIN zone USING (city) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY city",
     "mercator_project": f"WITH {_NODES}, l AS (SELECT city, node_id, CAST({_LL[0]} AS DOUBLE) AS lon, CAST({_LL[1]} AS DOUBLE) AS lat FROM nd) SELECT city, node_id, round(6378137.0 * radians(lon), 3) AS mx, round(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS my, CAST(32600 + floor((lon + 180) / 6) % 60 + 1 AS INT) AS srid FROM l",
