@@ -26,7 +26,7 @@ def _free_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     single = edges.select("highway").distinct().select("highway", values_column(F.col("highway")).alias("values")).filter(F.size("values") == 1).select("highway", F.col("values")[0].alias("text"))
     single = stored(single)  # a row per distinct text: what follows reads it several times
     mapped = repair.map_values(single, "text", reference)
-    return edges, single, single.join(mapped, "text").select("highway", "text", F.col("entry").alias("highway_class"), "score")
+    return edges, single, single.join(mapped.hint("merge"), "text").select("highway", "text", F.col("entry").alias("highway_class"), "score")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,8 @@ def token_matches(distinct: DataFrame, reference: Reference) -> DataFrame:
         if w in reference.idf:  # a single word; the start of a run may well be a whole word itself
             words += [(w, s, "^" + s[:k]) for k in range(max(5, len(s) - 4), len(s))]
     vocabulary = spark.createDataFrame(pd.DataFrame(words, columns=["word", "word_skeleton", "part"]), "word string, word_skeleton string, part string")
-    pairs = distinct.select("token").mapInPandas(expand, "token string, skeleton string, part string").join(vocabulary, "part").select("token", "skeleton", "word", "word_skeleton", F.startswith("part", F.lit("^")).alias("cut")).groupBy("token", "skeleton", "word", "word_skeleton").agg(F.max("cut").alias("cut"))
+    # merge: sizes are estimated from before the expansion, so a broadcast here would have no proven bound
+    pairs = distinct.select("token").mapInPandas(expand, "token string, skeleton string, part string").join(vocabulary.hint("merge"), "part").select("token", "skeleton", "word", "word_skeleton", F.startswith("part", F.lit("^")).alias("cut")).groupBy("token", "skeleton", "word", "word_skeleton").agg(F.max("cut").alias("cut"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -212,7 +213,7 @@ def map_values(texts: DataFrame, text: str, reference: Reference, least: float =
 
     held = distinct.mapInPandas(cut, "text string, token string")
     matches = token_matches(held.select("token").distinct(), reference)
-    joined = held.join(matches, "token", "left").groupBy("text").agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("token", "word", "likeness"))).alias("hits"))
+    joined = held.join(matches.hint("merge"), "token", "left").groupBy("text").agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("token", "word", "likeness"))).alias("hits"))
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
