@@ -289,8 +289,9 @@ def shared_windows(documents: DataFrame, least: int = LEAST, gram: int | None =
     single = found.join(unsettled.filter("d0 = d1").select(*key), key, "left_semi").select("doc", "first", "n", F.col("doc").alias("d0"), F.col("doc").alias("d1"), F.lit(True).alias("own"))
     known = unsettled.filter("d0 < d1").select(F.col("d0").alias("doc"), "at.first", "at.n", "d0", "d1", F.lit(False).alias("own"))
     slices = stored(_slices(texts, single.unionByName(known), least))
+    # merge: sizes are estimated from before the expansion into windows, so a broadcast here would have no proven bound
     twice = _windows(slices, least, False).groupBy("wa", "wb").agg(F.min("d0").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("wa", "wb")
-    edges = _windows(slices, least, True).join(twice, ["wa", "wb"], "left_semi").select("doc", F.col("pos").alias("first"), F.lit(1).alias("n"))
+    edges = _windows(slices, least, True).join(twice.hint("merge"), ["wa", "wb"], "left_semi").select("doc", F.col("pos").alias("first"), F.lit(1).alias("n"))
     return settled.unionByName(edges)
 
 
