@@ -68,7 +68,7 @@ def clipped_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
 def circle_wkt(x: float, y: float, radius: float, quarter: int = 16) -> str:
     """A circle as a polygon of 4 * quarter corners."""
     a = np.arange(4 * quarter + 1) * (np.pi / 2 / quarter)
-    return "POLYGON ((" + ", ".join(f"{x + radius * np.cos(t)!r} {y + radius * np.sin(t)!r}" for t in a.tolist()) + "))"
+    return "POLYGON ((" + ", ".join(f"{px!r} {py!r}" for px, py in zip((x + radius * np.cos(a)).tolist(), (y + radius * np.sin(a)).tolist())) + "))"
 
 
 def search_cells(centers: DataFrame, radius: float, cell: float = grid.CELL_M) -> DataFrame:
