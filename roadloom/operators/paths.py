@@ -107,6 +107,10 @@ def per_batch(pairs: DataFrame, sources: DataFrame, kernel: Callable[[pd.DataFra
     def run(key, edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         return kernel(edges, own) if len(own) else pd.DataFrame({n: [] for n in _names(schema)})
 
+    # as many partitions as asked for: few bytes of edges make much work here, and AQE would put all batches in one task
+    spark = pairs.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    e, s = (f.repartition(n, "city", "batch") for f in (e, s))
     return e.groupBy("city", "batch").cogroup(s.groupBy("city", "batch")).applyInPandas(run, schema)
 
 
@@ -144,7 +148,7 @@ def hop_distances(pairs: DataFrame, sources: DataFrame, size: int = 128, most_ed
 LENGTHS = "city string, source bigint, target bigint, d double"
 
 
-def path_lengths(pairs: DataFrame, sources: DataFrame, size: int = 32, most_edges: int = MOST_EDGES) -> DataFrame:
+def path_lengths(pairs: DataFrame, sources: DataFrame, size: int = 64, most_edges: int = MOST_EDGES) -> DataFrame:
     """(city, source, target, d) of the reachable pairs, the source itself included."""
     if not fits(pairs, most_edges):
         return _joined(symmetric(pairs.withColumnRenamed("length", "w"), "w"), sources)
@@ -194,7 +198,7 @@ def hop_sums(pairs: DataFrame, sources: DataFrame, size: int = 128, most_edges:
 SWEEP = "city string, source bigint, reachable bigint, sum_d double, sum_inverse double, sum_ratio double, n_ratio bigint"
 
 
-def path_sums(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = 32, most_edges: int = MOST_EDGES) -> DataFrame:
+def path_sums(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = 128, most_edges: int = MOST_EDGES) -> DataFrame:
     """One weighted sweep per source for all three efficiency measures: reachable others, sums of d, 1/d and d/straight line."""
     if not fits(pairs, most_edges):
         a, b = nodes.select("city", F.col("node_id").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy")), nodes.select("city", F.col("node_id").alias("target"), "x", "y")
@@ -226,7 +230,7 @@ def path_sums(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int
 PARTIAL = "city string, lo bigint, hi bigint, share double"
 
 
-def edge_betweenness(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = 16) -> DataFrame:
+def edge_betweenness(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = 32) -> DataFrame:
     """(city, lo, hi, betweenness): weighted edge betweenness from the sources, normalised over ordered pairs; 0 for unused edges.
 
     Each source's dependencies are accumulated by Brandes' algorithm within one task; Spark adds the partial sums.

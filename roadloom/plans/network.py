@@ -145,9 +145,9 @@ def articulation_bridges(spark, d):
 
 
 def _lcc(spark, d):
-    n, m = nodes(spark, d), multigraph(spark, d)
+    n, m = nodes(spark, d), stored(multigraph(spark, d))
     members = stored(network.within_largest(network.components(m, n)))
-    return members, network.induced(m, members)
+    return members, stored(network.induced(m, members))
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -175,8 +175,8 @@ def closeness_mean(spark, d):
 
 
 def _priced(spark, d):
-    """The simple graph of the edges that have a length."""
-    return network.simple_graph(multigraph(spark, d), None)
+    """The simple graph of the edges that have a length, kept: the size check and the batches both read it."""
+    return stored(network.simple_graph(multigraph(spark, d), None))
 
 
 def weighted_distances(spark, d):
@@ -184,14 +184,14 @@ def weighted_distances(spark, d):
 
 
 def efficiency_sources(spark, d):
-    n = nodes(spark, d)
+    n = stored(nodes(spark, d))
     sizes = _sizes(n)
     sums = paths.path_sums(_priced(spark, d), sampling.first_n(n, sizes), n)
     return metrics.efficiency(sums, sizes).select("city", "source", _r("global_efficiency", 9), _r("average_shortest_path", 4), _r("circuity"))
 
 
 def efficiency_mean(spark, d):
-    n = nodes(spark, d)
+    n = stored(nodes(spark, d))
     sizes = _sizes(n)
     e = metrics.efficiency(paths.path_sums(_priced(spark, d), sampling.first_n(n, sizes), n), sizes)
     return e.groupBy("city").agg(F.round(F.avg("global_efficiency"), 9).alias("global_efficiency"), F.round(F.avg("average_shortest_path"), 4).alias("average_shortest_path"), F.round(F.avg("circuity"), 6).alias("circuity"))
@@ -228,7 +228,7 @@ def _ranked_sources(n: DataFrame) -> DataFrame:
 
 
 def _betweenness(spark, d):
-    n, simple = nodes(spark, d), stored(network.simple_graph(multigraph(spark, d)))
+    n, simple = stored(nodes(spark, d)), stored(network.simple_graph(multigraph(spark, d)))
     return paths.edge_betweenness(simple, _ranked_sources(n), n), simple
 
 
@@ -376,13 +376,13 @@ def interpretation(spark, d):
 
 def city_index(spark, d):
     """The whole programme: sampled closeness, efficiency and betweenness with all other measures, scored and combined."""
-    n, m = nodes(spark, d), stored(multigraph(spark, d))
+    n, m = stored(nodes(spark, d)), stored(multigraph(spark, d))
     simple = stored(network.simple_graph(m))
     members = stored(network.within_largest(network.components(m, n)))
-    own = network.induced(m, members)
+    own = stored(network.induced(m, members))
     dens = metrics.densities(own, members, areas(spark, d)).select("city", "node_density", "link_density", "average_degree")
     near = sampling.adaptive(members, _closeness_measure(own, members), ["closeness"]).select("city", F.col("estimate").alias("closeness_centrality"))
-    priced = network.simple_graph(m, None)
+    priced = stored(network.simple_graph(m, None))
     sizes = _sizes(n)
     eff = sampling.adaptive(n, metrics.sweep(priced, n, sizes), ["global_efficiency", "average_shortest_path", "circuity"], rule="critical", precision=0.05).groupBy("city").pivot("metric", ["global_efficiency", "average_shortest_path", "circuity"]).agg(F.first("estimate"))
     ratio = metrics.rcrc(metrics.gamma(m, n), metrics.edge_circuity(m, n)).select("city", "rcrc")
