@@ -281,13 +281,13 @@ def _tile(c: str, width: float) -> Column:
 def near_roads(points: DataFrame, roads: DataFrame, within: float, keep: tuple[str, ...] = ("point_id",)) -> DataFrame:
     """(city, *keep, d): distance of each point (city, keep, x, y) to the nearest road (city, ax, ay, bx, by) up to `within`.
 
-    Roads are spread over the tiles (as wide as `within`) of their boxes and the ones around; points stand in one tile.
+    Roads are spread over the tiles (twice as wide as `within`) that their boxes, widened by it, meet; points stand in one tile.
     """
-    w = max(within, 1.0)
+    w = max(2 * within, 1.0)
     lo = lambda a, b: F.least(F.col(a), F.col(b))
     hi = lambda a, b: F.greatest(F.col(a), F.col(b))
     box = roads.filter("ax is not null and ay is not null and bx is not null and by is not null").select("city", "ax", "ay", "bx", "by", lo("ax", "bx").alias("lx"), hi("ax", "bx").alias("hx"), lo("ay", "by").alias("ly"), hi("ay", "by").alias("hy"))
-    tiles = box.select("*", F.explode(F.sequence(_tile("lx", w) - 1, _tile("hx", w) + 1)).alias("tx")).select("city", "ax", "ay", "bx", "by", "tx", F.explode(F.sequence(_tile("ly", w) - 1, _tile("hy", w) + 1)).alias("ty"))
+    tiles = box.select("*", F.explode(F.sequence(F.floor((F.col("lx") - within) / w), F.floor((F.col("hx") + within) / w))).alias("tx")).select("city", "ax", "ay", "bx", "by", "tx", F.explode(F.sequence(F.floor((F.col("ly") - within) / w), F.floor((F.col("hy") + within) / w))).alias("ty"))
     both = points.withColumn("tx", _tile("x", w)).withColumn("ty", _tile("y", w)).join(tiles, ["city", "tx", "ty"])
     d = distance_to_segment(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return both.select("city", *keep, d.alias("d")).filter(F.col("d") <= within).groupBy("city", *keep).agg(F.min("d").alias("d"))

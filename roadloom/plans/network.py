@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo
-from roadloom.functions.frames import located, shared_folder, stored, table
+from roadloom.functions.frames import located, shared_folder, spread, stored, table
 from roadloom.functions.stats import pilot_size
 from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes
 from roadloom.streaming import cells as streaming
@@ -541,7 +541,7 @@ def polygon_area(spark, d):
 def polygon_overlay(spark, d):
     """Area of every region as the sum of its pieces in 500 m cells."""
     e = table(spark, d, "city_extents", "region_id", "city", "geometry").withColumnRenamed("region_id", "polygon_id")
-    return grid.overlay(e).groupBy("polygon_id").agg(F.round(F.sum("area_m2"), 1).alias("area_m2")).withColumnRenamed("polygon_id", "region_id")
+    return grid.overlay(spread(e)).groupBy("polygon_id").agg(F.round(F.sum("area_m2"), 1).alias("area_m2")).withColumnRenamed("polygon_id", "region_id")
 
 
 def polygon_clean(spark, d):
