@@ -384,7 +384,7 @@ def city_index(spark, d):
     near = sampling.adaptive(members, _closeness_measure(own, members), ["closeness"]).select("city", F.col("estimate").alias("closeness_centrality"))
     priced = stored(network.simple_graph(m, None))
     sizes = _sizes(n)
-    eff = sampling.adaptive(n, metrics.sweep(priced, n, sizes), ["global_efficiency", "average_shortest_path", "circuity"], rule="critical", precision=0.05).groupBy("city").pivot("metric", ["global_efficiency", "average_shortest_path", "circuity"]).agg(F.first("estimate"))
+    eff = sampling.adaptive(n, metrics.sweep(priced, n, sizes), ["global_efficiency", "average_shortest_path", "circuity"], rule="critical").groupBy("city").pivot("metric", ["global_efficiency", "average_shortest_path", "circuity"]).agg(F.first("estimate"))
     ratio = metrics.rcrc(metrics.gamma(m, n), metrics.edge_circuity(m, n)).select("city", "rcrc")
     between = stored(paths.edge_betweenness(simple, _ranked_sources(n), n))
     p90 = metrics.betweenness_p90(between).select("city", F.col("betweenness_p90").alias("hierarchy_betweenness_centrality"))

@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 
@@ -184,3 +185,26 @@ def test_sampling(spark):
 def test_weak_points(spark):
     n, m, _ = graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)])
     assert sorted((r.kind, r.a, r.b) for r in shapes.weak_points(m).collect()) == [("articulation", 3, None), ("articulation", 4, None), ("bridge", 3, 4), ("bridge", 4, 5)]
+
+
+def test_city_index_samples_to_the_references_precision(spark, small, monkeypatch):
+    from roadloom.plans import network as plans
+
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def spy(*a, **k):
+        asked = inspect.signature(adaptive).bind(*a, **k)
+        asked.apply_defaults()
+        seen.append((asked.arguments["rule"], asked.arguments["precision"]))
+        if asked.arguments["rule"] == "critical":
+            raise Seen
+        return spark.createDataFrame([], "city string, estimate double")
+
+    adaptive = plans.sampling.adaptive
+    monkeypatch.setattr(plans.sampling, "adaptive", spy)
+    with pytest.raises(Seen):
+        plans.city_index(spark, small)
+    assert seen == [("size", 0.02), ("critical", 0.02)]
