@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.functions.frames import stored
 from roadloom.functions.geo import distance_to_segment
 from roadloom.functions.polygons import Polygon, parse_polygons, polygon_area, ring_area
 
@@ -293,6 +294,131 @@ def near_roads(points: DataFrame, roads: DataFrame, within: float, keep: tuple[s
     return both.select("city", *keep, d.alias("d")).filter(F.col("d") <= within).groupBy("city", *keep).agg(F.min("d").alias("d"))
 
 
+def _inside_row(part: Polygon, xs: np.ndarray, y: float) -> np.ndarray:
+    """Which of the places (xs, y) lie within the part by the even-odd rule, its border left out."""
+    odd, border = np.zeros(len(xs), bool), np.zeros(len(xs), bool)
+    for ring in part:
+        (x0, y0), (x1, y1) = ring.T, np.roll(ring, -1, axis=0).T
+        for k in np.flatnonzero((np.minimum(y0, y1) <= y) & (y <= np.maximum(y0, y1))):
+            if y0[k] == y1[k]:
+                border |= (xs >= min(x0[k], x1[k])) & (xs <= max(x0[k], x1[k]))
+                continue
+            cut = x0[k] + (y - y0[k]) * (x1[k] - x0[k]) / (y1[k] - y0[k])
+            border |= np.abs(xs - cut) <= 1e-9
+            if (y0[k] > y) != (y1[k] > y):
+                odd ^= cut > xs
+    return odd & ~border
+
+
+EXTENT_POINT = "city string, place string, point_id bigint, x double, y double"
+
+
+def extent_lattice(regions: DataFrame, step: float = 500.0, start: float = 0.0) -> DataFrame:
+    """Points every `step` metres within each whole region (region_id, city, geometry), from `start` beyond its box's lower left corner.
+
+    `city` of the result is the region's id, so that points meet the roads of their region only; `place` is the city. A
+    region that holds no point is stood for by its centroid. Regions without area give no points. Made row by row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rid, city, text in zip(batch["region_id"], batch["city"], batch["geometry"]):
+                parts = parse_polygons(text)
+                middle = centroid(parts)
+                if middle is None:
+                    continue
+                corners = np.concatenate([part[0] for part in parts])
+                (lx, ly), (hx, hy) = corners.min(axis=0), corners.max(axis=0)
+                xs = lx + start + step * np.arange(max(0, math.floor((hx - lx - start) / step)) + 1)
+                held, none = [], True
+                for j in range(max(0, math.floor((hy - ly - start) / step)) + 1):
+                    y = ly + start + step * j
+                    own = np.flatnonzero(np.any([_inside_row(part, xs, y) for part in parts], axis=0))
+                    if len(own):
+                        held.append(pd.DataFrame({"city": str(rid), "place": city, "point_id": j * len(xs) + own, "x": xs[own], "y": y}))
+                    if len(held) >= 256:
+                        none = False
+                        yield pd.concat(held)
+                        held = []
+                if held:
+                    yield pd.concat(held)
+                elif none:
+                    yield pd.DataFrame({"city": [str(rid)], "place": [city], "point_id": [0], "x": [middle[0]], "y": [middle[1]]})
+
+    return regions.filter("region_id is not null and city is not null and geometry is not null").select("region_id", "city", "geometry").mapInPandas(run, EXTENT_POINT)
+
+
+def clipped_to_regions(roads: DataFrame, triangles: DataFrame, tile: float = 2000.0) -> DataFrame:
+    """(city, ax, ay, bx, by) with the region's id as city: the parts of the roads (city, ax, ay, bx, by) within each region
+    of their city, border included, cut at the region's triangles (spatial.triangles). An equi-join on tiles, in the JVM."""
+    at = lambda c: F.floor(c / tile)
+    spans = lambda df, lx, hx, ly, hy: df.withColumn("tx", F.explode(F.sequence(at(lx), at(hx)))).withColumn("ty", F.explode(F.sequence(at(ly), at(hy))))
+    c = F.col
+    r = spans(roads.filter("ax is not null and ay is not null and bx is not null and by is not null").select("city", "ax", "ay", "bx", "by"), F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"))
+    turn = (c("x1") - c("x0")) * (c("y2") - c("y0")) - (c("y1") - c("y0")) * (c("x2") - c("x0"))
+    t = triangles.select("*", F.signum(turn).alias("s")).filter("s <> 0").withColumnRenamed("grp", "city")
+    t = spans(t, F.least("x0", "x1", "x2"), F.greatest("x0", "x1", "x2"), F.least("y0", "y1", "y2"), F.greatest("y0", "y1", "y2"))
+    cut = r.join(t, ["city", "tx", "ty"]).filter("least(ax, bx) <= greatest(x0, x1, x2) and greatest(ax, bx) >= least(x0, x1, x2) and least(ay, by) <= greatest(y0, y1, y2) and greatest(ay, by) >= least(y0, y1, y2)")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            (ax, ay), (dx, dy) = (b["ax"].to_numpy(), b["ay"].to_numpy()), ((b["bx"] - b["ax"]).to_numpy(), (b["by"] - b["ay"]).to_numpy())
+            sign, t0, t1 = b["s"].to_numpy(), np.zeros(len(b)), np.ones(len(b))
+            for k in range(3):
+                px, py, qx, qy = (b[f"{v}{n % 3}"].to_numpy() for n in (k, k + 1) for v in "xy")
+                fa = sign * ((qx - px) * (ay - py) - (qy - py) * (ax - px))
+                fb = sign * ((qx - px) * (ay + dy - py) - (qy - py) * (ax + dx - px))
+                at = fa / np.where(fa == fb, 1.0, fa - fb)
+                t0 = np.where((fa < 0) & (fb < 0), 2.0, np.where(fa < 0, np.maximum(t0, at), t0))
+                t1 = np.where((fb < 0) & (fa >= 0), np.minimum(t1, at), t1)
+            held = t0 <= t1
+            yield pd.DataFrame({"city": b["region_id"].astype(str), "ax": ax + t0 * dx, "ay": ay + t0 * dy, "bx": ax + t1 * dx, "by": ay + t1 * dy})[held]
+
+    return cut.select("region_id", "ax", "ay", "bx", "by", "s", *[f"{v}{k}" for k in range(3) for v in "xy"]).mapInPandas(run, "city string, ax double, ay double, bx double, by double").distinct()
+
+
+def nearest_roads(points: DataFrame, roads: DataFrame, reach: float = 500.0, keep: tuple[str, ...] = ("point_id",)) -> DataFrame:
+    """(city, *keep, d): the exact distance of every point (city, keep, x, y) to the nearest road, however far; d is null where a
+    city has no road.
+
+    Points that find no road within reach are searched again with doubled reach. From the second round on, the roads stand in
+    cells of an eighth of the reach, and only cells whose box may hold the nearest road are opened: per point a bounded number
+    of boxes is looked at, and the roads of a few.
+    """
+    points = stored(points)
+    roads = stored(roads.filter("ax is not null and ay is not null and bx is not null and by is not null"))
+    done = stored(near_roads(points, roads, reach, keep))
+    pending = stored(points.join(F.broadcast(roads.select("city").distinct()), "city", "left_semi").join(done, ["city", *keep], "left_anti"))
+    found = [done]
+    while not pending.isEmpty():
+        reach *= 2
+        found.append(stored(_near_by_cells(pending, roads, reach, keep)))
+        pending = stored(pending.join(found[-1], ["city", *keep], "left_anti"))
+    all_found = found[0]
+    for more in found[1:]:
+        all_found = all_found.unionByName(more)
+    return points.select("city", *keep).join(all_found, ["city", *keep], "left")
+
+
+def _near_by_cells(points: DataFrame, roads: DataFrame, within: float, keep: tuple[str, ...]) -> DataFrame:
+    """near_roads() by way of the boxes of cells of roads."""
+    c, w, side = F.col, 2 * within, within / 8
+    held = roads.withColumn("cx", F.floor((c("ax") + c("bx")) / 2 / side)).withColumn("cy", F.floor((c("ay") + c("by")) / 2 / side))
+    low, high = lambda a, b: F.min(F.least(a, b)), lambda a, b: F.max(F.greatest(a, b))
+    boxes = held.groupBy("city", "cx", "cy").agg(low("ax", "bx").alias("lx"), high("ax", "bx").alias("hx"), low("ay", "by").alias("ly"), high("ay", "by").alias("hy"))
+    span = lambda a, b: F.explode(F.sequence(F.floor((c(a) - within) / w), F.floor((c(b) + within) / w)))
+    tiles = boxes.withColumn("tx", span("lx", "hx")).withColumn("ty", span("ly", "hy"))
+    gap = lambda v, a, b: F.greatest(c(a) - c(v), c(v) - c(b), F.lit(0.0))
+    far = lambda v, a, b: F.greatest(F.abs(c(v) - c(a)), F.abs(c(v) - c(b)))
+    meet = points.withColumn("tx", _tile("x", w)).withColumn("ty", _tile("y", w)).join(tiles, ["city", "tx", "ty"])
+    meet = meet.select("city", *keep, "x", "y", "cx", "cy", F.hypot(gap("x", "lx", "hx"), gap("y", "ly", "hy")).alias("least_d"), F.hypot(far("x", "lx", "hx"), far("y", "ly", "hy")).alias("most_d")).filter(c("least_d") <= within)
+    # A cell is opened if its box is no farther than the farthest corner of the best box: a road is surely that near.
+    best = meet.groupBy("city", *keep, "x", "y").agg(F.min("most_d").alias("u"), F.collect_list(F.struct("least_d", "cx", "cy")).alias("near"))
+    opened = best.select("city", *keep, "x", "y", F.explode(F.filter("near", lambda b: b["least_d"] <= c("u") * (1 + 1e-12))).alias("b")).select("city", *keep, "x", "y", "b.cx", "b.cy")
+    d = distance_to_segment(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by"))
+    return opened.join(held, ["city", "cx", "cy"]).select("city", *keep, d.alias("d")).filter(c("d") <= within).groupBy("city", *keep).agg(F.min("d").alias("d"))
+
+
 def lattice(cells: DataFrame, step: float, cell: float = 500.0) -> DataFrame:
     """Points every `step` metres (cell centres of a finer grid) of grid cells (city, grid_id, center_x, center_y)."""
     n = max(1, int(round(cell / step)))

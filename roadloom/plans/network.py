@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo
 from roadloom.functions.frames import located, shared_folder, spread, stored, table
 from roadloom.functions.stats import pilot_size
-from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes
+from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes, spatial
 from roadloom.streaming import cells as streaming
 
 SEED = 42
@@ -593,6 +593,36 @@ def buffer_coverage(spark, d):
     return shapes.buffer_coverage(stored(_lattice(spark, d, 125.0)), _roads(spark, d)).select("city", "width_m", "n_points", _r("covered_pct"))
 
 
+def _extents(spark, d):
+    return spread(table(spark, d, "city_extents", "region_id", "city", "geometry"))
+
+
+def _extent_roads(spark, d):
+    """The parts of the roads within each region, under the region's id."""
+    return shapes.clipped_to_regions(_roads(spark, d), spatial.triangles(_extents(spark, d)))
+
+
+def _extent_distances(spark, d):
+    return shapes.nearest_roads(shapes.extent_lattice(_extents(spark, d)), _extent_roads(spark, d), keep=("place", "point_id"))
+
+
+def extent_road_distance(spark, d):
+    """Exact distance of every 500 m point of each whole extent to the nearest road within it; null if it holds none."""
+    return _extent_distances(spark, d).select(F.col("city").cast("bigint").alias("region_id"), F.col("place").alias("city"), "point_id", _r("d", 3))
+
+
+def extent_distance_thresholds(spark, d):
+    p = stored(_extent_distances(spark, d))
+    t = shapes.distance_thresholds(p.filter("d is not null"), p)
+    return t.select(F.col("city").cast("bigint").alias("region_id"), "n_points", *[_r(c, 4) for c in t.columns if c not in ("city", "n_points")])
+
+
+def extent_buffer_coverage(spark, d):
+    """Share of each whole extent within a distance of its roads, by points every 125 m."""
+    p = stored(shapes.extent_lattice(_extents(spark, d), 125.0, 62.5))
+    return shapes.buffer_coverage(p, stored(_extent_roads(spark, d))).select(F.col("city").cast("bigint").alias("region_id"), "width_m", "n_points", _r("covered_pct"))
+
+
 def winners(spark, d):
     return scoring.winners(scoring.normalised(_metric_table(spark, d))).select("metric", "city", _r("score"))
 
@@ -621,6 +651,7 @@ _PLAIN = (
     tiers, normalization_reference, evaluate_vs_reference, interpretation, city_index, grid_cells, coverage, built_up, coverage_describe, cell_components, component_stats, component_gaps,
     extent_selection, urban_core, extent_report, alt_core_support, alternative_extent, extent_outline, utm_inverse, utm_round_trip, mercator_project, local_metres, extraction_envelope,
     polygon_area, polygon_overlay, polygon_clean, convex_hull, admin_classify, road_distance_lattice, distance_thresholds, buffer_coverage, winners,
+    extent_road_distance, extent_distance_thresholds, extent_buffer_coverage,
     search_area, streamed_coverage, loading_windows,
 )
 

@@ -123,3 +123,32 @@ def test_shapes(spark):
     members = spark.createDataFrame([(1, "outer", w, p, float(x), float(y)) for w, way in enumerate(ways) for p, (x, y) in enumerate(way)] + [(2, "outer", 0, p, float(p), 0.0) for p in range(3)], "relation_id bigint, role string, way_no int, pos int, lon double, lat double")
     got = {r.relation_id: r for r in shapes.relation_polygons(members).collect()}
     assert got[1].area_deg2 == 25 and got[1].bbox.startswith("0.00000000, 0.00000000, 5.0") and got[2].problem
+
+
+def test_extent_points_have_exact_distances_however_far(spark):
+    rnd = random.Random(7)
+    outline = "POLYGON ((0 0, 40000 0, 40000 9000, 20000 9000, 20000 3000, 0 3000, 0 0), (30000 4000, 33000 4000, 33000 7000, 30000 7000, 30000 4000))"
+    regions = spark.createDataFrame([(1, "A", outline), (2, "A", "POLYGON ((0 0, 300 0, 300 300, 0 300, 0 0))"), (3, "B", "POLYGON ((0 0, 900 0, 900 900, 0 900, 0 0))"), (4, "A", None), (5, "A", "POINT (1 1)")], "region_id bigint, city string, geometry string")
+    lines = [("A", x, y, x + rnd.uniform(-90, 90), y + rnd.uniform(-90, 90)) for x, y in ((rnd.uniform(300, 2000), rnd.uniform(200, 2800)) for _ in range(200))] + [("A", 10000.0, 5000.0, 10000.0, 2000.0)]
+    roads = spark.createDataFrame(lines, "city string, ax double, ay double, bx double, by double")
+    points = {(r.city, r.x, r.y): r.point_id for r in shapes.extent_lattice(regions).collect()}
+    hole = lambda x, y: 30000 <= x <= 33000 and 4000 <= y <= 7000
+    grid = [(500.0 * i, 500.0 * j) for i in range(81) for j in range(19)]
+    want = {("1", x, y) for x, y in grid if 0 < x < 40000 and 0 < y < 9000 and (y < 3000 or x > 20000) and not hole(x, y)}
+    assert set(points) == want | {("2", 150.0, 150.0), ("3", 500.0, 500.0)}
+    inner = shapes.clipped_to_regions(roads, spatial.triangles(regions))
+    assert max(r.ay for r in inner.filter("city = '1' and ax = 10000").collect()) <= 3000
+    got = {(r.city, r.point_id): r.d for r in shapes.nearest_roads(shapes.extent_lattice(regions), inner).collect()}
+    assert len(got) == len(points) and got["3", points["3", 500.0, 500.0]] is None
+    clipped = [*lines[:-1], ("A", 10000.0, 3000.0, 10000.0, 2000.0)]
+
+    def brute(x, y):
+        def one(ax, ay, bx, by):
+            dx, dy = bx - ax, by - ay
+            t = min(1.0, max(0.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
+            return math.hypot(x - ax - t * dx, y - ay - t * dy)
+
+        return min(one(*r[1:]) for r in clipped)
+
+    assert all(math.isclose(got[c, k], brute(x, y), abs_tol=1e-6) for (c, x, y), k in points.items() if c == "1")
+    assert max(d for d in got.values() if d is not None) > 25_000
