@@ -38,9 +38,7 @@ class Segmenter:
 
     def __init__(self, known: Iterable[str] = (), delimiters: str = DELIMITERS):
         self.delimiters = frozenset(delimiters)
-        # a known value without delimiters is never cut anyway; it only matters to the cover's cost
         self.known = {_fold(k.strip()) for k in known if k and k.strip()}
-        self.guarding = any(self.delimiters & set(k) for k in self.known)
         self.automaton = ahocorasick.Automaton()
         for k in self.known:
             self.automaton.add_word(k, len(k))
@@ -99,11 +97,8 @@ class Segmenter:
         text = self._core(text)
         if not text:
             return []
-        atoms = self._atoms(text)
-        if self.guarding:
-            atoms = self._cover(text, atoms)
         out = []
-        for start, end, quoted in atoms:
+        for start, end, quoted in self._cover(text, self._atoms(text)):
             value = text[start:end].strip()
             if quoted:
                 q = value[0]
@@ -136,7 +131,7 @@ class Segmenter:
         first = {a[0]: i for i, a in enumerate(atoms)}
         last = {a[0] + len(text[a[0] : a[1]].rstrip()): i for i, a in enumerate(atoms)}
         spans: dict[int, list[int]] = {}
-        for end, size in self.automaton.iter(_fold(text)):
+        for end, size in self.automaton.iter(_fold(text)) if self.known else ():
             i, j = first.get(end + 1 - size), last.get(end + 1)
             if i is not None and j is not None and i <= j and not any(a[2] for a in atoms[i : j + 1]):
                 spans.setdefault(j, []).append(i)

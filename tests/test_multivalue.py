@@ -51,3 +51,9 @@ def test_frame(spark):
     assert explode_values(df, "highway").count() == 5
     assert explode_values(df.limit(0), "highway", least=2).collect() == []
     assert [r.n for r in df.select(F.size(values_column(F.col("highway"))).alias("n")).collect()] == [2, 2, 0, 1, 0]
+
+
+def test_frame_with_guarded_values(spark):
+    df = spark.createDataFrame([(1, "bus, guided; bus"), (2, "Bus, Guided"), (3, "guided, bus")], "edge_id bigint, highway string")
+    got = sorted(map(tuple, explode_values(df, "highway", ["bus, guided", "bus"], keep=["edge_id"], least=2).collect()))
+    assert got == [(1, 1, "bus, guided"), (1, 2, "bus"), (3, 1, "guided"), (3, 2, "bus")]
