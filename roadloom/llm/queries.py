@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions.frames import stored, table
 from roadloom.llm import mixing, packing, repair, spans
 from roadloom.operators.multivalue import values_column
+from roadloom.plans.problems import class_names
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> repair.Reference:
@@ -23,7 +24,7 @@ def _free_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     reference = _reference(spark, sf_dir)
     names = sorted({n for n, _ in reference.forms})
     edges = table(spark, sf_dir, "edges", "edge_id", "highway").filter(F.col("highway").isNotNull() & ~F.col("highway").isin(names))
-    single = edges.select("highway").distinct().select("highway", values_column(F.col("highway")).alias("values")).filter(F.size("values") == 1).select("highway", F.col("values")[0].alias("text"))
+    single = edges.select("highway").distinct().select("highway", values_column(F.col("highway"), class_names(spark, sf_dir)).alias("values")).filter(F.size("values") == 1).select("highway", F.col("values")[0].alias("text"))
     single = stored(single)  # a row per distinct text: what follows reads it several times
     mapped = repair.map_values(single, "text", reference)
     return edges, single, single.join(mapped.hint("merge"), "text").select("highway", "text", F.col("entry").alias("highway_class"), "score")
@@ -54,10 +55,8 @@ def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per container size: containers used, the fewest possible by tokens alone, and the share of them filled."""
-    placed = p6_pack(spark, sf_dir).groupBy("spec_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("piece") > 0).alias("cuts"))
-    sizes = table(spark, sf_dir, "pack_capacities", "spec_id", "capacity_tokens")
-    return placed.join(sizes, "spec_id").select("spec_id", "capacity_tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), "tokens", "cuts", (F.col("tokens") / F.col("containers") / F.col("capacity_tokens")).alias("filled"))
+    """Per container size: containers used and the fewest possible, the share of them filled, and those beyond a limit."""
+    return packing.report(p6_pack(spark, sf_dir), table(spark, sf_dir, "pack_capacities", "spec_id", "capacity_tokens"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,16 +29,21 @@ def test_packing_wastes_little():
     assert t.sum() / (len(bins) * 1024) > 0.99
 
 
-@given(st.lists(st.tuples(st.integers(0, 500), st.floats(0, 1)), max_size=30), st.integers(1, 120))
-def test_pieces_cover_documents(items, capacity):
+@given(st.lists(st.tuples(st.integers(0, 500), st.floats(0, 1)), max_size=30), st.integers(1, 120), st.floats(0.2, 1))
+def test_pieces_cover_documents_and_keep_both_limits(items, capacity, share):
     t = np.asarray([a for a, _ in items], dtype=np.int64)
     p = np.asarray([int(a * b) for a, b in items], dtype=np.int64)
-    doc, piece, start, size, loss = packing.pieces(t, p, capacity)
+    most_loss = max(1, int(share * capacity))
+    doc, piece, start, size, loss = packing.pieces(t, p, capacity, most_loss)
+    assert (size > 0).all() and (size <= capacity).all()
     for k in range(len(t)):
         own = doc == k
         assert size[own].sum() == t[k] and loss[own].sum() == p[k]
-        assert start[own].tolist() == [i * capacity for i in range(own.sum())] and piece[own].tolist() == list(range(own.sum()))
-        assert own.sum() <= 1 if t[k] <= capacity else (size[own][:-1] == capacity).all()
+        assert start[own].tolist() == (np.cumsum(size[own]) - size[own]).tolist() and piece[own].tolist() == list(range(own.sum()))
+        if t[k] > capacity:
+            assert (loss[own] <= most_loss).all()
+        else:
+            assert own.sum() == (t[k] > 0)
 
 
 DOCS = "doc_id bigint, text string, source string, spec_id int"
@@ -63,6 +68,12 @@ def test_containers(spark):
             assert sum(r.n_tokens for r in mine) == copies * size[k] and (size[k] > capacity or len(mine) == copies)
         assert sum(r.n_tokens for r in own if r.doc_id == 100) == size[100]
         assert not [r for r in own if r.doc_id in (101, 102)] and [r for r in own if r.doc_id is None]
+        assert all(sum(r.n_loss for r in b) <= int(0.9 * capacity) or len(b) == 1 and b[0].piece == 0 and size[b[0].doc_id] <= capacity for b in held.values())
+    sizes = spark.createDataFrame([(1, 64), (2, 256)], "spec_id int, capacity_tokens int")
+    for r in packing.report(spark.createDataFrame(got), sizes).collect():
+        assert r.over_tokens == r.over_segments == r.over_loss == 0 and r.containers >= r.fewest and 0 < r.filled <= 1
+    again = packing.containers(df.repartition(7), [(1, 64), (2, 256)], block=32).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
     assert packing.containers(df.limit(0), [(1, 64)]).collect() == [] and packing.containers(df, []).collect() == []
 
 
