@@ -42,13 +42,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "score_files", "series_id", "dataset", "run_no", "content")
-    out = drift.fused_schema(files, drift.stored_changes(files))
+    out = drift.fused_schema(files)
     return out.withColumn("headers", F.array_join("headers", "; "))
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "score_files", "series_id", "dataset", "run_no", "content")
-    return drift.consistent_table(files, drift.stored_changes(files)).withColumn("fields", F.to_json("fields"))
+    return drift.consistent_table(files).withColumn("fields", F.to_json("fields"))
 
 
 def queries() -> dict:
