@@ -249,27 +249,24 @@ def in_triangles(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     return ((s1 >= 0) & (s2 >= 0) & (s3 >= 0)) | ((s1 <= 0) & (s2 <= 0) & (s3 <= 0))
 
 
-class Hierarchy:
-    """A bounding-volume hierarchy over triangles: halves by the median centre along the longer axis down to small leaves."""
+class Boxes:
+    """A bounding-volume hierarchy over boxes (low, high: n x 2): halves by the median centre along the longer axis down to small leaves."""
 
-    def __init__(self, triangles: np.ndarray, leaf: int = 8):
-        self.triangles, self.leaf = triangles, leaf
-        self.low, self.high = triangles.min(axis=1) if len(triangles) else np.empty((0, 2)), triangles.max(axis=1) if len(triangles) else np.empty((0, 2))
-        self.boxes: list[tuple] = []
+    def __init__(self, low: np.ndarray, high: np.ndarray, leaf: int = 8):
+        self.low, self.high = low.reshape(-1, 2), high.reshape(-1, 2)
+        self.bounds: list[tuple] = []
         self.kids: list[tuple[int, int] | None] = []
         self.items: list[np.ndarray | None] = []
-        if not len(triangles):
-            return
-        centre = triangles.mean(axis=1)
-        todo = [(np.arange(len(triangles)), -1, 0)]
+        centre = (self.low + self.high) / 2
+        todo = [(np.arange(len(self.low)), -1, 0)] if len(self.low) else []
         while todo:
             own, parent, side = todo.pop()
-            me = len(self.boxes)
+            me = len(self.bounds)
             if parent >= 0:
                 pair = self.kids[parent]
                 self.kids[parent] = (me, pair[1]) if side == 0 else (pair[0], me)
             lo, hi = self.low[own].min(axis=0), self.high[own].max(axis=0)
-            self.boxes.append((lo[0], lo[1], hi[0], hi[1]))
+            self.bounds.append((lo[0], lo[1], hi[0], hi[1]))
             if len(own) <= leaf:
                 self.kids.append(None)
                 self.items.append(own)
@@ -280,13 +277,13 @@ class Hierarchy:
             self.items.append(None)
             todo += [(order[: len(order) // 2], me, 0), (order[len(order) // 2 :], me, 1)]
 
-    def hits(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(point, triangle) pairs of all points in triangles."""
+    def candidates(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, box) of all points in boxes, borders included."""
         points, found = [], []
-        todo = [(0, np.arange(len(x)))] if self.boxes else []
+        todo = [(0, np.arange(len(x)))] if self.bounds else []
         while todo:
             node, own = todo.pop()
-            x0, y0, x1, y1 = self.boxes[node]
+            x0, y0, x1, y1 = self.bounds[node]
             px, py = x[own], y[own]
             own = own[(px >= x0) & (px <= x1) & (py >= y0) & (py <= y1)]
             if not len(own):
@@ -297,9 +294,21 @@ class Hierarchy:
             items = self.items[node]
             p, t = np.repeat(own, len(items)), np.tile(items, len(own))
             near = (x[p] >= self.low[t, 0]) & (x[p] <= self.high[t, 0]) & (y[p] >= self.low[t, 1]) & (y[p] <= self.high[t, 1])
-            p, t = p[near], t[near]
-            inside = in_triangles(x[p], y[p], self.triangles[t])
-            points.append(p[inside])
-            found.append(t[inside])
+            points.append(p[near])
+            found.append(t[near])
         none = np.empty(0, dtype=np.int64)
         return (np.concatenate(points), np.concatenate(found)) if points else (none, none)
+
+
+class Hierarchy(Boxes):
+    """A bounding-volume hierarchy over triangles (n, 3, 2)."""
+
+    def __init__(self, triangles: np.ndarray, leaf: int = 8):
+        super().__init__(triangles.min(axis=1) if len(triangles) else np.empty((0, 2)), triangles.max(axis=1) if len(triangles) else np.empty((0, 2)), leaf)
+        self.triangles = triangles
+
+    def hits(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, triangle) pairs of all points in triangles."""
+        p, t = self.candidates(x, y)
+        inside = in_triangles(x[p], y[p], self.triangles[t])
+        return p[inside], t[inside]

@@ -3,8 +3,10 @@
 near(): a grid of cells twice the distance wide; a point is at home in its cell and a guest in those cells to the
 right and above that it could reach, so each pair meets in exactly one cell of one equi-join, all inside the JVM.
 
-in_regions(): every polygon is triangulated by ear clipping, the triangles go through a bounding-volume hierarchy,
-candidates are tested exactly, and a region that holds a point by several triangles (a shared border) counts once.
+in_regions(): every polygon is triangulated by ear clipping and the triangles are laid out in blocks along a space-filling
+curve. A hierarchy over the blocks' boxes (whose number is bounded whatever the input) names the blocks that may hold a
+point; block by block, a hierarchy over its triangles names the candidates, which are tested exactly. A region that holds a
+point by several triangles (a shared border) counts once. There is one way for every size.
 
 Defined results:
 * points with null or NaN coordinates don't count; rows that repeat an id at one place count once;
@@ -21,19 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from roadloom.functions.frames import located, spread
-from roadloom.functions.polygons import Hierarchy, in_triangles, region_triangles
+from roadloom.functions.frames import located, spread, stored
+from roadloom.functions.polygons import Boxes, Hierarchy, region_triangles
 
 SLACK = 1e-8
 
 
+def _rows(points: DataFrame, point_id: str, group: str, x: str, y: str) -> DataFrame:
+    return points.select(F.col(group).alias("grp"), F.col(point_id).cast("bigint").alias("pid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(located() & F.col("grp").isNotNull() & F.col("pid").isNotNull())
+
+
 def places(points: DataFrame, point_id: str = "node_id", group: str = "city", x: str = "x", y: str = "y") -> DataFrame:
     """Distinct located (group, id, x, y)."""
-    return points.select(F.col(group).alias("grp"), F.col(point_id).cast("bigint").alias("pid"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(located() & F.col("grp").isNotNull() & F.col("pid").isNotNull()).distinct()
+    return _rows(points, point_id, group, x, y).distinct()
 
 
 def near(points: DataFrame, distance: float, point_id: str = "node_id", group: str = "city", x: str = "x", y: str = "y") -> DataFrame:
@@ -68,57 +73,87 @@ def triangles(regions: DataFrame, region_id: str = "region_id", group: str = "ci
     return rows.mapInArrow(run, TRIANGLE)
 
 
-def in_regions(points: DataFrame, regions: DataFrame, point_id: str = "node_id", region_id: str = "region_id", group: str = "city", x: str = "x", y: str = "y", geometry: str = "geometry", most_broadcast: int = 100_000) -> DataFrame:
-    """(region_id, point_id) of the points within the regions of their group.
-
-    Up to most_broadcast triangles (8 MB) the hierarchies of all groups go to every executor; the count is taken first.
-    Beyond it, triangles and points meet in an equi-join on the tiles of a grid, where a hot tile is split by AQE.
-    """
-    p, t = places(points, point_id, group, x, y), triangles(regions, region_id, group, geometry)
-    held = t.limit(most_broadcast + 1).toPandas()
-    if len(held) <= most_broadcast:
-        return _by_hierarchy(p, held).distinct()
-    return _by_tiles(p, t).distinct()
-
-
-def _by_hierarchy(p: DataFrame, held) -> DataFrame:
-    trees = {}
-    for g, own in held.groupby("grp"):
-        trees[g] = (Hierarchy(own[["x0", "y0", "x1", "y1", "x2", "y2"]].to_numpy(float).reshape(-1, 3, 2)), own["region_id"].to_numpy(np.int64))
-    shared = p.sparkSession.sparkContext.broadcast(trees)
+#: Triangles of a block, and the most blocks there are: beyond their product blocks grow instead, so that the hierarchy over
+#: blocks (40 bytes each) stays within 1 MB. Points that one task tests against a block.
+BLOCK, MOST_BLOCKS, MOST_POINTS = 4096, 16_384, 200_000
+
+
+def _curve(c: Column, least: Column, most: Column) -> Column:
+    """c as 16 bits within its range, spread out to every second bit."""
+    v = F.floor(F.when(most > least, (c - least) / (most - least)).otherwise(0.0) * 65535).cast("bigint")
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def blocks(t: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """triangles() with the block of each, stored: runs of about `block` triangles by group and place along a Morton curve."""
+    t = stored(t)
+    n = min(most_blocks, max(1, -(-t.count() // block)))
+    size = t.groupBy("grp").agg(F.min("x0").alias("ax"), F.max("x0").alias("bx"), F.min("y0").alias("ay"), F.max("y0").alias("by"))
+    code = _curve(F.col("x0"), F.col("ax"), F.col("bx")).bitwiseOR(F.shiftleft(_curve(F.col("y0"), F.col("ay"), F.col("by")), 1))
+    placed = t.join(size, "grp").select(*t.columns, code.alias("z"))
+    return stored(placed.repartitionByRange(n, "grp", "z", "region_id", "x1", "y1").withColumn("block", F.spark_partition_id()).drop("z"))
+
+
+def in_regions(points: DataFrame, regions: DataFrame, point_id: str = "node_id", region_id: str = "region_id", group: str = "city", x: str = "x", y: str = "y", geometry: str = "geometry", block: int = BLOCK, most_points: int = MOST_POINTS) -> DataFrame:
+    """(region_id, point_id) of the points within the regions of their group."""
+    p = places(points, point_id, group, x, y).select(F.col("grp").cast("string").alias("grp"), "pid", "x", "y")
+    t = blocks(triangles(regions, region_id, group, geometry), block)
+    low, high = lambda v: F.min(F.least(*[f"{v}{k}" for k in range(3)])), lambda v: F.max(F.greatest(*[f"{v}{k}" for k in range(3)]))
+    boxes = t.groupBy("block").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), low("x").alias("lx"), low("y").alias("ly"), high("x").alias("hx"), high("y").alias("hy")).limit(MOST_BLOCKS + 1).toPandas()
+    if len(boxes) > MOST_BLOCKS:
+        raise ValueError("more blocks of triangles than the hierarchy over them may hold")
+    shared = p.sparkSession.sparkContext.broadcast(boxes)
+    asked = candidates_by_block(p, shared)
+    raw = candidates_by_block(_rows(points, point_id, group, x, y).select(F.col("grp").cast("string").alias("grp"), "pid", "x", "y"), shared)  # with repeats: enough for a bound
+    load = F.broadcast(stored(raw.groupBy("block").agg(F.ceil(F.count("*") / most_points).cast("int").alias("parts"))))  # a row per block, so at most MOST_BLOCKS
+    place = F.pmod(F.xxhash64("pid", "x", "y"), F.col("parts")).cast("int").alias("part")
+    a = asked.join(load, "block").select("block", place, "grp", "pid", "x", "y")
+    b = t.join(load, "block").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[np.ndarray] = [np.empty((2, 0), dtype=np.int64)]
+        if asked.num_rows and held.num_rows:
+            groups, own = (np.asarray(v.column("grp").to_pylist(), dtype=object) for v in (asked, held))
+            ids, xs, ys = (asked.column(c).to_numpy() for c in ("pid", "x", "y"))
+            regions, corners = held.column("region_id").to_numpy(), np.stack([held.column(f"{v}{k}").to_numpy() for k in range(3) for v in "xy"], axis=1).reshape(-1, 3, 2)
+            for g in dict.fromkeys(own.tolist()):
+                mine, theirs = np.flatnonzero(groups == g), np.flatnonzero(own == g)
+                point, triangle = Hierarchy(corners[theirs]).hits(xs[mine], ys[mine])
+                out.append(np.unique(np.stack([regions[theirs][triangle], ids[mine][point]]), axis=1))
+        pairs = np.concatenate(out, axis=1)
+        return pa.table({"region_id": pa.array(pairs[0]), "point_id": pa.array(pairs[1])})
+
+    return a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInArrow(run, "region_id bigint, point_id bigint").distinct()
+
+
+def candidates_by_block(p: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+    """(block, grp, pid, x, y) of the points (grp, pid, x, y) and the blocks whose group range and box hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes = shared.value
+        number, g0, g1 = boxes["block"].to_numpy(), boxes["g0"].to_numpy(dtype=object), boxes["g1"].to_numpy(dtype=object)
+        trees: dict[str, tuple[np.ndarray, Boxes]] = {}
         for batch in batches:
             groups = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            ids, xs, ys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            xs, ys = (batch.column(k).to_numpy() for k in (2, 3))
+            point, block = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for g in dict.fromkeys(groups.tolist()):
-                if g in shared.value:
-                    tree, regions = shared.value[g]
-                    own = np.flatnonzero(groups == g)
-                    point, triangle = tree.hits(xs[own], ys[own])
-                    pairs = np.unique(np.stack([regions[triangle], ids[own][point]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["region_id", "point_id"])
-
-    return p.select(F.col("grp").cast("string"), "pid", "x", "y").mapInArrow(run, "region_id bigint, point_id bigint")
-
-
-def _by_tiles(p: DataFrame, t: DataFrame, tiles: int = 256) -> DataFrame:
-    """A tile is a 1/tiles part of a group's extent each way."""
-    xs, ys = F.array("x0", "x1", "x2"), F.array("y0", "y1", "y2")
-    box = t.select("*", F.array_min(xs).alias("lx"), F.array_max(xs).alias("hx"), F.array_min(ys).alias("ly"), F.array_max(ys).alias("hy"))
-    size = box.groupBy("grp").agg((F.greatest((F.max("hx") - F.min("lx")) / tiles, F.lit(1e-6))).alias("w"), (F.greatest((F.max("hy") - F.min("ly")) / tiles, F.lit(1e-6))).alias("h"))
-    tile = lambda c, s: F.floor(F.col(c) / F.col(s))
-    tt = box.join(size, "grp").select("*", F.explode(F.sequence(tile("lx", "w"), tile("hx", "w"))).alias("tx")).select("*", F.explode(F.sequence(tile("ly", "h"), tile("hy", "h"))).alias("ty"))
-    pp = p.join(size, "grp").select("grp", "pid", "x", "y", tile("x", "w").alias("tx"), tile("y", "h").alias("ty"))
-    meet = pp.join(tt.drop("w", "h"), ["grp", "tx", "ty"]).filter("x between lx and hx and y between ly and hy").select("region_id", "pid", "x", "y", "x0", "y0", "x1", "y1", "x2", "y2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(10)]
-            inside = in_triangles(c[2], c[3], np.stack(c[4:], axis=1).reshape(-1, 3, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0][inside]), pa.array(c[1][inside])], names=["region_id", "point_id"])
-
-    return meet.mapInArrow(run, "region_id bigint, point_id bigint")
+                if g not in trees:
+                    if len(trees) >= 1000:
+                        trees.clear()
+                    near = np.flatnonzero((g0 <= g) & (g1 >= g)) if len(boxes) else np.empty(0, dtype=np.int64)
+                    trees[g] = near, Boxes(boxes[["lx", "ly"]].to_numpy(float)[near], boxes[["hx", "hy"]].to_numpy(float)[near])
+                near, tree = trees[g]
+                own = np.flatnonzero(groups == g)
+                a, b = tree.candidates(xs[own], ys[own])
+                point.append(own[a])
+                block.append(number[near[b]].astype(np.int64))
+            at = pa.array(np.concatenate(point))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(block).astype(np.int32)), *(batch.column(k).take(at) for k in range(4))], names=["block", "grp", "pid", "x", "y"])
+
+    return p.mapInArrow(run, "block int, grp string, pid bigint, x double, y double")
 
 
 def found(nodes: DataFrame, regions: DataFrame, distance: float = 10.0) -> DataFrame:

@@ -94,14 +94,14 @@ def test_near_against_brute_force(spark):
     assert spatial.near(spark.createDataFrame([], NODES), 10.0).collect() == []
 
 
-def test_regions_by_hierarchy_and_by_tiles(spark):
+def test_regions_by_blocks_of_any_size(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice("AB"), rnd.uniform(-110, 110), rnd.uniform(-110, 110), 0) for i in range(400)] + [(990, "A", None, 0.0, 0), (991, None, 0.0, 0.0, 0)]
     regions = [(1, "A", json.dumps({"type": "Polygon", "coordinates": star(1, 40, 2)})), (2, "B", json.dumps({"type": "MultiPolygon", "coordinates": [star(2, 30, 1), star(2, 30, 1)]})), (3, "A", None), (4, "A", "POINT (1 1)"), (5, None, SQUARE)]
     n, r = spark.createDataFrame(rows, NODES), spark.createDataFrame(regions, "region_id bigint, city string, geometry string")
     want = {(rid, i) for rid, c, g in regions if c for i, city, x, y, _ in rows if city == c and x is not None and even_odd(P.parse_polygons(g), x, y)}
     assert {tuple(t) for t in spatial.in_regions(n, r).collect()} == want
-    assert {tuple(t) for t in spatial.in_regions(n, r, most_broadcast=10).collect()} == want
+    assert {tuple(t) for t in spatial.in_regions(n, r, block=3, most_points=5).collect()} == want
     assert spatial.in_regions(n, r.limit(0)).collect() == [] and spatial.in_regions(n.limit(0), r).collect() == []
 
 
