@@ -25,7 +25,7 @@ STEPS = {2: "graphs", 3: "connectivity", 4: "efficiency", 5: "hierarchy", 6: "co
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("roadloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("roadloom").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
 
 
 class Programme:
@@ -168,7 +168,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = session()
     if args.what == "run":
-        cities = args.city or [r.city for r in table(spark, args.tables, "nodes", "city").filter("city is not null").distinct().limit(10_000).collect()]
+        cities = args.city or files.known_cities(table(spark, args.tables, "nodes", "city"))
         problems = files.preflight(*(table(spark, args.tables, t, "city") for t in ("nodes", "edges", "city_extents")), cities)
         if problems:
             print("\n".join(problems), file=sys.stderr)

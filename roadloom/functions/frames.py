@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -32,11 +33,14 @@ def keep_columns(df: DataFrame, keep: Iterable[str], made: Iterable[str]) -> lis
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names in spark.checkpoint.dir.
 
-    The setting is read from the session; only where it is unset (tests, notebooks) a temporary folder is used.
+    The setting is read from the session. Where it is unset, a temporary folder serves a local master (tests, notebooks), and a
+    cluster, whose executors wouldn't share it, is refused.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "roadloom-checkpoints"))
     return sc.getCheckpointDir()
 
@@ -47,6 +51,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables under shared_folder()."""
+    if not path.startswith(shared_folder(spark)):
+        raise ValueError(f"not under the shared folder: {path}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """df over at least the cluster's cores (or at_least) partitions: small files would otherwise leave Python work on one core.
 

@@ -121,6 +121,8 @@ def components(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 64, most_p
         labels = stored(hooked.join(owner, ["city", "label"]).select("city", "node_id", F.col("above").alias("label")))
         if hooked.filter("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the labels still move after {most_rounds} rounds")
     # every label now is constant within a component; chains of labels are followed to their end
     while True:
         owner = labels.select("city", F.col("node_id").alias("label"), F.col("label").alias("above"))

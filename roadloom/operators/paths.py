@@ -171,8 +171,8 @@ def _joined(both: DataFrame, sources: DataFrame, most_rounds: int = 100_000) ->
         step = best.filter("fresh").join(both, [best.city == both.city, best.target == both.a]).select(best.city, "source", F.col("b").alias("target"), (F.col("d") + F.col("w")).alias("d"), F.lit(True).alias("fresh"))
         best = stored(best.withColumn("fresh", F.lit(False)).unionByName(step).groupBy("city", "source", "target").agg(F.min(F.struct("d", "fresh")).alias("m")).select("city", "source", "target", "m.d", "m.fresh"))
         if best.filter("fresh").isEmpty():
-            break
-    return best.select("city", "source", "target", "d")
+            return best.select("city", "source", "target", "d")
+    raise RuntimeError(f"distances still shrink after {most_rounds} rounds")
 
 
 CLOSENESS = "city string, source bigint, reachable bigint, total_hops bigint"

@@ -164,14 +164,15 @@ def position(value: Column, lower: Column, upper: Column) -> Column:
 
 
 def interpretation(index: DataFrame, reference: DataFrame) -> DataFrame:
-    """city, position, mean_side, one column per pillar, and the sentences."""
+    """city, position, mean_side, one column per pillar, and the sentences with the range, the mean and the pillar means."""
     both = index.join(F.broadcast(reference))
     i, m = F.col("index_score"), F.col("index_mean")
     mean_side = F.when(i > m, "above").when(i < m, "below").when(i.isNotNull(), "equal to")
     own = [side(F.col(f"{p}_score"), F.col(f"{p}_mean")).alias(f"{p}_side") for p in PILLARS]
-    out = both.select("city", "index_score", "index_mean", *[f"{p}_score" for p in PILLARS], position(i, F.col("reference_lower"), F.col("reference_upper")).alias("position"), mean_side.alias("mean_side"), *own)
-    parts = [F.format_string(f"{p} is %.2f, %s", F.col(f"{p}_score"), F.col(f"{p}_side")) for p in PILLARS]
-    text = F.concat_ws("; ", F.format_string("The index of %s is %.2f, %s and %s the mean of %.2f", F.col("city"), F.col("index_score"), F.col("position"), F.col("mean_side"), F.col("index_mean")), *parts)
+    low, high = F.col("reference_lower"), F.col("reference_upper")
+    out = both.select("city", "index_score", "index_mean", "reference_lower", "reference_upper", *[f"{p}_{x}" for p in PILLARS for x in ("score", "mean")], position(i, low, high).alias("position"), mean_side.alias("mean_side"), *own)
+    parts = [F.format_string(f"{p} is %.2f, %s (%.2f)", F.col(f"{p}_score"), F.col(f"{p}_side"), F.col(f"{p}_mean")) for p in PILLARS]
+    text = F.concat_ws("; ", F.format_string("The index of %s is %.2f, %s (%.2f to %.2f) and %s the mean of %.2f", F.col("city"), i, F.col("position"), low, high, F.col("mean_side"), m), *parts)
     return out.withColumn("summary", text)
 
 

@@ -185,38 +185,55 @@ def convex_hulls(points: DataFrame, group: str = "city") -> DataFrame:
     return located.mapInPandas(reduce, "grp string, x double, y double").groupBy("grp").applyInPandas(finish, f"{group} string, corners int, area_m2 double, geometry string")
 
 
-def stitch(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+def rings_of(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
     """Closed rings from unordered, unoriented ways whose ends agree to seven decimals.
 
-    Starting from the last way left, the first remaining way that continues either end is joined, reversed if need be.
-    ValueError if a ring stays open or closes with fewer than four points.
+    The ways are the edges of a graph over their rounded ends. Where every end has an even number of ways, its edges fall
+    into closed trails, and each trail is cut into rings wherever it comes back to an end it has passed. A way that is closed
+    by itself is a ring. ValueError if some end has an odd number of ways (a ring stays open) or a ring has under four points.
     """
     key = lambda p: (round(p[0], 7), round(p[1], 7))
-    left, rings = [list(w) for w in ways if len(w) >= 2], []
-    while left:
-        ring = left.pop()
-        while key(ring[0]) != key(ring[-1]):
-            for k, way in enumerate(left):
-                if key(ring[-1]) == key(way[0]):
-                    ring = ring + way[1:]
-                elif key(ring[-1]) == key(way[-1]):
-                    ring = ring + way[-2::-1]
-                elif key(ring[0]) == key(way[-1]):
-                    ring = way[:-1] + ring
-                elif key(ring[0]) == key(way[0]):
-                    ring = way[:0:-1] + ring
-                else:
-                    continue
-                del left[k]
+    ways = [w for w in ways if len(w) >= 2]
+    ends = [(key(w[0]), key(w[-1])) for w in ways]
+    at: dict[tuple, list[int]] = {}
+    for k, pair in enumerate(ends):
+        for end in pair:
+            at.setdefault(end, []).append(k)
+    if any(len(own) % 2 for own in at.values()):
+        raise ValueError("a ring stays open")
+    unused, rings = set(range(len(ways))), []
+    for first in range(len(ways)):
+        if first not in unused:
+            continue
+        trail: list[tuple[tuple, int]] = []  # (end a way was entered at, the way)
+        seen = {ends[first][0]: 0}
+        here = ends[first][0]
+        while True:
+            way = next((k for k in at[here] if k in unused), None)
+            if way is None:
                 break
+            unused.discard(way)
+            trail.append((here, way))
+            here = ends[way][1] if ends[way][0] == here else ends[way][0]
+            if here in seen:
+                back = seen[here]
+                ring = _joined_ways([(ways[k] if ends[k][0] == entered else ways[k][::-1]) for entered, k in trail[back:]])
+                if len(ring) < 4:
+                    raise ValueError("a ring has fewer than four points")
+                rings.append(ring)
+                for entered, _ in trail[back + 1 :]:
+                    seen.pop(entered, None)
+                del trail[back:]
             else:
-                raise ValueError("a ring stays open")
-        if len(ring) < 4:
-            raise ValueError("a ring has fewer than four points")
-        rings.append(ring)
+                seen[here] = len(trail)
     return rings
 
 
+def _joined_ways(run: list[list[tuple[float, float]]]) -> list[tuple[float, float]]:
+    """The points of ways that follow each other, without the repeated ends between them."""
+    return [p for k, way in enumerate(run) for p in (way[1:] if k else way)]
+
+
 def _inside(ring: np.ndarray, p: np.ndarray) -> bool:
     x, y = p
     a, b = ring, np.roll(ring, -1, axis=0)
@@ -227,14 +244,15 @@ def _inside(ring: np.ndarray, p: np.ndarray) -> bool:
 
 
 def assemble(outer: list[list[tuple]], inner: list[list[tuple]]) -> list[Polygon]:
-    """Polygons from outer and inner ways: each hole goes to the first outer ring that holds it."""
-    parts = [[np.asarray(r, dtype=float)[:-1]] for r in stitch(outer)]
-    for r in stitch(inner) if inner else []:
+    """Polygons from outer and inner ways: each hole goes to the smallest outer ring that holds it. ValueError if none does."""
+    parts = [[np.asarray(r, dtype=float)[:-1]] for r in rings_of(outer)]
+    by_size = sorted(parts, key=lambda part: abs(ring_area(part[0])))
+    for r in rings_of(inner) if inner else []:
         hole = np.asarray(r, dtype=float)[:-1]
-        for part in parts:
-            if all(_inside(part[0], p) or (part[0] == p).all(axis=1).any() for p in hole):
-                part.append(hole)
-                break
+        held = next((part for part in by_size if all(_inside(part[0], p) or (part[0] == p).all(axis=1).any() for p in hole)), None)
+        if held is None:
+            raise ValueError("a hole lies in no outer ring")
+        held.append(hole)
     return parts
 
 
@@ -264,14 +282,36 @@ def relation_polygons(members: DataFrame) -> DataFrame:
     return members.groupBy("relation_id").applyInPandas(run, BOUNDARY)
 
 
+# Kinds of administrative boundaries by level, and the tags that make a boundary of level 8 a municipal one.
+KIND_OF_LEVEL = {4: "STATE_OR_UT", 5: "DISTRICT", 6: "SUBDISTRICT", 7: "METROPOLITAN_AREA"}
+MUNICIPAL_LEVEL, MUNICIPAL, OTHER_KIND, UNKNOWN_KIND = 8, "MUNICIPAL_OR_CITY_BOUNDARY", "OTHER_ADMINISTRATIVE", "UNKNOWN"
+MUNICIPAL_GOVERNMENTS = ("municipality", "municipal corporation", "municipal_corporation", "city council", "city_council", "municipal council", "municipal_council")
+MUNICIPAL_PLACES = ("city", "town", "municipality")
+
+
 def administrative_kind(tags: Column) -> tuple[Column, Column]:
-    """(kind, reason) of a boundary relation by its tags: level 4 state to level 8 city, corroborated by place or name."""
-    level = F.try_element_at(tags, F.lit("admin_level")).try_cast("int")
-    tag = lambda k: F.lower(F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit("")))
-    admin = tag("boundary") == "administrative"
-    urban = tag("place").isin("city", "town", "municipality") | tag("name").rlike("corporation|municipal|nagar") | (tag("border_type") == "city")
-    kind = F.when(~admin, "not administrative").when(level.isNull(), "unknown level").when(level <= 4, "state").when(level == 5, F.when(urban, "city").otherwise("district")).when(level == 6, F.when(urban, "city").otherwise("subdistrict")).when(level.isin(7, 8), F.when(urban, "city").otherwise("local body")).otherwise("ward or below")
-    reason = F.concat_ws("; ", F.concat(F.lit("admin_level="), F.coalesce(level.cast("string"), F.lit("none"))), F.when(urban, F.lit("named or tagged as a city")))
+    """(kind, reason) of a boundary relation by its tags (a map of texts).
+
+    Levels 4 to 7 have one kind each; level 8 is municipal only if its government or its place says so, and unknown otherwise;
+    whole numbers outside 4 to 8 are another administrative kind. Relations that are no administrative boundary and levels
+    that are no whole number are unknown.
+    """
+    raw = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
+    plain = lambda k: F.lower(F.regexp_replace(raw(k), r"^\s+|\s+$", ""))
+    level = F.when(plain("admin_level").rlike(r"^[+-]?\d+$"), plain("admin_level").try_cast("int"))
+    admin = F.lower(raw("boundary")) == "administrative"
+    urban = plain("government").isin(*MUNICIPAL_GOVERNMENTS) | plain("place").isin(*MUNICIPAL_PLACES)
+    known = F.create_map(*[x for k, v in KIND_OF_LEVEL.items() for x in (F.lit(k), F.lit(v))])
+    municipal = level == MUNICIPAL_LEVEL
+    kind = F.when(~admin | level.isNull(), UNKNOWN_KIND).when(level.isin(*KIND_OF_LEVEL), F.try_element_at(known, level)).when(municipal & urban, MUNICIPAL).when(municipal, UNKNOWN_KIND).otherwise(OTHER_KIND)
+    reason = (
+        F.when(~admin, "not tagged as an administrative boundary")
+        .when(level.isNull(), "admin_level is missing or no number")
+        .when(level.isin(*KIND_OF_LEVEL), F.concat(F.lit("by admin_level "), level.cast("string")))
+        .when(municipal & urban, "admin_level 8 with a municipal government or place tag")
+        .when(municipal, "admin_level 8 without a municipal government or place tag")
+        .otherwise(F.concat(F.lit("admin_level "), level.cast("string"), F.lit(" is outside 4 to 8")))
+    )
     return kind, reason
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo
-from roadloom.functions.frames import located, shared_folder, spread, stored, table
+from roadloom.functions.frames import located, removed, shared_folder, spread, stored, table
 from roadloom.functions.stats import pilot_size
 from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes, spatial
 from roadloom.streaming import cells as streaming
@@ -479,7 +479,7 @@ def alt_core_support(spark, d):
 
 
 def alternative_extent(spark, d):
-    return grid.alternative_extent(stored(_covered(spark, d)), _centers(spark, d), least_core_km2=0.25).select("city", "component_id", "core_count", "cell_count", "core_area_km2")
+    return grid.alternative_extent(stored(_covered(spark, d)), _centers(spark, d)).select("city", "component_id", "core_count", "cell_count", "core_area_km2")
 
 
 def extent_outline(spark, d):
@@ -559,11 +559,12 @@ def convex_hull(spark, d):
 
 
 def admin_classify(spark, d):
-    """Boundary relations made of order rows: level, place and kind by their keys."""
+    """Boundary relations made of order rows: level (one in ten none), government and place by their keys."""
     o = table(spark, d, "orders", "o_orderkey", "o_custkey")
-    k = F.col("o_orderkey")
-    tags = F.create_map(F.lit("admin_level"), (F.pmod(k, F.lit(7)) + 3).cast("string"), F.lit("boundary"), F.when(F.pmod(F.col("o_custkey"), F.lit(10)) == 0, "postal").otherwise("administrative"), F.lit("place"), F.when(F.pmod(k, F.lit(3)) == 0, "city").otherwise("hamlet"))
-    kind, reason = shapes.administrative_kind(tags)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    level = F.when(F.pmod(c, F.lit(10)) == 1, "none").otherwise((F.pmod(k, F.lit(8)) + 2).cast("string"))
+    kinds = F.create_map(F.lit("admin_level"), level, F.lit("boundary"), F.when(F.pmod(c, F.lit(10)) == 0, "postal").otherwise("administrative"), F.lit("place"), F.when(F.pmod(k, F.lit(3)) == 0, "Town").otherwise("hamlet"), F.lit("government"), F.when(F.pmod(k, F.lit(5)) == 0, " City_Council").otherwise(""))
+    kind, reason = shapes.administrative_kind(kinds)
     return o.select("o_orderkey", kind.alias("kind"), reason.alias("reason"))
 
 
@@ -634,7 +635,8 @@ def streamed_coverage(spark, d):
     """Covered area per cell of the footprints, arriving as files in micro-batches."""
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     footprints(spark, d).repartition(4).write.parquet(f"{place}/in")
-    got = streaming.ingest(spark, f"{place}/in", f"{place}/out", f"{place}/state", files_per_batch=2)
+    got = stored(streaming.ingest(spark, f"{place}/in", f"{place}/out", f"{place}/state", files_per_batch=2))
+    removed(spark, place)
     return got.select("city", "cx", "cy", _r("building_area_m2", 3))
 
 

@@ -223,7 +223,7 @@ SELECT city, measure, round(CAST(a AS DOUBLE), 6) AS full_value, round(CAST(b AS
     "normalization_reference": f"WITH {_METRICS} SELECT metric, round(min(lo), 6) AS minimum_reference_value, round(max(hi), 6) AS maximum_reference_value, 'higher' AS direction FROM scored GROUP BY metric",
     "evaluate_vs_reference": f"WITH {_METRICS}, oth AS (SELECT a.city, a.metric, a.value, min(b.value) AS lo, max(b.value) AS hi FROM vals a JOIN vals b ON a.metric = b.metric AND a.city <> b.city GROUP BY a.city, a.metric, a.value) SELECT city, metric, round(CASE WHEN abs(hi - lo) <= 1e-8 + 1e-5 * abs(lo) THEN 50.0 ELSE 100 * (value - lo) / (hi - lo) END, 6) AS score FROM oth",
     "winners": f"WITH {_METRICS} SELECT metric, city, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY metric ORDER BY score DESC, city) = 1",
-    "interpretation": f"WITH {_METRICS}, t AS (SELECT city, i, m, c, e, h, {_POS} AS position, {_MEANSIDE} AS mean_side, {_SIDE('c', 'cm')} AS connectivity_side, {_SIDE('e', 'em')} AS efficiency_side, {_SIDE('h', 'hm')} AS hierarchy_side FROM idx, ref) SELECT city, position, mean_side, connectivity_side, efficiency_side, hierarchy_side, printf('The index of %s is %.2f, %s and %s the mean of %.2f; connectivity is %.2f, %s; efficiency is %.2f, %s; hierarchy is %.2f, %s', city, i, position, mean_side, m, c, connectivity_side, e, efficiency_side, h, hierarchy_side) AS summary FROM t",
+    "interpretation": f"WITH {_METRICS}, t AS (SELECT city, i, m, s, c, e, h, cm, em, hm, {_POS} AS position, {_MEANSIDE} AS mean_side, {_SIDE('c', 'cm')} AS connectivity_side, {_SIDE('e', 'em')} AS efficiency_side, {_SIDE('h', 'hm')} AS hierarchy_side FROM idx, ref) SELECT city, position, mean_side, connectivity_side, efficiency_side, hierarchy_side, printf('The index of %s is %.2f, %s (%.2f to %.2f) and %s the mean of %.2f; connectivity is %.2f, %s (%.2f); efficiency is %.2f, %s (%.2f); hierarchy is %.2f, %s (%.2f)', city, i, position, m - s, m + s, mean_side, m, c, connectivity_side, cm, e, efficiency_side, em, h, hierarchy_side, hm) AS summary FROM t",
     "grid_cells": f"{_GRID} SELECT city, n_rows * n_cols AS n_cells, n_rows * n_cols - 1 AS last_id, CAST(n_rows - 1 AS INT) AS last_row, CAST(n_cols - 1 AS INT) AS last_col, round(CAST((ox + 0.5) * 500 AS DOUBLE), 3) AS first_x, round(CAST((oy + 0.5) * 500 AS DOUBLE), 3) AS first_y FROM lim",
     "coverage": f"{_GRID} SELECT city, grid_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(area, 3) AS building_area_m2, round(c, 6) AS building_coverage FROM cov WHERE area > 0",
     "built_up": f"{_GRID} SELECT l.city, any_value(n_rows * n_cols) AS n_cells, count(*) FILTER (c >= 0.005) AS n_built_up, round(sum(area), 2) AS building_area_m2 FROM lim l JOIN cov USING (city) GROUP BY l.city",
@@ -245,9 +245,9 @@ SELECT city, measure, round(CAST(a AS DOUBLE), 6) AS full_value, round(CAST(b AS
     "extraction_envelope": f"WITH {_NODES}, ctr AS (SELECT city, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM nd WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY city), {_degrees('ctr')} SELECT city, round(lon - 50.0 / (111.32 * cos(radians(lat))), 7) AS west, round(lat - 50.0 / 111.32, 7) AS south, round(lon + 50.0 / (111.32 * cos(radians(lat))), 7) AS east, round(lat + 50.0 / 111.32, 7) AS north FROM deg",
     "polygon_area": f"WITH {_AREAS} SELECT region_id, CAST(count(*) FILTER (is_outer) AS INT) AS parts, CAST(count(*) FILTER (NOT is_outer) AS INT) AS holes, round(sum(CASE WHEN is_outer THEN a ELSE -a END), 1) AS area_m2, round(min(lx), 2) AS min_x, round(min(ly), 2) AS min_y, round(max(hx), 2) AS max_x, round(max(hy), 2) AS max_y FROM ra GROUP BY region_id",
     "polygon_overlay": f"WITH {_AREAS} SELECT region_id, round(sum(CASE WHEN is_outer THEN a ELSE -a END), 1) AS area_m2 FROM ra GROUP BY region_id",
-    "admin_classify": """WITH o AS (SELECT o_orderkey, o_orderkey % 7 + 3 AS l, o_custkey % 10 <> 0 AS adm, o_orderkey % 3 = 0 AS urban FROM orders)
-SELECT o_orderkey, CASE WHEN NOT adm THEN 'not administrative' WHEN l <= 4 THEN 'state' WHEN l = 5 THEN CASE WHEN urban THEN 'city' ELSE 'district' END WHEN l = 6 THEN CASE WHEN urban THEN 'city' ELSE 'subdistrict' END WHEN l IN (7, 8) THEN CASE WHEN urban THEN 'city' ELSE 'local body' END ELSE 'ward or below' END AS kind,
-  concat_ws('; ', 'admin_level=' || l, CASE WHEN urban THEN 'named or tagged as a city' END) AS reason FROM o""",
+    "admin_classify": """WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 1 THEN o_orderkey % 8 + 2 END AS l, o_custkey % 10 <> 0 AS adm, o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AS urban FROM orders)
+SELECT o_orderkey, CASE WHEN NOT adm OR l IS NULL THEN 'UNKNOWN' WHEN l = 4 THEN 'STATE_OR_UT' WHEN l = 5 THEN 'DISTRICT' WHEN l = 6 THEN 'SUBDISTRICT' WHEN l = 7 THEN 'METROPOLITAN_AREA' WHEN l = 8 AND urban THEN 'MUNICIPAL_OR_CITY_BOUNDARY' WHEN l = 8 THEN 'UNKNOWN' ELSE 'OTHER_ADMINISTRATIVE' END AS kind,
+  CASE WHEN NOT adm THEN 'not tagged as an administrative boundary' WHEN l IS NULL THEN 'admin_level is missing or no number' WHEN l BETWEEN 4 AND 7 THEN 'by admin_level ' || l WHEN l = 8 THEN 'admin_level 8 ' || CASE WHEN urban THEN 'with' ELSE 'without' END || ' a municipal government or place tag' ELSE 'admin_level ' || l || ' is outside 4 to 8' END AS reason FROM o""",
     "road_distance_lattice": f"{_WITH}, {_near(500.0, 500.0)} SELECT city, point_id, round(d, 3) AS d FROM dist",
     "distance_thresholds": f"{_WITH}, {_near(500.0, 500.0)} SELECT p.city, count(*) AS n_points, round(avg(d), 4) AS mean_d, round(median(d), 4) AS median_d, round(quantile_cont(d, 0.9), 4) AS p90_d, round(100.0 * count(*) FILTER (d <= 100) / count(*), 4) AS within_100m_pct, round(100.0 * count(*) FILTER (d <= 250) / count(*), 4) AS within_250m_pct, round(100.0 * count(*) FILTER (d <= 500) / count(*), 4) AS within_500m_pct FROM pt p LEFT JOIN dist USING (city, point_id) GROUP BY p.city",
     "buffer_coverage": f"{_WITH}, {_near(125.0, 250.0)} SELECT p.city, CAST(w AS DOUBLE) AS width_m, count(*) AS n_points, round(100.0 * count(*) FILTER (d <= w) / count(*), 6) AS covered_pct FROM pt p LEFT JOIN dist USING (city, point_id), (VALUES (50), (100), (250)) v(w) GROUP BY p.city, w",

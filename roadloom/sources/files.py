@@ -14,6 +14,7 @@ GEOJSON = "type string, features array<struct<type:string,properties:map<string,
 OSM_NODE = "_id bigint, _lat double, _lon double, tag array<struct<_k:string,_v:string>>"
 OSM_WAY = "_id bigint, nd array<struct<_ref:bigint>>, tag array<struct<_k:string,_v:string>>"
 OSM_RELATION = "_id bigint, member array<struct<_type:string,_ref:bigint,_role:string>>, tag array<struct<_k:string,_v:string>>"
+MOST_KEYS = MOST_CITIES = 10_000
 _DATA = "array<struct<_key:string,_VALUE:string>>"
 
 
@@ -86,7 +87,10 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with their data as maps from attribute name to text."""
     load = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     keys = load("key", "_id string, `_attr.name` string, _for string").select(F.col("_id").alias("k"), F.col("`_attr.name`").alias("name"))
-    names = {r.k: r.name for r in keys.limit(10_000).collect()}  # one row per attribute of the format
+    held = keys.limit(MOST_KEYS + 1).collect()  # one row per attribute of the format
+    if len(held) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} attributes are declared: no GraphML of a road network")
+    names = {r.k: r.name for r in held}
     pairs = [x for k, v in names.items() for x in (F.lit(k), F.lit(v))]
     named = (lambda c: F.create_map(*pairs)[c]) if pairs else (lambda c: c)
     data = F.map_from_entries(F.transform("data", lambda d: F.struct(F.coalesce(named(d["_key"]), d["_key"]).alias("key"), d["_VALUE"].alias("value"))))
@@ -147,6 +151,14 @@ def reused(spark: SparkSession, path: str, make: Callable[[], DataFrame], force:
     return spark.read.parquet(path)
 
 
+def known_cities(nodes: DataFrame) -> list[str]:
+    """The cities there are. ValueError beyond MOST_CITIES: name them then."""
+    rows = nodes.filter("city is not null").select("city").distinct().limit(MOST_CITIES + 1).collect()
+    if len(rows) > MOST_CITIES:
+        raise ValueError(f"more than {MOST_CITIES} cities: name those to run")
+    return sorted(r.city for r in rows)
+
+
 def preflight(nodes: DataFrame, edges: DataFrame, extents: DataFrame, cities: list[str]) -> list[str]:
     """All that is missing before a full run, none of it hiding another: cities without nodes, edges or an extent."""
     problems = []

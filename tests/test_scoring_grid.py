@@ -46,7 +46,7 @@ def test_composite_tiers_and_wording(spark):
     assert {r.tier for r in scoring.tiers(two).collect()} == {"Tier 2"}  # the bounds belong to the range
     text = {r.city: r for r in scoring.interpretation(i, scoring.reference_range(i)).collect()}
     assert text["A"].position == "above the reference range" and text["A"].mean_side == "above" and text["B"].mean_side == "equal to" and text["B"].connectivity_side == "close to the reference mean"
-    assert text["E"].summary.startswith("The index of E is 10.00, below the reference range and below the mean of 50.00; connectivity is 10.00, below the reference mean")
+    assert text["E"].summary.startswith("The index of E is 10.00, below the reference range (24.70 to 75.30) and below the mean of 50.00; connectivity is 10.00, below the reference mean (50.00)")
     flags = scoring.validation(index(spark, [("A", 90, 101, 90)]), ["B"]).first()
     assert flags.all_pillars_present and not flags.all_pillars_0_100 and flags.index_0_100 and not flags.city_expected
 

@@ -107,12 +107,20 @@ def test_regions_by_blocks_of_any_size(spark):
 
 def test_shapes(spark):
     ways = [[(0, 0), (5, 0)], [(5, 5), (0, 5)], [(5, 0), (5, 5)], [(0, 0), (0, 5)]]
-    ring = shapes.stitch(ways)
+    ring = shapes.rings_of(ways)
     assert len(ring) == 1 and ring[0][0] == ring[0][-1] and len(ring[0]) == 5
     with pytest.raises(ValueError, match="open"):
-        shapes.stitch(ways[:3])
+        shapes.rings_of(ways[:3])
     parts = shapes.assemble(ways, [[(1, 1), (2, 1), (2, 2), (1, 1)]])
     assert P.polygon_area(parts[0]) == 24.5
+    with pytest.raises(ValueError, match="no outer ring"):
+        shapes.assemble(ways, [[(8, 8), (9, 8), (9, 9), (8, 8)]])
+    inside = [[(1, 1), (4, 1), (4, 4), (1, 4), (1, 1)]]
+    assert [len(p) for p in shapes.assemble(ways + inside, [[(2, 2), (3, 2), (3, 3), (2, 2)]])] == [1, 2]  # the smallest ring holds the hole
+    eight = [[(0, 0), (1, 0)], [(1, 0), (1, 1), (0, 0)], [(0, 0), (-1, 0), (-1, -1)], [(0, 0), (-1, -1)]]
+    assert sorted(len(r) for r in shapes.rings_of(eight)) == [4, 4]
+    with pytest.raises(ValueError, match="four"):
+        shapes.rings_of([[(0, 0), (1, 1)], [(1, 1), (0, 0)]])
     assert np.allclose(shapes.centroid(P.parse_polygons("POLYGON ((0 0, 4 0, 4 2, 0 2, 0 0))")), (2, 1))
     spike = shapes.repaired(P.parse_polygons("POLYGON ((0 0, 4 0, 9 0, 4 0, 4 4, 0 4, 0 0))"))
     assert P.polygon_area(spike[0]) == 16 and len(spike[0][0]) == 4
@@ -152,3 +160,24 @@ def test_extent_points_have_exact_distances_however_far(spark):
 
     assert all(math.isclose(got[c, k], brute(x, y), abs_tol=1e-6) for (c, x, y), k in points.items() if c == "1")
     assert max(d for d in got.values() if d is not None) > 25_000
+
+
+def test_administrative_kinds(spark):
+    cases = [
+        ({"boundary": "Administrative", "admin_level": "4"}, "STATE_OR_UT"),
+        ({"boundary": "administrative", "admin_level": " 5", "place": "city"}, "DISTRICT"),
+        ({"boundary": "administrative", "admin_level": "6", "government": "municipality"}, "SUBDISTRICT"),
+        ({"boundary": "administrative", "admin_level": "7"}, "METROPOLITAN_AREA"),
+        ({"boundary": "administrative", "admin_level": "8", "government": " Municipal Corporation "}, "MUNICIPAL_OR_CITY_BOUNDARY"),
+        ({"boundary": "administrative", "admin_level": "8", "place": "Town"}, "MUNICIPAL_OR_CITY_BOUNDARY"),
+        ({"boundary": "administrative", "admin_level": "8", "name": "Some Corporation"}, "UNKNOWN"),
+        ({"boundary": "administrative", "admin_level": "3"}, "OTHER_ADMINISTRATIVE"),
+        ({"boundary": "administrative", "admin_level": "9", "place": "city"}, "OTHER_ADMINISTRATIVE"),
+        ({"boundary": "administrative", "admin_level": "8.0"}, "UNKNOWN"),
+        ({"boundary": "administrative"}, "UNKNOWN"),
+        ({"boundary": "postal", "admin_level": "4"}, "UNKNOWN"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, tags map<string,string>")
+    kind, reason = shapes.administrative_kind(df.tags)
+    got = {r.k: r for r in df.select("k", kind.alias("kind"), reason.alias("reason")).collect()}
+    assert [got[k].kind for k in range(len(cases))] == [w for _, w in cases] and all(r.reason for r in got.values())
