@@ -5,10 +5,14 @@ another document. Windows are not handled one by one: runs of neighbouring windo
 smallest hash of the `gram`-character grams in the window) form a segment, and equal windows always lie in segments of
 the same minimizer.
 
-1. Sketch: each partition counts its documents' distinct minimizers in a count-min sketch of saturating counters; the
-   merged sketch never underestimates how many documents hold a minimizer.
+1. Sketch: each partition counts its documents' distinct minimizers in a count-min sketch of saturating counters, which has
+   LOAD counters for each minimizer expected, however large the input is. The sketch exists in ranges of counters only:
+   partitions send what they touched to its ranges, where they are merged, and each range answers every partition about the
+   counters it asked for. Merged, the sketch never underestimates how many documents hold a minimizer.
 2. Second pass: only segments whose minimizer is estimated in two or more documents leave their partition, with a
-   128-bit hash of their whole stretch. Grouped exactly, a stretch held by two documents settles all its windows.
+   128-bit hash of their whole stretch. Grouped exactly, a stretch held by two documents settles all its windows. The answers
+   lie in the shared folder, a file per partition; a counter that a file doesn't know counts as repeated, so that a changed
+   partitioning costs time and loses nothing.
 3. The segments left over that share their minimizer with another document (the edges of passages) are compared window
    by window: every distinct stretch of such a minimizer is expanded to its window hashes, and these are grouped.
 4. Neighbouring shared windows are joined to maximal runs, in each document by itself.
@@ -23,19 +27,24 @@ end; ties don't arise. Positions count Unicode characters. Texts of any length a
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import spread, stored
+from roadloom.functions.frames import removed, shared_folder, spread, stored
 
 LEAST, GRAM = 200, 100
-#: Counters a row of the sketch, and its rows. A fixed size: 16 MB of bits are sent to the executors however large the
-#: input is. Beyond some 50 million minimizers it lets more segments pass than needed; it never loses one.
-COUNTERS, ROWS = 2**26, 2
+#: Counters per expected minimizer and row of the sketch, and its rows: about one in seventy single minimizers passes.
+LOAD, ROWS = 8, 2
 _CHUNK = 2**16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93 | 1)
@@ -111,7 +120,7 @@ def segments(points: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.
 class Sketch:
     """A count-min sketch whose counters stop at two, of which only the touched ones are kept and sent."""
 
-    def __init__(self, counters: int = COUNTERS, rows: int = ROWS):
+    def __init__(self, counters: int, rows: int = ROWS):
         self.counters, self.rows = counters, rows
         self.once: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * rows
         self.more: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * rows
@@ -155,66 +164,105 @@ def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return spread(documents.filter(ok).select(documents[f"`{doc_id}`"].cast("bigint").alias("doc"), documents[f"`{text}`"].cast("string").alias("text")))
 
 
-def repeated_bits(texts: DataFrame, least: int, gram: int, counters: int, rows: int) -> np.ndarray:
-    """One bit per counter of the merged sketch: the counter has reached two."""
+def counters_for(texts: DataFrame, least: int, gram: int, load: int = LOAD) -> int:
+    """A power of two of at least `load` counters for each minimizer that texts of this size have (two for each window width)."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 2 ** max(16, math.ceil(math.log2(max(1, load * 2 * size / (least - gram + 2)))))
+
+
+ASKED, ANSWER = "part int, chunk bigint, once binary, more binary", "part int, chunk bigint, once binary, bits binary"
+
+
+def _table(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def sketch_answers(texts: DataFrame, least: int, gram: int, counters: int, rows: int) -> DataFrame:
+    """Per partition of texts and range of counters: those it touched, and a bit for each that has reached two in the merged sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sketch(counters, rows)
+        own, part = Sketch(counters, rows), TaskContext.get().partitionId()
         for batch in batches:
             for x in batch.column(1):
                 own.add(np.unique(segments(code_points(x.as_py()), least, gram)[2]))
-        chunk, once, more = [], [], []
-        for c, a, b in own.chunks():
-            chunk.append(c)
-            once.append(a)
-            more.append(b)
-            if len(chunk) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["chunk", "once", "more"])
-                chunk, once, more = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["chunk", "once", "more"])
+        out: list[tuple] = []
+        for touched in own.chunks():
+            out.append((part, *touched))
+            if len(out) == 4096:
+                yield _table(list(zip(*out)), ASKED)
+                out = []
+        if out:
+            yield _table(list(zip(*out)), ASKED)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, a, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                counts = held.setdefault(c, np.zeros(_CHUNK, dtype=np.uint8))
-                a, b = np.frombuffer(a, dtype="<u2"), np.frombuffer(b, dtype="<u2")
-                counts[a] = np.minimum(2, counts[a] + 1)
-                counts[b] = 2
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v >= 2).tobytes() for v in held.values()], pa.binary())], names=["chunk", "bits"])
-
-    parts = texts.mapInArrow(sketch, "chunk int, once binary, more binary")
-    merged = parts.repartition("chunk").mapInArrow(merge, "chunk int, bits binary")
-    bits = np.zeros((rows * -(-counters // _CHUNK), _CHUNK // 8), dtype=np.uint8)
-    for r in merged.toLocalIterator():  # at most rows * counters / 8 bytes, whatever the input
-        bits[r.chunk] = np.frombuffer(r.bits, dtype=np.uint8)
-    return bits.ravel()
+        chunk, held = None, []
 
+        def answers() -> pa.RecordBatch:
+            counts = np.zeros(_CHUNK, dtype=np.uint8)
+            touched = [np.frombuffer(a, dtype="<u2") for _, a, _ in held]
+            for a, (_, _, b) in zip(touched, held):
+                counts[a] = np.minimum(2, counts[a] + 1)
+                counts[np.frombuffer(b, dtype="<u2")] = 2
+            return _table([[p for p, _, _ in held], [chunk] * len(held), [a for _, a, _ in held], [np.packbits(counts[a] >= 2).tobytes() for a in touched]], ANSWER)
 
-def _repeated(bits: np.ndarray, keys: np.ndarray, counters: int, rows: int) -> np.ndarray:
-    """Whether the sketch estimates two documents or more for each key."""
-    per_row = -(-counters // _CHUNK) * _CHUNK
+        for batch in batches:
+            for part, own, once, more in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if own != chunk:
+                    if held:
+                        yield answers()
+                    chunk, held = own, []
+                held.append((part, once, more))
+        if held:
+            yield answers()
+
+    return texts.mapInArrow(sketch, ASKED).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, ANSWER)
+
+
+def _own_answers(where: str, part: int, counters: int, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per row of the sketch: (counters that the partition touched, ascending; whether each has reached two)."""
+    system, root = (fs.LocalFileSystem(), re.sub("^file:/*", "/", where)) if re.match("file:|/", where) else fs.FileSystem.from_uri(where)
+    folder, per_row = f"{root}/part={part}", -(-counters // _CHUNK)
+    found: list[tuple[list, list]] = [([], []) for _ in range(rows)]
+    if system.get_file_info(folder).type == fs.FileType.Directory:
+        table = pq.read_table(folder, filesystem=system, partitioning=None, columns=["chunk", "once", "bits"]).sort_by("chunk")
+        for chunk, once, bits in zip(*(table.column(c).to_pylist() for c in ("chunk", "once", "bits"))):
+            at = np.frombuffer(once, dtype="<u2").astype(np.int64)
+            touched, twice = found[chunk // per_row]
+            touched.append(at + chunk % per_row * _CHUNK)
+            twice.append(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(at)).astype(bool))
+    return [(np.concatenate(t), np.concatenate(b)) if t else (np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)) for t, b in found]
+
+
+def _repeated(answers: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, counters: int) -> np.ndarray:
+    """Whether the sketch estimates two documents or more for each key; a counter without an answer counts as repeated."""
     out = np.ones(len(keys), dtype=bool)
-    for r in range(rows):
-        at = r * per_row + Sketch.places(keys, r, counters)
-        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    for r, (touched, twice) in enumerate(answers):
+        if len(touched):
+            place = Sketch.places(keys, r, counters)
+            at = np.minimum(np.searchsorted(touched, place), len(touched) - 1)
+            out &= twice[at] | (touched[at] != place)
     return out
 
 
 SEGMENT = "low bigint, hash_a bigint, hash_b bigint, doc bigint, first int, n int"
 
 
-def candidate_segments(texts: DataFrame, least: int = LEAST, gram: int = GRAM, counters: int = COUNTERS, rows: int = ROWS) -> DataFrame:
-    """Segments whose minimizer the sketch estimates in two or more documents, with the hash of their whole stretch."""
-    bits = texts.sparkSession.sparkContext.broadcast(repeated_bits(texts, least, gram, counters, rows))
+def candidate_segments(texts: DataFrame, answers: str, counters: int, least: int = LEAST, gram: int = GRAM, rows: int = ROWS) -> DataFrame:
+    """Segments whose minimizer the sketch estimates in two or more documents, with the hash of their whole stretch.
+
+    answers: the folder of sketch_answers(), by partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _own_answers(answers, TaskContext.get().partitionId(), counters, rows)
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 points = code_points(x.as_py())
                 first, n, low, sums = segments(points, least, gram)
-                kept = np.flatnonzero(_repeated(bits.value, low, counters, rows))
+                kept = np.flatnonzero(_repeated(known, low, counters))
                 if len(kept):
                     first, n, end = first[kept], n[kept], first[kept] + n[kept] + least - 1
                     hashes = [mix(stretch_hash(s, first, end, b) + n.astype(np.uint64)) for s, b in ((sums, "a"), (prefix_sums(points, "b"), "b"))]
@@ -276,11 +324,16 @@ def _windows(slices: DataFrame, least: int, places: bool) -> DataFrame:
     return (slices.filter("own") if places else slices).mapInArrow(run, schema)
 
 
-def shared_windows(documents: DataFrame, least: int = LEAST, gram: int | None = None, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS, rows: int = ROWS) -> DataFrame:
+def shared_windows(documents: DataFrame, least: int = LEAST, gram: int | None = None, doc_id: str = "doc_id", text: str = "text", counters: int | None = None, rows: int = ROWS) -> DataFrame:
     """(doc, first, n): runs of windows that stand in another document as well. Runs may touch, not overlap in their windows."""
     gram = min(GRAM, max(1, least // 2)) if gram is None else gram
     texts = _texts(documents, doc_id, text)
-    found = stored(candidate_segments(texts, least, gram, counters, rows).distinct())
+    counters = counters or counters_for(texts, least, gram)
+    spark = texts.sparkSession
+    where = f"{shared_folder(spark)}/sketch-{uuid.uuid4().hex}"
+    sketch_answers(texts, least, gram, counters, rows).repartition("part").sortWithinPartitions("part", "chunk").write.partitionBy("part").parquet(where)
+    found = stored(candidate_segments(texts, where, counters, least, gram, rows).distinct())
+    removed(spark, where)
     key = ["low", "hash_a", "hash_b"]
     stretch = found.groupBy(*key).agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min_by(F.struct("first", "n"), "doc").alias("at"))
     settled = found.join(stretch.filter("d0 < d1").select(*key), key, "left_semi").select("doc", "first", "n")

@@ -109,3 +109,25 @@ def test_sketch_never_underestimates():
         bits[c, np.frombuffer(more, dtype="<u2")] = True
     for r in range(2):
         assert bits[r, spans.Sketch.places(keys[:1000], r, 2**12)].all()
+
+
+def test_the_sketch_grows_with_the_texts_and_stays_selective(spark, tmp_path):
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    common = word(300)
+    rows = [(k, word(1500) + (common if k % 50 == 0 else "")) for k in range(400)]
+    texts = spans._texts(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").repartition(3)
+    counters = spans.counters_for(texts, 40, 20)
+    assert counters >= 8 * sum(len(spans.segments(spans.code_points(t), 40, 20)[0]) for _, t in rows)
+    assert spans.counters_for(texts.union(texts).union(texts), 40, 20) > counters
+
+    def passed(frame, size):
+        where = str(tmp_path / f"s{size}-{frame.rdd.getNumPartitions()}")
+        spans.sketch_answers(texts, 40, 20, size, 2).write.partitionBy("part").mode("overwrite").parquet(where)
+        return {(r.doc, r["first"], r.n) for r in spans.candidate_segments(frame, where, size, 40, 20).collect()}
+
+    every = {(k, int(a), int(b)) for k, t in rows for a, b in zip(*spans.segments(spans.code_points(t), 40, 20)[:2])}
+    few = passed(texts, counters)
+    assert len(few) < 0.06 * len(every) and few < every
+    assert len(passed(texts, 2**8)) > 0.9 * len(every)  # of a size that doesn't grow nothing would be left of the filter
+    assert few <= passed(texts.repartition(5), counters) <= every  # other partitions than the sketch's: more pass, none is lost
