@@ -138,7 +138,8 @@ def truncate_graph(spark, d):
 
 
 def articulation_bridges(spark, d):
-    return shapes.weak_points(multigraph(spark, d))
+    """b is the other end of a bridge, and a again for an articulation point."""
+    return shapes.weak_points(multigraph(spark, d)).withColumn("b", F.coalesce("b", "a"))
 
 
 # --- paths and measures ------------------------------------------------------------------------------------------------
@@ -374,8 +375,8 @@ def interpretation(spark, d):
     return scoring.interpretation(index, scoring.reference_range(index)).select("city", "position", "mean_side", *[f"{p}_side" for p in scoring.PILLARS], "summary")
 
 
-def city_index(spark, d):
-    """The whole programme: sampled closeness, efficiency and betweenness with all other measures, scored and combined."""
+def _all_scores(spark, d):
+    """The whole programme: sampled closeness, efficiency and betweenness with all other measures, scored."""
     n, m = stored(nodes(spark, d)), stored(multigraph(spark, d))
     simple = stored(network.simple_graph(m))
     members = stored(network.within_largest(network.components(m, n)))
@@ -393,8 +394,17 @@ def city_index(spark, d):
     wide = dens
     for part in (near, eff, ratio, p90, entropy, clarity):
         wide = wide.join(part, "city", "left")
-    scores = scoring.normalised(scoring.long_form(stored(wide), list(scoring.METRICS)))
-    return scoring.composite(scoring.pillar_scores(scores)).select("city", *[_r(f"{p}_score") for p in scoring.PILLARS], _r("index_score"))
+    return scoring.normalised(scoring.long_form(stored(wide), list(scoring.METRICS)))
+
+
+def index_metrics(spark, d):
+    """All eleven measures of every city with their scores."""
+    return _all_scores(spark, d).select("city", "pillar", "metric", _r("value", 9), _r("score"))
+
+
+def city_index(spark, d):
+    """The composite of all eleven measures."""
+    return scoring.composite(scoring.pillar_scores(_all_scores(spark, d))).select("city", *[_r(f"{p}_score") for p in scoring.PILLARS], _r("index_score"))
 
 
 # --- grid and extents --------------------------------------------------------------------------------------------------
@@ -650,7 +660,7 @@ _PLAIN = (
     density_full_population, node_link_density, full_vs_lcc, graph_simplify, truncate_graph, articulation_bridges, pilot_sample, hop_distances, closeness, closeness_mean, weighted_distances,
     efficiency_sources, efficiency_mean, edge_circuity, gamma_index, rcrc, road_class_parse, road_class_shares, road_class_entropy, edge_betweenness, betweenness_p90, hierarchy_clarity,
     spearman_length_class, required_n, ci_fpc, multiseed, random_sample, minmax_scores, minmax_down, minmax_degenerate, pillar_scores, composite, pillar_merge, validation_flags, reference_range,
-    tiers, normalization_reference, evaluate_vs_reference, interpretation, city_index, grid_cells, coverage, built_up, coverage_describe, cell_components, component_stats, component_gaps,
+    tiers, normalization_reference, evaluate_vs_reference, interpretation, index_metrics, city_index, grid_cells, coverage, built_up, coverage_describe, cell_components, component_stats, component_gaps,
     extent_selection, urban_core, extent_report, alt_core_support, alternative_extent, extent_outline, utm_inverse, utm_round_trip, mercator_project, local_metres, extraction_envelope,
     polygon_area, polygon_overlay, polygon_clean, convex_hull, admin_classify, road_distance_lattice, distance_thresholds, buffer_coverage, winners,
     extent_road_distance, extent_distance_thresholds, extent_buffer_coverage,
@@ -663,6 +673,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from roadloom.plans.network_sql import ORACLE
+    from roadloom.plans import graph_sql, network_sql
 
-    return ORACLE
+    return {**network_sql.ORACLE, **graph_sql.ORACLE}
