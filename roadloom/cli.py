@@ -16,9 +16,10 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom import pillars
 from roadloom.functions.frames import table
-from roadloom.functions.stats import child_seeds, pilot_size
-from roadloom.operators import metrics, network, paths, sampling, scoring
+from roadloom.functions.stats import child_seeds
+from roadloom.operators import network, scoring
 from roadloom.sources import files
 
 STEPS = {2: "graphs", 3: "connectivity", 4: "efficiency", 5: "hierarchy", 6: "composite"}
@@ -59,62 +60,33 @@ class Programme:
 
     # step 3
     def connectivity(self) -> DataFrame:
-        def make() -> DataFrame:
-            members, links = self.members(), network.induced(self.links(), self.members())
-            near = sampling.adaptive(members, self.closeness(members, links), ["closeness"])
-            dens = metrics.densities(links, members, self.areas())
-            return dens.join(near.select("city", F.col("estimate").alias("closeness_centrality"), "sample_size", "relative_margin", "ci_lower", "ci_upper"), "city", "left")
-
-        return self._kept(3, "metrics", make)
-
-    @staticmethod
-    def closeness(members: DataFrame, links: DataFrame):
-        sizes = sampling.populations(members, pilot_size)
-        return lambda sources: metrics.closeness(paths.hop_sums(links, sources), sizes)
+        return self._kept(3, "metrics", lambda: pillars.connectivity(self.members(), network.induced(self.links(), self.members()), self.areas()))
 
     # step 4
     def efficiency(self) -> DataFrame:
-        def make() -> DataFrame:
-            n, links = self.nodes(), self.links()
-            names = ["global_efficiency", "average_shortest_path", "circuity"]
-            sizes = sampling.populations(n, pilot_size)
-            found = sampling.adaptive(n, metrics.sweep(network.simple_graph(links, None), n, sizes), names, rule="critical")
-            ratio = metrics.rcrc(metrics.gamma(links, n), metrics.edge_circuity(links, n))
-            return ratio.join(found.groupBy("city").pivot("metric", names).agg(F.first("estimate")), "city", "left")
-
-        return self._kept(4, "metrics", make)
+        return self._kept(4, "metrics", lambda: pillars.efficiency(self.nodes(), self.links()))
 
     # step 5
     def hierarchy(self) -> DataFrame:
         def make() -> DataFrame:
-            n, links = self.nodes(), self.links()
-            simple = network.simple_graph(links)
-            sources = sampling.first_n(n, sampling.populations(n, metrics.betweenness_sources))
-            between = self._kept(5, "betweenness", lambda: paths.edge_betweenness(simple, sources, n))
-            p90 = metrics.betweenness_p90(between).select("city", F.col("betweenness_p90").alias("hierarchy_betweenness_centrality"))
-            entropy = metrics.class_entropy(metrics.class_lengths(links)).withColumnRenamed("class_entropy", "hierarchy_road_class_distribution")
-            clarity = metrics.hierarchy_clarity(between, simple).select("city", F.col("rho").alias("hierarchy_clarity"))
-            return p90.join(entropy, "city", "left").join(clarity, "city", "left")
+            simple = network.simple_graph(self.links())
+            return pillars.hierarchy(self.links(), simple, self._kept(5, "betweenness", lambda: pillars.betweenness(self.nodes(), simple)))
 
         return self._kept(5, "metrics", make)
 
     # step 6
     def scores(self) -> DataFrame:
-        def make() -> DataFrame:
-            wide = self.connectivity().join(self.efficiency(), "city", "full_outer").join(self.hierarchy(), "city", "full_outer")
-            return scoring.normalised(scoring.long_form(wide, list(scoring.METRICS)))
-
-        return self._kept(6, "scores", make)
+        return self._kept(6, "scores", lambda: pillars.scores(self.connectivity(), self.efficiency(), self.hierarchy()))
 
     def index(self) -> DataFrame:
-        return self._kept(6, "index", lambda: scoring.composite(scoring.pillar_scores(self.scores())))
+        return self._kept(6, "index", lambda: pillars.index(self.scores()))
 
     def reports(self) -> None:
         index, where = self.index(), f"{self.out}/reports"
-        files.write_csv(index.orderBy("city"), f"{where}/index")
+        files.write_csv(index.orderBy(scoring.city_order(F.col("city")), "city"), f"{where}/index")
         files.write_csv(scoring.validation(index), f"{where}/validation")
         files.write_csv(scoring.reference_range(index), f"{where}/reference_range")
-        files.write_csv(scoring.tiers(index).orderBy("city"), f"{where}/tiers")
+        files.write_csv(scoring.tiers(index).orderBy(scoring.city_order(F.col("city")), "city"), f"{where}/tiers")
         files.write_csv(scoring.normalization_reference(self.scores()), f"{where}/normalization_reference")
         files.write_json(self.scores(), f"{where}/scores")
 
@@ -128,8 +100,10 @@ class Programme:
 def evaluate(spark: SparkSession, tables: str, out: str, city: str) -> DataFrame:
     """One city measured anew and read against the reference of all others that a full run has saved under OUT."""
     bounds = scoring.reference_bounds(files.read_csv(spark, f"{out.rstrip('/')}/reports/normalization_reference"))
-    reference = files.read_csv(spark, f"{out.rstrip('/')}/reports/reference_range")
-    reference = reference.select(*[F.col(c).cast("double").alias(c) for c in reference.columns])
+    where = out.rstrip("/")
+    saved = files.read_csv(spark, f"{where}/reports/reference_range") if files.finished(spark, f"{where}/reports/reference_range") else None
+    scores = files.read_csv(spark, f"{where}/reports/index") if saved is None else None
+    reference = scoring.interpretation_reference(saved, scores and scores.select("city", *[F.col(c).cast("double").alias(c) for c in scores.columns if c.endswith("_score")]))
     own = Programme(spark, tables, f"{out.rstrip('/')}/evaluated", [city])
     wide = own.connectivity().join(own.efficiency(), "city", "full_outer").join(own.hierarchy(), "city", "full_outer")
     index = scoring.composite(scoring.pillar_scores(scoring.evaluated(scoring.long_form(wide, list(scoring.METRICS)), bounds)))
@@ -145,7 +119,7 @@ def validate_seeds(spark: SparkSession, tables: str, out: str, count: int, maste
     members, links = own.members(), network.induced(own.links(), own.members())
     runs = None
     for run, seed in enumerate(child_seeds(master, count), 1):
-        one = sampling.adaptive(members, own.closeness(members, links), ["closeness"], seed=seed % 100_003).select("city", F.lit(run).alias("run"), F.lit(seed).alias("seed"), "estimate", "sample_size", "relative_margin", "ci_lower", "ci_upper")
+        one = pillars.closeness(members, links, seed % 100_003).select("city", F.lit(run).alias("run"), F.lit(seed).alias("seed"), "estimate", "sample_size", "relative_margin", "ci_lower", "ci_upper")
         runs = one if runs is None else runs.unionByName(one)
     files.write_csv(runs, f"{out.rstrip('/')}/reports/seed_runs")
     return runs.groupBy("city").agg(F.count("*").alias("runs"), F.avg("estimate").alias("mean_estimate"), F.coalesce(F.stddev_samp("estimate"), F.lit(0.0)).alias("sd_estimate"), F.avg("sample_size").alias("mean_sample_size"))
@@ -159,6 +133,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("tables")
         p.add_argument("out")
         p.add_argument("--city", action="append")
+        if name == "evaluate":
+            p.add_argument("name", nargs="?", help="a city, as with --city")
         if name == "run":
             p.add_argument("--from-step", type=int, default=2, choices=sorted(STEPS))
             p.add_argument("--force", action="store_true")
@@ -169,15 +145,16 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     if args.what == "run":
         cities = args.city or files.known_cities(table(spark, args.tables, "nodes", "city"))
-        problems = files.preflight(*(table(spark, args.tables, t, "city") for t in ("nodes", "edges", "city_extents")), cities)
+        problems = files.preflight(table(spark, args.tables, "nodes", "city", "x", "y"), table(spark, args.tables, "edges", "city", "length"), table(spark, args.tables, "city_extents", "city"), cities)
         if problems:
             print("\n".join(problems), file=sys.stderr)
             return 1
         Programme(spark, args.tables, args.out, args.city, args.from_step if args.force or args.from_step > 2 else 99).run(args.from_step)
     elif args.what == "evaluate":
-        if not args.city:
-            parser.error("evaluate needs --city")
-        for city in args.city:
+        cities = [*(args.city or []), *([args.name] if args.name else [])]
+        if not cities:
+            parser.error("evaluate needs a city")
+        for city in cities:
             evaluate(spark, args.tables, args.out, city).show(truncate=False)
     else:
         validate_seeds(spark, args.tables, args.out, args.seeds, args.master_seed, args.city).show()

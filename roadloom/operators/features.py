@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.operators import grid, spatial
+from roadloom.functions import geo
+from roadloom.functions.frames import stored
+from roadloom.operators import grid, shapes, spatial
 
 RELATION = "id bigint, type string, tags map<string,string>, members array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>"
 
@@ -109,3 +111,20 @@ def reference_value(reference: DataFrame, metric: str) -> tuple[float, float]:
     if row is None:
         raise ValueError(f"no {metric} among {sorted(r.metric for r in reference.select('metric').limit(1000).collect())}")
     return row.lo, row.hi
+
+
+def load_buildings(raw: DataFrame, centers: DataFrame, zones: DataFrame, most_km: float = 100.0) -> DataFrame:
+    """(city, polygon_id, geometry, area_m2) of buildings (city, polygon_id, geometry in degrees): cleaned, projected to the
+    UTM zone of their city (zones: city, srid) and checked to lie near its centre (centers: city, x, y in metres).
+
+    Null, empty, unreadable and non-areal geometries and those of unknown cities are left out. ValueError for a city whose
+    buildings lie more than most_km away from its centre, or that has none left.
+    """
+    held = shapes.cleaned(raw.select("city", F.col("polygon_id").cast("bigint").alias("polygon_id"), "geometry"))
+    rows = shapes.corners(held, "polygon_id").join(F.broadcast(zones.select("city", "srid").limit(100_000)), "city")
+    x, y = geo.to_utm(F.col("x"), F.col("y"), F.col("srid"))
+    metres = shapes.from_corners(rows.select("id", "city", "part", "ring", "pos", x.alias("x"), y.alias("y")))
+    sizes = shapes.measures(metres, "id").select("id", "area_m2", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))
+    out = stored(metres.join(sizes, "id"))
+    check_place(out, centers, most_km)
+    return out.select("city", F.col("id").alias("polygon_id"), "geometry", "area_m2")

@@ -13,13 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions.defaults import BUILT_UP, CELL_M, COMBINE_KM, LEAST_CORE_KM2, MOST_CELLS, SEARCH_RADIUS_M
 from roadloom.functions.geo import cell_gap
-from roadloom.functions.polygons import parse_polygons
+from roadloom.functions.polygons import parse_polygons, ring_area
 from roadloom.operators.network import components
+from roadloom.operators.shapes import to_wkt
 
-CELL_M = 500.0
-MOST_CELLS = 2_000_000
-BUILT_UP = 0.005
 
 
 def bounds(points: DataFrame, cell: float = CELL_M) -> DataFrame:
@@ -167,6 +166,13 @@ def primary_component(table: DataFrame, centers: DataFrame) -> DataFrame:
     return near.groupBy("city").agg(F.min_by("component_id", F.struct("distance_to_center_km", -F.col("cell_count"), "component_id")).alias("component_id"), F.min("distance_to_center_km").alias("distance_to_center_km"))
 
 
+def nearest(table: DataFrame, centers: DataFrame, most: int) -> DataFrame:
+    """component_table() with the distance of each component's centroid to its city's centre, the nearest `most` of each city by place."""
+    d = F.hypot(F.col("centroid_x") - F.col("x"), F.col("centroid_y") - F.col("y")) / 1000
+    place = F.row_number().over(Window.partitionBy("city").orderBy("distance_to_center_km", F.desc("cell_count"), "component_id"))
+    return table.join(centers, "city").withColumn("distance_to_center_km", d).drop("x", "y").withColumn("place", place).filter(F.col("place") <= most)
+
+
 def gaps_to(built: DataFrame, primary: DataFrame, most_km: float = 1.0, cell: float = CELL_M) -> DataFrame:
     """(city, component_id, gap_km) of the other components within most_km of the primary one.
 
@@ -192,7 +198,7 @@ def component_gaps(built: DataFrame, most_km: float = 1.0, cell: float = CELL_M)
     return a.join(b, ["city", "br", "bc"]).filter("component_a < component_b").groupBy("city", "component_a", "component_b").agg(F.min(gap).alias("gap_km")).filter(F.col("gap_km") <= most_km)
 
 
-def selected_components(built: DataFrame, centers: DataFrame, combine_km: float = 1.0) -> DataFrame:
+def selected_components(built: DataFrame, centers: DataFrame, combine_km: float = COMBINE_KM) -> DataFrame:
     """(city, component_id, gap_km): the primary component (gap 0) and those within combine_km of it (not of each other)."""
     primary = primary_component(component_table(built), centers)
     return primary.select("city", "component_id", F.lit(0.0).alias("gap_km")).unionByName(gaps_to(built, primary, combine_km))
@@ -202,7 +208,7 @@ def extent_cells(built: DataFrame, selected: DataFrame) -> DataFrame:
     return built.join(selected.select("city", "component_id"), ["city", "component_id"], "left_semi")
 
 
-def city_extent(built: DataFrame, centers: DataFrame, combine_km: float = 1.0) -> DataFrame:
+def city_extent(built: DataFrame, centers: DataFrame, combine_km: float = COMBINE_KM) -> DataFrame:
     """One row per city: primary component, the selected ids, cells, area, distance of the extent's centroid to the centre."""
     chosen = selected_components(built, centers, combine_km)
     ids = chosen.groupBy("city").agg(F.array_join(F.array_sort(F.collect_set("component_id")), ",").alias("selected_component_ids"), F.count("*").alias("n_components"))
@@ -230,7 +236,7 @@ def core_support(covered: DataFrame, core_floor: float = 0.02, core_share: float
     return both.withColumn("core", F.col("building_coverage") >= F.col("core_threshold")).withColumn("support", F.col("building_coverage") >= F.col("support_threshold"))
 
 
-def alternative_extent(covered: DataFrame, centers: DataFrame, radius_m: float = 15_000.0, least_core_km2: float = 1.0) -> DataFrame:
+def alternative_extent(covered: DataFrame, centers: DataFrame, radius_m: float = SEARCH_RADIUS_M, least_core_km2: float = LEAST_CORE_KM2) -> DataFrame:
     """The component of support cells within the search circle with most core cells (then most cells), if its core is large enough."""
     near = covered.join(F.broadcast(centers), "city").filter(F.hypot(F.col("center_x") - F.col("x"), F.col("center_y") - F.col("y")) <= radius_m).drop("x", "y")
     parts = cell_components(core_support(near).filter("support"))
@@ -252,3 +258,67 @@ def outline(cells: DataFrame, cell: float = CELL_M) -> DataFrame:
     side = lambda a, b, c, d: F.struct((F.col("col") + a).alias("ax"), (F.col("row") + b).alias("ay"), (F.col("col") + c).alias("bx"), (F.col("row") + d).alias("by"))
     edges = cells.select("city", F.explode(F.array(side(0, 0, 1, 0), side(0, 1, 1, 1), side(0, 0, 0, 1), side(1, 0, 1, 1))).alias("e")).groupBy("city", "e").count().filter("count = 1")
     return edges.select("city", *[(F.col(f"e.{k}") * F.lit(cell)).alias(k) for k in ("ax", "ay", "bx", "by")])
+
+
+def trace(rows: np.ndarray, cols: np.ndarray) -> list[list[np.ndarray]]:
+    """The union of cells as polygons (outer ring, holes) in units of cells; cells that touch at a corner only stay apart.
+
+    Border edges run with the cells on their left; at a corner where two rings meet, a walk keeps to its own cell.
+    """
+    held = set(zip(rows.tolist(), cols.tolist()))
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in held:
+        for (dr, dc), (a, b) in (((-1, 0), ((c, r), (c + 1, r))), ((0, 1), ((c + 1, r), (c + 1, r + 1))), ((1, 0), ((c + 1, r + 1), (c, r + 1))), ((0, -1), ((c, r + 1), (c, r)))):
+            if (r + dr, c + dc) not in held:
+                out.setdefault(a, []).append(b)
+    rings = []
+    while out:
+        start = min(out)
+        at, ahead, ring = start, None, []
+        while True:
+            choices = out[at]
+            # a left turn has the largest cross product with the direction so far
+            k = 0 if ahead is None else max(range(len(choices)), key=lambda i: ahead[0] * (choices[i][1] - at[1]) - ahead[1] * (choices[i][0] - at[0]))
+            to = choices.pop(k)
+            if not choices:
+                del out[at]
+            step = (to[0] - at[0], to[1] - at[1])
+            if step != ahead:
+                ring.append(at)
+            at, ahead = to, step
+            if at == start and (at not in out or len(ring) > 3):
+                break
+        rings.append(np.asarray(ring, dtype=float))
+    area = [ring_area(r) for r in rings]
+    outer = sorted((k for k in range(len(rings)) if area[k] > 0), key=lambda k: area[k])
+    parts = {k: [rings[k]] for k in outer}
+    for k, ring in enumerate(rings):
+        if area[k] < 0:
+            (ax, ay), (bx, by) = ring[0], ring[1]
+            d = np.hypot(bx - ax, by - ay)
+            p = (ax + (bx - ax) / d / 2 - (by - ay) / d / 2, ay + (by - ay) / d / 2 + (bx - ax) / d / 2)  # the middle of a cell beside the hole
+            parts[next(j for j in outer if in_ring(rings[j], p))].append(ring)
+    return [parts[k] for k in sorted(outer, key=lambda k: rings[k][0].tolist())]
+
+
+def in_ring(ring: np.ndarray, p: tuple[float, float]) -> bool:
+    """p, on no border, is inside the ring."""
+    (ax, ay), (bx, by) = ring.T, np.roll(ring, -1, axis=0).T
+    cut = (ay > p[1]) != (by > p[1])
+    at = ax[cut] + (p[1] - ay[cut]) * (bx[cut] - ax[cut]) / (by[cut] - ay[cut])
+    return bool(np.count_nonzero(at > p[0]) % 2)
+
+
+def dissolved(cells: DataFrame, limits: DataFrame, cell: float = CELL_M) -> DataFrame:
+    """(city, geometry): the union of each city's cells (city, row, col) as a multipolygon in WKT, from the origins in limits.
+
+    A city's cells are gathered; full_grid() has bounded their number.
+    """
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = own["x0"].iloc[0], own["y0"].iloc[0]
+        parts = [[np.array([x0, y0]) + cell * r for r in part] for part in trace(own["row"].to_numpy(), own["col"].to_numpy())]
+        return pd.DataFrame({"city": own["city"].iloc[:1], "geometry": [to_wkt(parts)]})
+
+    placed = cells.select("city", "row", "col").distinct().join(F.broadcast(limits.select("city", "x0", "y0")), "city")
+    return placed.groupBy("city").applyInPandas(run, "city string, geometry string")

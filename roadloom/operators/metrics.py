@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions import defaults
 from roadloom.operators import network, paths
 from roadloom.operators.multivalue import Segmenter
 
@@ -60,6 +61,16 @@ def densities(multigraph: DataFrame, nodes: DataFrame, areas: DataFrame) -> Data
     return out.select("city", "n_nodes", "n_links", "area_km2", F.try_divide("n_nodes", "area_km2").alias("node_density"), F.try_divide("n_links", "area_km2").alias("link_density"), F.try_divide("degree_sum", "n_nodes").alias("average_degree"), "degree_sum", (F.col("degree_sum") == 2 * F.col("n_links")).alias("degree_edge_check"))
 
 
+def extent_densities(nodes: DataFrame, multigraph: DataFrame, extents: DataFrame, built: DataFrame, hulls: DataFrame) -> DataFrame:
+    """Per city: nodes and links per km2 of the extent (city, extent_km2) and of the built-up area in it (city, built_up_km2; null
+    where there is none), and the hull of the nodes (city, hull_km2) in per cent of the extent."""
+    n = nodes.groupBy("city").agg(F.count("*").alias("n"))
+    e = multigraph.groupBy("city").agg(F.count("*").alias("e"))
+    both = n.join(e, "city", "left").na.fill(0, ["e"]).join(extents, "city").join(built, "city", "left").join(hulls, "city", "left")
+    per = lambda c, area, name: F.when(F.col(area) > 0, F.col(c) / F.col(area)).alias(name)
+    return both.select("city", per("n", "extent_km2", "nodes_per_extent_km2"), per("e", "extent_km2", "links_per_extent_km2"), per("n", "built_up_km2", "nodes_per_built_km2"), per("e", "built_up_km2", "links_per_built_km2"), "hull_km2", F.when(F.col("extent_km2") > 0, 100 * F.col("hull_km2") / F.col("extent_km2")).alias("hull_pct"))
+
+
 def closeness(sums: DataFrame, populations: DataFrame) -> DataFrame:
     """Wasserman-Faust closeness of each source. sums: city, source, reachable (the source counts), total_hops."""
     r, s, n = F.col("reachable"), F.col("total_hops"), F.col("population")
@@ -142,7 +153,7 @@ def betweenness_p90(betweenness: DataFrame) -> DataFrame:
     return betweenness.groupBy("city").agg(F.percentile("betweenness", 0.9).alias("betweenness_p90"), F.count("*").alias("n_edges"))
 
 
-def betweenness_sources(population: int, fraction: float = 0.005, least: int = 100, most: int = 500) -> int:
+def betweenness_sources(population: int, fraction: float = defaults.BETWEENNESS_FRACTION, least: int = defaults.LEAST_SOURCES, most: int = defaults.MOST_SOURCES) -> int:
     return min(population, min(most, max(least, math.ceil(fraction * population))))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import stored
+from roadloom.functions.frames import located, stored
 
 
 def clean_nodes(raw: DataFrame) -> DataFrame:
@@ -191,6 +191,41 @@ def simplified(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 64) -> Dat
     return plain.unionByName(chained)
 
 
+def simplified_directed(edges: DataFrame) -> DataFrame:
+    """(city, u, v, length, n_segments): directed chains merged into single edges, one-way streets kept one-way.
+
+    A node goes if it has exactly two neighbours and is passed through in one direction (an edge in, an edge out) or in both
+    (two and two). The edges of a chain in one direction are labelled as a component of a graph whose nodes are the edges, so
+    chains of any length take few rounds. Of parallel edges the shortest counts. A ring without an end stays as one loop at
+    its smallest node. Missing lengths count 0 in the sum.
+    """
+    one = stored(edges.groupBy("city", "u", "v").agg(F.min("length").alias("length")).withColumn("node_id", F.monotonically_increasing_id()))
+    ends = one.select("city", F.col("u").alias("n"), F.col("v").alias("m"), F.lit(1).alias("out")).unionByName(one.select("city", F.col("v").alias("n"), F.col("u").alias("m"), F.lit(0).alias("out")))
+    around = ends.groupBy("city", "n").agg(F.countDistinct("m").alias("near"), F.sum("out").alias("leave"), F.sum(1 - F.col("out")).alias("come"))
+    inner = around.filter("near = 2 and leave = come and leave in (1, 2)").select("city", "n")
+    come = one.join(inner.withColumnRenamed("n", "v"), ["city", "v"], "left_semi").select("city", F.col("v").alias("at"), F.col("u").alias("before"), F.col("node_id").alias("lo"))
+    leave = one.select("city", F.col("u").alias("at"), F.col("v").alias("after"), F.col("node_id").alias("hi"))
+    steps = come.join(leave, ["city", "at"]).filter("before <> after").select("city", "lo", "hi")
+    label = components(steps, one.select("city", "node_id"))
+    mark = lambda end: inner.select("city", F.col("n").alias(end), F.lit(True).alias(f"{end}_in"))
+    owned = one.join(mark("u"), ["city", "u"], "left").join(mark("v"), ["city", "v"], "left").join(label, ["city", "node_id"])
+    first, last = F.max(F.when(F.col("u_in").isNull(), F.col("u"))), F.max(F.when(F.col("v_in").isNull(), F.col("v")))
+    whole = owned.groupBy("city", "component").agg(first.alias("first"), last.alias("last"), F.min("u").alias("least"), F.sum(F.coalesce("length", F.lit(0.0))).alias("length"), F.count("*").alias("n_segments"))
+    return whole.select("city", F.coalesce("first", "least").alias("u"), F.coalesce("last", "least").alias("v"), "length", "n_segments")
+
+
+def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(city, problem, n) of what would spoil a run, however many kinds there are: nodes without a position, edges without a
+    length, edges with an unknown end, cities without edges."""
+    place = nodes.filter(~located()).groupBy("city").agg(F.count("*").alias("n")).select("city", F.lit("nodes without a position").alias("problem"), "n")
+    length = edges.filter("length is null").groupBy("city").agg(F.count("*").alias("n")).select("city", F.lit("edges without a length").alias("problem"), "n")
+    known = nodes.select("city", "node_id", F.lit(True).alias("there"))
+    ends = edges.select("city", "edge_id", F.explode(F.array("u", "v")).alias("node_id")).join(known, ["city", "node_id"], "left")
+    lost = ends.filter("there is null").groupBy("city").agg(F.countDistinct("edge_id").alias("n")).select("city", F.lit("edges with an unknown end").alias("problem"), "n")
+    none = nodes.select("city").distinct().join(edges.select("city").distinct(), "city", "left_anti").select("city", F.lit("no edges").alias("problem"), F.lit(1).cast("bigint").alias("n"))
+    return place.unionByName(length).unionByName(lost).unionByName(none)
+
+
 def summary(edges: DataFrame, multigraph: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Per city: nodes, directed edges, links, components, degrees and total length."""
     n = nodes.groupBy("city").agg(F.count("*").alias("number_of_nodes"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions.defaults import CONFIDENCE, PILOT_FRACTION, PRECISION, SEED
 from roadloom.functions.frames import stored
 from roadloom.functions.stats import interval, pilot_size, required_by_critical_moments, required_by_size
 
@@ -19,14 +20,14 @@ from roadloom.functions.stats import interval, pilot_size, required_by_critical_
 _FACTOR, _STEP, _SPACE = 1103515245, 12345, 2147483648
 
 
-def order_hash(node_id: Column, seed: int = 42) -> Column:
+def order_hash(node_id: Column, seed: int = SEED) -> Column:
     """Integer in [0, 2^31), the same in any SQL engine with 64-bit integers."""
     once = F.pmod(F.pmod(node_id, F.lit(_SPACE)) * F.lit(_FACTOR) + F.lit(_STEP + 7919 * seed), F.lit(_SPACE))
     turned = F.pmod(once, F.lit(65536)) * 32768 + F.floor(once / 65536)
     return F.pmod(turned * F.lit(_FACTOR) + F.lit(_STEP), F.lit(_SPACE))
 
 
-def first_n(nodes: DataFrame, wanted: DataFrame, seed: int = 42) -> DataFrame:
+def first_n(nodes: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
     """(city, node_id) of the first n nodes of each city in hash order. wanted: city, n, population."""
     h = nodes.select("city", "node_id", order_hash(F.col("node_id"), seed).alias("h")).join(F.broadcast(wanted), "city")
     share = F.col("n") / F.col("population")
@@ -47,7 +48,7 @@ def populations(nodes: DataFrame, size: Callable[[int], int]) -> DataFrame:
     return nodes.sparkSession.createDataFrame([(r.city, r.population, int(size(r.population))) for r in rows], "city string, population bigint, n bigint")
 
 
-def pilot(nodes: DataFrame, fraction: float = 0.02, seed: int = 42) -> DataFrame:
+def pilot(nodes: DataFrame, fraction: float = PILOT_FRACTION, seed: int = SEED) -> DataFrame:
     return first_n(nodes, populations(nodes, lambda n: pilot_size(n, fraction)), seed)
 
 
@@ -60,7 +61,7 @@ def moments(values: DataFrame, *columns: str) -> DataFrame:
     return values.groupBy("city").agg(*out)
 
 
-def adaptive(nodes: DataFrame, measure: Callable[[DataFrame], DataFrame], columns: list[str], rule: str = "size", fraction: float = 0.02, precision: float = 0.02, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+def adaptive(nodes: DataFrame, measure: Callable[[DataFrame], DataFrame], columns: list[str], rule: str = "size", fraction: float = PILOT_FRACTION, precision: float = PRECISION, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
     """Estimates of the means of columns over all nodes of each city, from as many sources as the precision needs.
 
     measure maps (city, node_id) sources to one row per source with city, source and the columns. The pilot's rows are

@@ -197,3 +197,36 @@ def winners(scores: DataFrame) -> DataFrame:
     """Per metric the best city (ties: the first name), by score."""
     w = Window.partitionBy("metric").orderBy(F.desc("score"), "city")
     return scores.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+
+# The order in which reports list the cities they know; others follow by name.
+CITY_ORDER = ("Chandigarh", "Jaipur", "Pune", "Kolkata", "Ranipet")
+
+
+def city_order(city: Column, order: tuple[str, ...] = CITY_ORDER) -> Column:
+    """Place of a city in reports, counted from 1; those not listed come after all others."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), city)
+    return F.when(place > 0, place).otherwise(len(order) + 1).cast("int")
+
+
+def interpretation_reference(saved: DataFrame | None, index: DataFrame | None) -> DataFrame:
+    """One row of reference_range(): the saved one if there is one, else made from the final scores. ValueError lists missing columns."""
+    names = ["index_mean", "index_sd", "reference_lower", "reference_upper", *[f"{p}_mean" for p in PILLARS]]
+    if saved is None:
+        if index is None:
+            raise ValueError("neither a saved reference range nor final scores")
+        return reference_range(index).select(*names)
+    clean = {c.strip().lstrip("\ufeff").strip(): c for c in saved.columns}
+    missing = [n for n in names if n not in clean]
+    if missing:
+        raise ValueError(f"the saved reference range lacks {missing}")
+    return saved.select(*[F.col(f"`{clean[n]}`").try_cast("double").alias(n) for n in names]).limit(1)
+
+
+def same_cities(*tables: DataFrame) -> list[str]:
+    """What the tables' cities lack of each other, as sentences; none if they are equal."""
+    have = [{r.city for r in t.select("city").distinct().limit(10_001).collect()} for t in tables]
+    if any(len(h) > 10_000 for h in have):
+        raise ValueError("more than 10000 cities")
+    every = set().union(*have)
+    return [f"table {k}: no {c}" for k, h in enumerate(have, 1) for c in sorted(every - h, key=str)]

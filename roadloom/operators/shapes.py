@@ -542,3 +542,29 @@ def great_circle_m(lon_a: float, lat_a: float, lon_b: float, lat_b: float, radiu
     p, q = math.radians(lat_a), math.radians(lat_b)
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon_b - lon_a) / 2) ** 2
     return 2 * radius * math.asin(math.sqrt(h))
+
+
+CORNER = "id bigint, city string, part int, ring int, pos int, x double, y double"
+
+
+def corners(regions: DataFrame, region_id: str = "region_id", group: str = "city", geometry: str = "geometry") -> DataFrame:
+    """One row per corner of every areal geometry: id, city, part, ring (0 the outer one), pos, x, y. Rings are open."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, c, k, j, n, float(x), float(y)) for i, c, text in batch.itertuples(index=False) for k, part in enumerate(parse_polygons(text)) for j, ring in enumerate(part) for n, (x, y) in enumerate(ring)]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in CORNER.split(", ")])
+
+    return regions.select(F.col(region_id).cast("bigint"), F.col(group).cast("string"), F.col(geometry).cast("string")).filter(F.col(geometry).isNotNull()).mapInPandas(run, CORNER)
+
+
+def from_corners(rows: DataFrame) -> DataFrame:
+    """(id, city, geometry): corners() put together as WKT. The corners of one geometry are gathered: a bounded thing."""
+    number = lambda c: F.col(c).cast("string")
+    ring = rows.groupBy("id", "city", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", number("x"), number("y")).alias("p")))).alias("ps"))
+    points = F.transform("ps", lambda p: p["p"])
+    closed = F.concat(F.lit("("), F.array_join(F.concat(points, F.slice(points, 1, 1)), ", "), F.lit(")"))
+    part = ring.select("id", "city", "part", F.struct("ring", closed.alias("t")).alias("r")).groupBy("id", "city", "part").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    text = F.concat(F.lit("("), F.array_join(F.transform("rs", lambda r: r["t"]), ", "), F.lit(")"))
+    whole = part.select("id", "city", F.struct("part", text.alias("t")).alias("p")).groupBy("id", "city").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return whole.select("id", "city", F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform("ps", lambda p: p["t"]), ", "), F.lit(")")).alias("geometry"))

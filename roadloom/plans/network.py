@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom import pillars
 from roadloom.functions import geo
+from roadloom.functions.defaults import SEED
 from roadloom.functions.frames import located, removed, shared_folder, spread, stored, table
 from roadloom.functions.stats import pilot_size
 from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes, spatial
 from roadloom.streaming import cells as streaming
 
-SEED = 42
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -146,9 +147,7 @@ def articulation_bridges(spark, d):
 
 
 def _lcc(spark, d):
-    n, m = nodes(spark, d), stored(multigraph(spark, d))
-    members = stored(network.within_largest(network.components(m, n)))
-    return members, stored(network.induced(m, members))
+    return pillars.largest(nodes(spark, d), stored(multigraph(spark, d)))
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -224,13 +223,9 @@ def road_class_entropy(spark, d):
     return metrics.class_entropy(metrics.class_lengths(multigraph(spark, d))).select("city", _r("class_entropy", 9))
 
 
-def _ranked_sources(n: DataFrame) -> DataFrame:
-    return sampling.first_n(n, sampling.populations(n, metrics.betweenness_sources))
-
-
 def _betweenness(spark, d):
     n, simple = stored(nodes(spark, d)), stored(network.simple_graph(multigraph(spark, d)))
-    return paths.edge_betweenness(simple, _ranked_sources(n), n), simple
+    return pillars.betweenness(n, simple), simple
 
 
 def edge_betweenness(spark, d):
@@ -254,16 +249,9 @@ def spearman_length_class(spark, d):
 # --- sampling and inference --------------------------------------------------------------------------------------------
 
 
-def _closeness_measure(m, members):
-    sizes = _sizes(members)
-    return lambda sources: metrics.closeness(paths.hop_sums(m, sources), sizes)
-
-
 def required_n(spark, d):
     """Adaptive closeness: pilot, required and final sample with its confidence interval."""
-    members, m = _lcc(spark, d)
-    out = sampling.adaptive(members, _closeness_measure(m, members), ["closeness"])
-    return out.select("city", "metric", "population", "pilot_size", "sample_size", "n_finite", _r("estimate", 9), _r("standard_error", 12), _r("ci_lower", 9), _r("ci_upper", 9), _r("relative_margin", 9))
+    return pillars.closeness(*_lcc(spark, d)).select("city", "metric", "population", "pilot_size", "sample_size", "n_finite", _r("estimate", 9), _r("standard_error", 12), _r("ci_lower", 9), _r("ci_upper", 9), _r("relative_margin", 9))
 
 
 def ci_fpc(spark, d):
@@ -379,22 +367,8 @@ def _all_scores(spark, d):
     """The whole programme: sampled closeness, efficiency and betweenness with all other measures, scored."""
     n, m = stored(nodes(spark, d)), stored(multigraph(spark, d))
     simple = stored(network.simple_graph(m))
-    members = stored(network.within_largest(network.components(m, n)))
-    own = stored(network.induced(m, members))
-    dens = metrics.densities(own, members, areas(spark, d)).select("city", "node_density", "link_density", "average_degree")
-    near = sampling.adaptive(members, _closeness_measure(own, members), ["closeness"]).select("city", F.col("estimate").alias("closeness_centrality"))
-    priced = stored(network.simple_graph(m, None))
-    sizes = _sizes(n)
-    eff = sampling.adaptive(n, metrics.sweep(priced, n, sizes), ["global_efficiency", "average_shortest_path", "circuity"], rule="critical").groupBy("city").pivot("metric", ["global_efficiency", "average_shortest_path", "circuity"]).agg(F.first("estimate"))
-    ratio = metrics.rcrc(metrics.gamma(m, n), metrics.edge_circuity(m, n)).select("city", "rcrc")
-    between = stored(paths.edge_betweenness(simple, _ranked_sources(n), n))
-    p90 = metrics.betweenness_p90(between).select("city", F.col("betweenness_p90").alias("hierarchy_betweenness_centrality"))
-    entropy = metrics.class_entropy(metrics.class_lengths(m)).withColumnRenamed("class_entropy", "hierarchy_road_class_distribution")
-    clarity = metrics.hierarchy_clarity(between, simple).select("city", F.col("rho").alias("hierarchy_clarity"))
-    wide = dens
-    for part in (near, eff, ratio, p90, entropy, clarity):
-        wide = wide.join(part, "city", "left")
-    return scoring.normalised(scoring.long_form(stored(wide), list(scoring.METRICS)))
+    between = stored(pillars.betweenness(n, simple))
+    return pillars.scores(pillars.connectivity(*pillars.largest(n, m), areas(spark, d)), pillars.efficiency(n, m), pillars.hierarchy(m, simple, between))
 
 
 def index_metrics(spark, d):
@@ -404,7 +378,7 @@ def index_metrics(spark, d):
 
 def city_index(spark, d):
     """The composite of all eleven measures."""
-    return scoring.composite(scoring.pillar_scores(_all_scores(spark, d))).select("city", *[_r(f"{p}_score") for p in scoring.PILLARS], _r("index_score"))
+    return pillars.index(_all_scores(spark, d)).select("city", *[_r(f"{p}_score") for p in scoring.PILLARS], _r("index_score"))
 
 
 # --- grid and extents --------------------------------------------------------------------------------------------------

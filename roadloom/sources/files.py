@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import os
 from collections.abc import Callable
 
@@ -36,6 +38,22 @@ def write_features(features: DataFrame, path: str) -> None:
     features.select(F.col(features.columns[0]).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Features written by write_features(), one per line: properties as a map of texts, geometry as GeoJSON text. Any size."""
+    kind = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+    f = spark.read.text(path).select(F.from_json("value", kind).alias("f"))
+    geometry = F.when(F.col("f.geometry.type").isNotNull(), F.concat(F.lit('{"type": "'), F.col("f.geometry.type"), F.lit('", "coordinates": '), F.col("f.geometry.coordinates"), F.lit("}")))
+    return f.select(F.col("f.properties").alias("properties"), geometry.alias("geometry"))
+
+
+def region_features(regions: DataFrame) -> DataFrame:
+    """Features of regions (city, geometry as WKT); the texts are rewritten, not parsed."""
+    body = F.regexp_replace("geometry", r"(-?[0-9][0-9.eE+-]*) (-?[0-9][0-9.eE+-]*)", "[$1, $2]")
+    body = F.translate(F.regexp_replace(body, r"^[A-Z ]+", ""), "()", "[]")
+    kind = F.when(F.startswith("geometry", F.lit("MULTI")), "MultiPolygon").otherwise("Polygon")
+    return regions.filter("geometry is not null and geometry not like '%EMPTY'").select(F.concat(F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct("city")), F.lit(', "geometry": {"type": "'), kind, F.lit('", "coordinates": '), body, F.lit("}}")).alias("value"))
+
+
 def write_collection(features: DataFrame, path: str) -> None:
     """A single FeatureCollection file, for small results that other tools read."""
     one = features.select(F.collect_list(F.col(features.columns[0])).alias("f")).select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join("f", ", "), F.lit("]}")).alias("value"))
@@ -107,13 +125,15 @@ def graph_tables(nodes: DataFrame, edges: DataFrame, city: str) -> tuple[DataFra
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One GraphML file per city-sized graph, rows ordered nodes first."""
-    cell = lambda k, c: F.when(c.isNotNull(), F.concat(F.lit(f'<data key="{k}">'), F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</data>"))).otherwise("")
-    n = nodes.select(F.lit(1).alias("o"), F.concat(F.lit('<node id="'), F.col("node_id"), F.lit('">'), cell("x", F.col("x")), cell("y", F.col("y")), F.lit("</node>")).alias("value"))
-    e = edges.select(F.lit(2).alias("o"), F.concat(F.lit('<edge source="'), F.col("u"), F.lit('" target="'), F.col("v"), F.lit('">'), cell("key", F.col("edge_key")), cell("length", F.col("length")), cell("highway", F.col("highway")), F.lit("</edge>")).alias("value"))
+    """GraphML files, one per city (in folders city=...), written in parallel: nodes first, then edges."""
+    safe = lambda c: F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = lambda k, c: F.when(c.isNotNull(), F.concat(F.lit(f'<data key="{k}">'), safe(c), F.lit("</data>"))).otherwise("")
+    n = nodes.select("city", F.lit(1).alias("o"), F.concat(F.lit('<node id="'), F.col("node_id"), F.lit('">'), cell("x", F.col("x")), cell("y", F.col("y")), F.lit("</node>")).alias("value"))
+    e = edges.select("city", F.lit(2).alias("o"), F.concat(F.lit('<edge source="'), F.col("u"), F.lit('" target="'), F.col("v"), F.lit('">'), cell("key", F.col("edge_key")), cell("length", F.col("length")), cell("highway", F.col("highway")), F.lit("</edge>")).alias("value"))
     head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(f'<key id="{k}" for="{f}" attr.name="{k}" attr.type="string"/>' for k, f in (("x", "node"), ("y", "node"), ("key", "edge"), ("length", "edge"), ("highway", "edge"))) + '<graph edgedefault="directed">'
-    frame = nodes.sparkSession.createDataFrame([(0, head), (3, "</graph></graphml>")], "o int, value string")
-    frame.unionByName(n).unionByName(e).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    frame = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit(head).alias("value")), F.struct(F.lit(3).alias("o"), F.lit("</graph></graphml>").alias("value")))).alias("f")
+    ends = n.select("city").union(e.select("city")).distinct().select("city", frame).select("city", "f.o", "f.value")
+    n.unionByName(e).unionByName(ends).repartition("city").sortWithinPartitions("city", "o").select("city", "value").write.mode("overwrite").partitionBy("city").text(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -139,14 +159,15 @@ def write_text(df: DataFrame, path: str, column: str) -> None:
     df.coalesce(1).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def finished(spark: SparkSession, path: str) -> bool:
+    """A table was written at path to its end."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS")))
 
 
 def reused(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The finished table at path, made first if it isn't there (or anew with force)."""
-    if force or not _exists(spark, path):
+    if force or not finished(spark, path):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -160,9 +181,12 @@ def known_cities(nodes: DataFrame) -> list[str]:
 
 
 def preflight(nodes: DataFrame, edges: DataFrame, extents: DataFrame, cities: list[str]) -> list[str]:
-    """All that is missing before a full run, none of it hiding another: cities without nodes, edges or an extent."""
+    """All that would spoil a full run, none of it hiding another: cities without nodes, edges or an extent, and cities none of
+    whose nodes has a position or none of whose edges a length."""
     problems = []
-    for what, df in (("nodes", nodes), ("edges", edges), ("extent", extents)):
-        have = {r.city for r in df.filter(F.col("city").isin(cities)).groupBy("city").agg(F.count("*").alias("n")).collect() if r.n}
-        problems += [f"{c}: no {what}" for c in cities if c not in have]
+    checks = {"nodes": (nodes, ("x", "y"), "no node with a position"), "edges": (edges, ("length",), "no edge with a length"), "extent": (extents, (), "")}
+    for what, (df, needed, empty) in checks.items():
+        usable = functools.reduce(operator.and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in needed if c in df.columns], F.lit(True))
+        have = {r.city: r.n for r in df.filter(F.col("city").isin(cities)).groupBy("city").agg(F.count_if(usable).alias("n")).collect()}
+        problems += [f"{c}: no {what}" if c not in have else f"{c}: {empty}" for c in cities if not have.get(c)]
     return problems

@@ -15,7 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.operators.spatial import in_regions
 
 ELEMENT = "kind string, id bigint, lat double, lon double, tags map<string,string>, refs array<bigint>, members array<struct<type:string,ref:bigint,role:string>>"
 
@@ -147,12 +151,77 @@ def read_pbf(spark: SparkSession, *paths: str) -> DataFrame:
 
 def within(rows: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """The nodes in a box, the ways with a node in it, and the relations with such a node or way."""
-    from pyspark.sql import functions as F
+    return extracted(rows, rows.filter(f"kind = 'node' and lon between {west} and {east} and lat between {south} and {north}"))
+
+
+def within_regions(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """within() for polygons (region_id, geometry in degrees): all that has a node in any of them, borders included."""
+    nodes = rows.filter("kind = 'node'")
+    inside = in_regions(nodes.select("id", "lon", "lat", F.lit("").alias("city")), regions.withColumn("city", F.lit("")), point_id="id", x="lon", y="lat").select(F.col("point_id").alias("id")).distinct()
+    return extracted(rows, nodes.join(inside, "id", "left_semi"))
 
-    nodes = rows.filter(f"kind = 'node' and lon between {west} and {east} and lat between {south} and {north}")
+
+def extracted(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The given nodes, the ways with one of them, and the relations with such a node or way."""
     steps = rows.filter("kind = 'way'").select("id", F.explode("refs").alias("ref"))
     ways = rows.filter("kind = 'way'").join(steps.join(nodes.select(F.col("id").alias("ref")), "ref", "left_semi").select("id").distinct(), "id", "left_semi")
     held = nodes.select(F.lit("node").alias("type"), F.col("id").alias("ref")).unionByName(ways.select(F.lit("way").alias("type"), F.col("id").alias("ref")))
     parts = rows.filter("kind = 'relation'").select("id", F.explode("members").alias("m")).select("id", "m.type", "m.ref")
     relations = rows.filter("kind = 'relation'").join(parts.join(held, ["type", "ref"], "left_semi").select("id").distinct(), "id", "left_semi")
-    return nodes.unionByName(ways.select(nodes.columns)).unionByName(relations.select(nodes.columns))
+    return nodes.select(rows.columns).unionByName(ways.select(rows.columns)).unionByName(relations.select(rows.columns))
+
+
+def _number(v: int) -> bytes:
+    out = bytearray()
+    while True:
+        out.append(v & 127 | (128 if v > 127 else 0))
+        v >>= 7
+        if not v:
+            return bytes(out)
+
+
+def _field(n: int, v: int | bytes) -> bytes:
+    return _number(n << 3) + _number(v) if isinstance(v, int) else _number(n << 3 | 2) + _number(len(v)) + v
+
+
+def _deltas(values: list[int]) -> bytes:
+    return b"".join(_number(d * 2 if d >= 0 else -d * 2 - 1) for d in (b - a for a, b in zip([0, *values], values)))
+
+
+def encoded(nodes: list[tuple], ways: list[tuple]) -> bytes:
+    """A data block of nodes (id, lat, lon, tags) and ways (id, refs, tags), positions to 1e-7 degrees."""
+    place: dict[str, int] = {"": 0}
+    at = lambda t: place.setdefault(t, len(place))
+    pairs = b"".join(b"".join(_number(at(k)) + _number(at(v)) for k, v in (tags or {}).items()) + b"\0" for *_, tags in nodes)
+    dense = _field(1, _deltas([n[0] for n in nodes])) + _field(8, _deltas([round(n[1] * 1e7) for n in nodes])) + _field(9, _deltas([round(n[2] * 1e7) for n in nodes])) + _field(10, pairs)
+    body = b"".join(_field(3, _field(1, i) + _field(2, b"".join(_number(at(k)) for k in tags or {})) + _field(3, b"".join(_number(at(v)) for v in (tags or {}).values())) + _field(8, _deltas(refs))) for i, refs, tags in ways)
+    table = _field(1, b"".join(_field(1, t.encode()) for t in place))
+    return table + (_field(2, _field(2, dense)) if nodes else b"") + (_field(2, body) if ways else b"")
+
+
+def _block(kind: bytes, data: bytes) -> bytes:
+    blob = _field(2, len(data)) + _field(3, zlib.compress(data))
+    head = _field(1, kind) + _field(3, len(blob))
+    return struct.pack(">I", len(head)) + head + blob
+
+
+def write_pbf(rows: DataFrame, folder: str, block: int = 8000) -> list[str]:
+    """Nodes and ways as PBF files, one per partition, each complete by itself; returns their paths. The folder must be one that
+    all executors share. A task that runs again replaces its own file."""
+    os.makedirs(folder, exist_ok=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.osm.pbf"
+        fresh = f"{path}.{TaskContext.get().taskAttemptId()}"
+        with open(fresh, "wb") as out:
+            out.write(_block(b"OSMHeader", b""))
+            for f in frames:
+                for k in range(0, len(f), block):
+                    own = f.iloc[k : k + block]
+                    tags = [dict(t) if t is not None else {} for t in own["tags"]]
+                    made = list(zip(own["kind"], own["id"], own["lat"], own["lon"], own["refs"], tags))
+                    out.write(_block(b"OSMData", encoded([(int(i), la, lo, t) for kind, i, la, lo, _, t in made if kind == "node"], [(int(i), [int(r) for r in refs], t) for kind, i, _, _, refs, t in made if kind == "way"])))
+        os.replace(fresh, path)
+        yield pd.DataFrame({"path": [path]})
+
+    return sorted(r.path for r in rows.select("kind", "id", "lat", "lon", "tags", "refs").mapInPandas(run, "path string").collect())
