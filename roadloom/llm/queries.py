@@ -81,5 +81,19 @@ def queries() -> dict:
     return {f.__name__: f for f in (p4_found, p4_unmatched, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_shares)}
 
 
+# Every window of 200 characters by its hash; those of two documents are joined to runs.
+_SPANS = """
+d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, i, hash(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, n - 199)) AS i FROM d)),
+twice AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+k AS (SELECT doc_id, i FROM w SEMI JOIN twice USING (h)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM k),
+x AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, min(i) AS span_start, max(i) + 200 - min(i) AS span_chars FROM x GROUP BY doc_id, run)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p8_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_chars FROM spans",
+        "p8_shares": f"WITH {_SPANS}, n AS (SELECT doc_id, coalesce(max(length(text)), 0) AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), s AS (SELECT doc_id, CAST(sum(span_chars) AS BIGINT) AS c, count(*) AS k FROM spans GROUP BY doc_id) SELECT doc_id, n_chars, coalesce(c, 0) AS shared_chars, coalesce(k, 0) AS n_spans, CASE WHEN n_chars > 0 THEN coalesce(c, 0) / n_chars ELSE 0 END AS shared_share FROM n LEFT JOIN s USING (doc_id)",
+    }
