@@ -76,6 +76,18 @@ SELECT DISTINCT 'in', region_id, node_id FROM (
   GROUP BY s.region_id, p.node_id, p.x, p.y HAVING count(*) % 2 = 1)
 """
 
+_CUT, _BLANKS = r",;|/+&\n\r\t、；，｜", "' \t\r\n' || chr(160)"
+_PEEL = r"'(?s)^(?:\[(.*)\]|\((.*)\)|\{(.*)\})$', '\1\2\3'"
+# No entry of the reference list holds a delimiter, so plain cutting gives the values; quoted ones are matched whole.
+_PACKED = rf"""
+WITH t AS (SELECT DISTINCT highway, trim(highway, {_BLANKS}) AS c FROM edges WHERE regexp_matches(highway, '[{_CUT}]')),
+bare AS (SELECT highway, trim(regexp_replace(trim(regexp_replace(c, {_PEEL}), {_BLANKS}), {_PEEL}), {_BLANKS}) AS c FROM t),
+raw AS (SELECT highway, regexp_extract_all(c, '\s*"(?:[^"]|"")*"\s*(?:[{_CUT}]|$)|\s*''(?:[^'']|'''')*''\s*(?:[{_CUT}]|$)|[^{_CUT}]+') AS p FROM bare),
+cut AS (SELECT highway, list_filter(list_transform(p, lambda v: CASE WHEN regexp_matches(v, '(?s)^\s*(?:"(?:[^"]|"")*"|''(?:[^'']|'''')*'')\s*[{_CUT}]?$')
+    THEN trim(replace(replace(regexp_extract(v, '(?s)^\s*["''](.*)["'']\s*[{_CUT}]?$', 1), '""', '"'), '''''', ''''), {_BLANKS}) ELSE trim(v, {_BLANKS}) END), lambda v: v <> '') AS p FROM raw)
+SELECT edge_id, CAST(i AS INT) AS pos, p[i] AS highway_value FROM (SELECT edge_id, p, unnest(range(1, len(p) + 1)) AS i FROM edges JOIN cut USING (highway) WHERE len(p) >= 2)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _RINGS}
+    return {"p2_found": _RINGS, "p3_found": _PACKED}

@@ -88,7 +88,7 @@ def osm_roads(spark, d):
         nodes, ways, _ = files.read_osm(spark, place)
         return files.road_edges(ways, nodes, "all")
 
-    return _passed(spark, lambda p: n.unionByName(e).write.text(p), read).select("way_id", "u", "v", _r("length", 3), "highway")
+    return _passed(spark, lambda p: files.write_osm(n.unionByName(e), p), read).select("way_id", "u", "v", _r("length", 3), "highway")
 
 
 def pbf_extract(spark, d):

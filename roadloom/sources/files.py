@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 import operator
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     return rows("node", OSM_NODE), rows("way", OSM_WAY), rows("relation", OSM_RELATION)
 
 
+def write_osm(elements: DataFrame, path: str) -> None:
+    """OSM XML files of elements (value: the text of a node, way or relation), one per partition, each complete by itself."""
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="UTF-8"?><osm version="0.6">']})
+        yield from batches
+        yield pd.DataFrame({"value": ["</osm>"]})
+
+    elements.select("value").mapInPandas(framed, "value string").write.mode("overwrite").text(path)
+
+
 def tag_value(tags: Column, key: str) -> Column:
     """Of array<struct<_k,_v>>: the value of the first tag of that key."""
     hit = F.filter(tags, lambda t: t["_k"] == key)
