@@ -7,6 +7,9 @@ import re
 import tempfile
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,15 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shared_rows(where: str, *columns: str) -> pa.Table | None:
+    """The parquet rows of a folder under shared_folder(), read within a task; None if there is no such folder."""
+    local = re.match("file:|/", where)
+    system, path = (fs.LocalFileSystem(), re.sub("^file:/*", "/", where)) if local else fs.FileSystem.from_uri(where)
+    if system.get_file_info(path).type != fs.FileType.Directory:
+        return None
+    return pq.read_table(path, filesystem=system, partitioning=None, columns=list(columns))
+
+
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """df over at least the cluster's cores (or at_least) partitions: small files would otherwise leave Python work on one core.
 

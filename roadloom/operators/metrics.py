@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import defaults
-from roadloom.operators import network, paths
+from roadloom.operators import network, paths, ranks
 from roadloom.operators.multivalue import Segmenter
 
 # The road classes of the hierarchy and their ranks; two classes share the last rank. Links count as their class.
@@ -127,15 +127,9 @@ def class_entropy(lengths: DataFrame) -> DataFrame:
 def rank_correlation(pairs: DataFrame, x: str, y: str, key: str = "city") -> DataFrame:
     """Spearman's rho with average ranks; null under three rows or without spread.
 
-    Ranks come from counts of distinct values, so equal values are one row of the window however many there are.
+    Ranks come from counts of distinct values in range partitions (ranks.cumulated), so no group is ordered in one task.
     """
-
-    def ranked(c: str, name: str) -> DataFrame:
-        counts = pairs.groupBy(key, c).agg(F.count("*").alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(key, c, (below + (F.col("n") + 1) / 2).alias(name))
-
-    both = pairs.join(ranked(x, "rx"), [key, x]).join(ranked(y, "ry"), [key, y])
+    both = pairs.join(ranks.average_ranks(pairs, x, "rx", key), [key, x]).join(ranks.average_ranks(pairs, y, "ry", key), [key, y])
     sums = both.groupBy(key).agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
     return sums.select(key, "n", F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("c") / (F.col("sx") * F.col("sy"))).alias("rho"))
 
@@ -150,7 +144,7 @@ def hierarchy_clarity(betweenness: DataFrame, simple: DataFrame) -> DataFrame:
 
 
 def betweenness_p90(betweenness: DataFrame) -> DataFrame:
-    return betweenness.groupBy("city").agg(F.percentile("betweenness", 0.9).alias("betweenness_p90"), F.count("*").alias("n_edges"))
+    return ranks.quantile(betweenness, "betweenness", 0.9, "betweenness_p90").withColumnRenamed("n", "n_edges")
 
 
 def betweenness_sources(population: int, fraction: float = defaults.BETWEENNESS_FRACTION, least: int = defaults.LEAST_SOURCES, most: int = defaults.MOST_SOURCES) -> int:

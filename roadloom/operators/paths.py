@@ -1,38 +1,63 @@
 """Shortest paths from sampled sources.
 
-A city's graph goes, as its edge list, to every batch of its sources (one cogrouped task per batch: no driver, no
-broadcast), where a numpy breadth-first search or a bucketed shortest-path search runs over compressed adjacency. Only sums per
-source leave the task unless the distances themselves are wanted. A city must fit one task, which is checked: beyond
-`most_edges` edges hop distances run as a frontier join and weighted ones as a relaxing join, round by round.
+The adjacency of each city is built once and written to the shared folder; batches of its sources are tasks that read it
+there (no copies in a shuffle, no driver, no broadcast) and run a numpy breadth-first search or a bucketed shortest-path search.
+Only sums per source leave the task unless the distances themselves are wanted. A city must fit one task, which is checked:
+beyond `most_edges` edges hop distances run as a frontier join, weighted ones as a relaxing join, and betweenness as joins
+along the shortest-path edges, round by round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import stored
+from roadloom.functions import defaults
+from roadloom.functions.frames import removed, shared_folder, shared_rows, stored
 from roadloom.operators.network import symmetric
 
-MOST_EDGES = 20_000_000
+#: Edges of a city that one task holds: their adjacency takes some 120 MB, building it about four times that.
+MOST_EDGES = 5_000_000
 
 
 class Csr:
     """Symmetric adjacency over the ids that occur, in ascending order of id."""
 
-    def __init__(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray | None = None, extra: np.ndarray | None = None):
-        self.ids = np.unique(np.concatenate([lo, hi] + ([extra] if extra is not None else []))) if len(lo) or extra is not None else np.empty(0, dtype=np.int64)
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray | None = None):
+        self.ids = np.unique(np.concatenate([lo, hi]))
         a, b = np.searchsorted(self.ids, lo), np.searchsorted(self.ids, hi)
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         order = np.lexsort((dst, src))
         self.start = np.zeros(len(self.ids) + 1, dtype=np.int64)
         np.cumsum(np.bincount(src, minlength=len(self.ids)), out=self.start[1:])
-        self.to = dst[order]
+        self.to = dst[order].astype(np.int32)
         self.w = None if length is None else np.concatenate([length, length])[order]
+        self.x = self.y = None
+
+    @classmethod
+    def of(cls, parts: dict[str, np.ndarray]) -> Csr:
+        """A graph of its arrays."""
+        g = cls.__new__(cls)
+        g.ids, g.start, g.to, g.w, g.x, g.y = (parts.get(k) for k in ("ids", "start", "to", "w", "x", "y"))
+        return g
+
+    @functools.cached_property
+    def tail(self) -> np.ndarray:
+        """The start of every directed edge."""
+        return np.repeat(np.arange(len(self.ids)), np.diff(self.start))
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indexes of those of the ids that have edges, the ids that have none)."""
+        at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+        there = self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), dtype=bool)
+        return at[there], ids[~there]
 
     def hops(self, source: int) -> np.ndarray:
         """Hops from a node index, -1 where unreachable."""
@@ -98,20 +123,73 @@ def batched(sources: DataFrame, size: int) -> DataFrame:
     return sources.join(F.broadcast(n), "city").withColumn("batch", F.pmod(F.xxhash64("node_id"), F.col("batches")).cast("int"))
 
 
-def per_batch(pairs: DataFrame, sources: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, size: int) -> DataFrame:
-    """kernel(edges of a city, one batch of its sources) for all batches of all cities."""
-    s = batched(sources, size)
-    copies = s.select("city", "batches").distinct()
-    e = pairs.join(F.broadcast(copies), "city").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
+_KINDS = {"ids": np.int64, "start": np.int64, "to": np.int32, "w": np.float64, "x": np.float64, "y": np.float64}
+_BLOB, _PIECE = "slot bigint, city string, kind string, seq int, data binary", 2**24
 
-    def run(key, edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
-        return kernel(edges, own) if len(own) else pd.DataFrame({n: [] for n in _names(schema)})
 
-    # as many partitions as asked for: few bytes of edges make much work here, and AQE would put all batches in one task
-    spark = pairs.sparkSession
+def _blobs(slot: int, city: str, parts: dict[str, np.ndarray]) -> pa.Table:
+    rows = [(slot, city, kind, k, data[a : a + _PIECE]) for kind, v in parts.items() for data in (v.tobytes(),) for k, a in enumerate(range(0, max(1, len(data)), _PIECE))]
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names=[f.split()[0] for f in _BLOB.split(", ")])
+
+
+def _write_graphs(pairs: DataFrame, where: str, nodes: DataFrame | None) -> None:
+    """The adjacency of every city under where/slot=..., with the positions of its nodes if they are given."""
+    slot = F.xxhash64("city").alias("slot")
+
+    def build(own: pa.Table) -> pa.Table:
+        g = Csr(own.column("lo").to_numpy(), own.column("hi").to_numpy(), own.column("length").to_numpy() if "length" in own.column_names else None)
+        parts = {"ids": g.ids, "start": g.start, "to": g.to} | ({} if g.w is None else {"w": g.w})
+        return _blobs(own.column("slot")[0].as_py(), own.column("city")[0].as_py(), parts)
+
+    made = pairs.select(slot, F.col("city").cast("string").alias("city"), *[c for c in pairs.columns if c != "city"]).groupBy("slot", "city").applyInArrow(build, _BLOB)
+    if nodes is not None:
+
+        def place(own: pa.Table) -> pa.Table:
+            own = own.sort_by("node_id")
+            parts = {"nodes": own.column("node_id").to_numpy()} | {c: own.column(c).to_numpy(zero_copy_only=False) for c in "xy"}
+            return _blobs(own.column("slot")[0].as_py(), own.column("city")[0].as_py(), {k: v.astype(np.float64) if k in "xy" else v for k, v in parts.items()})
+
+        made = made.unionByName(nodes.select(slot, F.col("city").cast("string").alias("city"), "node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy("slot", "city").applyInArrow(place, _BLOB))
+    made.write.partitionBy("slot").parquet(where)
+
+
+@functools.lru_cache(maxsize=1)
+def _read_graph(where: str, slot: int, city: str) -> Csr:
+    """A city's graph, kept in the worker for the next batch. x and y, if any, are those of the graph's nodes."""
+    rows = shared_rows(f"{where}/slot={slot}", "city", "kind", "seq", "data")
+    held: dict[str, list] = {}
+    for c, kind, seq, data in zip(*(rows.column(k).to_pylist() for k in ("city", "kind", "seq", "data"))) if rows is not None else ():
+        if c == city:
+            held.setdefault(kind, []).append((seq, data))
+    parts = {kind: np.frombuffer(b"".join(d for _, d in sorted(pieces, key=lambda p: p[0])), dtype=_KINDS.get(kind, np.int64)) for kind, pieces in held.items()}
+    parts = {"ids": np.empty(0, dtype=np.int64), "start": np.zeros(1, dtype=np.int64), "to": np.empty(0, dtype=np.int32), "w": np.empty(0)} | parts
+    if "nodes" in parts:
+        at = np.minimum(np.searchsorted(parts["nodes"], parts["ids"]), len(parts["nodes"]) - 1)
+        known = parts["nodes"][at] == parts["ids"]
+        parts |= {c: np.where(known, parts[c][at], np.nan) for c in "xy"}
+    elif "x" not in parts:
+        parts |= {c: np.full(len(parts["ids"]), np.nan) for c in "xy"}
+    return Csr.of(parts)
+
+
+def per_batch(pairs: DataFrame, sources: DataFrame, kernel: Callable[[Csr, str, np.ndarray], Iterable[tuple] | pd.DataFrame], schema: str, size: int, nodes: DataFrame | None = None, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """finish(kernel(graph of a city, the city, one batch of its sources) for all batches of all cities), stored."""
+    spark, names = pairs.sparkSession, _names(schema)
+    where = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}"
+    _write_graphs(pairs, where, nodes)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        city = own["city"].iloc[0]
+        made = kernel(_read_graph(where, int(own["slot"].iloc[0]), city), city, own["node_id"].to_numpy())
+        return made if isinstance(made, pd.DataFrame) else pd.DataFrame(made, columns=names)
+
+    # as many partitions as asked for: few bytes of sources make much work here, and AQE would put all batches in one task
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    e, s = (f.repartition(n, "city", "batch") for f in (e, s))
-    return e.groupBy("city", "batch").cogroup(s.groupBy("city", "batch")).applyInPandas(run, schema)
+    s = batched(sources, size).select(F.xxhash64("city").alias("slot"), F.col("city").cast("string").alias("city"), "batch", "node_id").repartition(n, "city", "batch")
+    out = stored(finish(s.groupBy("city", "batch").applyInPandas(run, schema)))
+    removed(spark, where)
+    return out
 
 
 def _names(schema: str) -> list[str]:
@@ -127,19 +205,19 @@ def fits(pairs: DataFrame, most_edges: int = MOST_EDGES) -> bool:
 HOPS = "city string, source bigint, target bigint, hops bigint"
 
 
-def hop_distances(pairs: DataFrame, sources: DataFrame, size: int = 128, most_edges: int = MOST_EDGES) -> DataFrame:
+def hop_distances(pairs: DataFrame, sources: DataFrame, size: int = defaults.CLOSENESS_BATCH, most_edges: int = MOST_EDGES) -> DataFrame:
     """(city, source, target, hops) of the reachable pairs, the source itself included."""
     plain = pairs.select("city", "lo", "hi").distinct()
     if not fits(plain, most_edges):
         return _joined(symmetric(plain.withColumn("w", F.lit(1).cast("bigint")), "w"), sources).withColumnRenamed("d", "hops")
 
-    def kernel(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        g = Csr(edges["lo"].to_numpy(), edges["hi"].to_numpy(), extra=own["node_id"].to_numpy())
-        parts = []
-        for s in own["node_id"].to_numpy():
-            d = g.hops(int(np.searchsorted(g.ids, s)))
+    def kernel(g: Csr, city: str, own: np.ndarray) -> pd.DataFrame:
+        at, alone = g.places(own)
+        parts = [pd.DataFrame({"city": city, "source": alone, "target": alone, "hops": 0})]
+        for k in at.tolist():
+            d = g.hops(k)
             ok = d >= 0
-            parts.append(pd.DataFrame({"city": own["city"].iloc[0], "source": s, "target": g.ids[ok], "hops": d[ok]}))
+            parts.append(pd.DataFrame({"city": city, "source": g.ids[k], "target": g.ids[ok], "hops": d[ok]}))
         return pd.concat(parts)
 
     return per_batch(plain, sources, kernel, HOPS, size)
@@ -153,12 +231,12 @@ def path_lengths(pairs: DataFrame, sources: DataFrame, size: int = 64, most_edge
     if not fits(pairs, most_edges):
         return _joined(symmetric(pairs.withColumnRenamed("length", "w"), "w"), sources)
 
-    def kernel(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        g = Csr(edges["lo"].to_numpy(), edges["hi"].to_numpy(), edges["length"].to_numpy(), own["node_id"].to_numpy())
-        parts = []
-        for k, d in g.rows(np.searchsorted(g.ids, own["node_id"].to_numpy())):
+    def kernel(g: Csr, city: str, own: np.ndarray) -> pd.DataFrame:
+        at, alone = g.places(own)
+        parts = [pd.DataFrame({"city": city, "source": alone, "target": alone, "d": 0.0})]
+        for k, d in g.rows(at):
             ok = np.isfinite(d)
-            parts.append(pd.DataFrame({"city": own["city"].iloc[0], "source": g.ids[k], "target": g.ids[ok], "d": d[ok]}))
+            parts.append(pd.DataFrame({"city": city, "source": g.ids[k], "target": g.ids[ok], "d": d[ok]}))
         return pd.concat(parts)
 
     return per_batch(pairs.select("city", "lo", "hi", "length"), sources, kernel, LENGTHS, size)
@@ -178,19 +256,19 @@ def _joined(both: DataFrame, sources: DataFrame, most_rounds: int = 100_000) ->
 CLOSENESS = "city string, source bigint, reachable bigint, total_hops bigint"
 
 
-def hop_sums(pairs: DataFrame, sources: DataFrame, size: int = 128, most_edges: int = MOST_EDGES) -> DataFrame:
+def hop_sums(pairs: DataFrame, sources: DataFrame, size: int = defaults.CLOSENESS_BATCH, most_edges: int = MOST_EDGES) -> DataFrame:
     """(city, source, reachable, total_hops): all that closeness needs of a breadth-first search."""
     plain = pairs.select("city", "lo", "hi").distinct()
     if not fits(plain, most_edges):
         return hop_distances(plain, sources, size, most_edges).groupBy("city", "source").agg(F.count("*").alias("reachable"), F.sum("hops").alias("total_hops"))
 
-    def kernel(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        g = Csr(edges["lo"].to_numpy(), edges["hi"].to_numpy(), extra=own["node_id"].to_numpy())
-        rows = []
-        for s in own["node_id"].to_numpy():
-            d = g.hops(int(np.searchsorted(g.ids, s)))
-            rows.append((own["city"].iloc[0], int(s), int((d >= 0).sum()), int(d[d > 0].sum())))
-        return pd.DataFrame(rows, columns=_names(CLOSENESS))
+    def kernel(g: Csr, city: str, own: np.ndarray) -> list[tuple]:
+        at, alone = g.places(own)
+        rows = [(city, s, 1, 0) for s in alone.tolist()]
+        for k in at.tolist():
+            d = g.hops(k)
+            rows.append((city, int(g.ids[k]), int((d >= 0).sum()), int(d[d > 0].sum())))
+        return rows
 
     return per_batch(plain, sources, kernel, CLOSENESS, size)
 
@@ -198,71 +276,89 @@ def hop_sums(pairs: DataFrame, sources: DataFrame, size: int = 128, most_edges:
 SWEEP = "city string, source bigint, reachable bigint, sum_d double, sum_inverse double, sum_ratio double, n_ratio bigint"
 
 
-def path_sums(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = 128, most_edges: int = MOST_EDGES) -> DataFrame:
+def path_sums(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = defaults.EFFICIENCY_BATCH, most_edges: int = MOST_EDGES) -> DataFrame:
     """One weighted sweep per source for all three efficiency measures: reachable others, sums of d, 1/d and d/straight line."""
-    if not fits(pairs, most_edges):
+    if not fits(pairs, most_edges) or not fits(nodes, most_edges):
         a, b = nodes.select("city", F.col("node_id").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy")), nodes.select("city", F.col("node_id").alias("target"), "x", "y")
         straight = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
         far = path_lengths(pairs, sources, size, most_edges).join(a, ["city", "source"]).join(b, ["city", "target"])
         other, seen = F.col("source") != F.col("target"), straight > 0
         return far.groupBy("city", "source").agg(F.count_if(other).alias("reachable"), F.sum(F.when(other, F.col("d"))).alias("sum_d"), F.sum(F.when(other, 1 / F.col("d"))).alias("sum_inverse"), F.sum(F.when(other & seen, F.col("d") / straight)).alias("sum_ratio"), F.count_if(other & seen).alias("n_ratio"))
-    ends = pairs.select("city", "lo", "hi", "length")
-    for end in ("lo", "hi"):
-        ends = ends.join(nodes.select("city", F.col("node_id").alias(end), F.col("x").alias(f"{end}_x"), F.col("y").alias(f"{end}_y")), ["city", end], "left")
-
-    def kernel(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        g = Csr(edges["lo"].to_numpy(), edges["hi"].to_numpy(), edges["length"].to_numpy(), own["node_id"].to_numpy())
-        xy = np.full((len(g.ids), 2), np.nan)
-        for end in ("lo", "hi"):
-            xy[np.searchsorted(g.ids, edges[end].to_numpy())] = edges[[f"{end}_x", f"{end}_y"]].to_numpy(dtype=float)
-        rows = []
-        for k, d in g.rows(np.searchsorted(g.ids, own["node_id"].to_numpy())):
+
+    def kernel(g: Csr, city: str, own: np.ndarray) -> list[tuple]:
+        at, alone = g.places(own)
+        rows = [(city, s, 0, 0.0, 0.0, 0.0, 0) for s in alone.tolist()]
+        for k, d in g.rows(at):
             ok = np.isfinite(d)
             ok[k] = False
-            straight = np.hypot(*(xy[ok] - xy[k]).T)
+            straight = np.hypot(g.x[ok] - g.x[k], g.y[ok] - g.y[k])
             seen = straight > 0
-            rows.append((own["city"].iloc[0], int(g.ids[k]), int(ok.sum()), float(d[ok].sum()), float((1 / d[ok]).sum()), float((d[ok][seen] / straight[seen]).sum()), int(seen.sum())))
-        return pd.DataFrame(rows, columns=_names(SWEEP))
+            rows.append((city, int(g.ids[k]), int(ok.sum()), float(d[ok].sum()), float((1 / d[ok]).sum()), float((d[ok][seen] / straight[seen]).sum()), int(seen.sum())))
+        return rows
 
-    return per_batch(ends, sources, kernel, SWEEP, size)
+    return per_batch(pairs.select("city", "lo", "hi", "length"), sources, kernel, SWEEP, size, nodes)
 
 
 PARTIAL = "city string, lo bigint, hi bigint, share double"
 
 
-def edge_betweenness(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = 32) -> DataFrame:
+def edge_betweenness(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, size: int = defaults.BETWEENNESS_BATCH, most_edges: int = MOST_EDGES) -> DataFrame:
     """(city, lo, hi, betweenness): weighted edge betweenness from the sources, normalised over ordered pairs; 0 for unused edges.
 
     Each source's dependencies are accumulated by Brandes' algorithm within one task; Spark adds the partial sums.
     """
-    if not fits(pairs):
-        raise ValueError(f"a city has more than {MOST_EDGES} edges; sample or split it first")
 
-    def kernel(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        g = Csr(edges["lo"].to_numpy(), edges["hi"].to_numpy(), edges["length"].to_numpy(), own["node_id"].to_numpy())
+    def kernel(g: Csr, city: str, own: np.ndarray) -> pd.DataFrame:
         total = np.zeros(len(g.to))
-        for k, d in g.rows(np.searchsorted(g.ids, own["node_id"].to_numpy())):
+        for k, d in g.rows(g.places(own)[0]):
             add_dependencies(g, k, d, total)
-        tail = np.repeat(np.arange(len(g.ids)), np.diff(g.start))
         used = np.flatnonzero(total)
-        a, b = g.ids[tail[used]], g.ids[g.to[used]]
-        return pd.DataFrame({"city": own["city"].iloc[0], "lo": np.minimum(a, b), "hi": np.maximum(a, b), "share": total[used]})
+        a, b = g.ids[g.tail[used]], g.ids[g.to[used]]
+        return pd.DataFrame({"city": city, "lo": np.minimum(a, b), "hi": np.maximum(a, b), "share": total[used]})
 
-    parts = per_batch(pairs.select("city", "lo", "hi", "length"), sources, kernel, PARTIAL, size).groupBy("city", "lo", "hi").agg(F.sum("share").alias("share"))
+    summed = lambda df: df.groupBy("city", "lo", "hi").agg(F.sum("share").alias("share"))
+    parts = per_batch(pairs.select("city", "lo", "hi", "length"), sources, kernel, PARTIAL, size, finish=summed) if fits(pairs, most_edges) else summed(_joined_shares(pairs, sources, size, most_edges))
     n = nodes.groupBy("city").agg(F.count("*").alias("n")).join(sources.groupBy("city").agg(F.count("*").alias("k")), "city")
     full = pairs.select("city", "lo", "hi").join(parts, ["city", "lo", "hi"], "left").join(F.broadcast(n), "city")
     return full.select("city", "lo", "hi", (F.coalesce("share", F.lit(0.0)) / (F.col("k") * F.greatest(F.lit(1), F.col("n") - 1))).alias("betweenness"))
 
 
+def _joined_shares(pairs: DataFrame, sources: DataFrame, size: int, most_edges: int) -> DataFrame:
+    """PARTIAL by joins: path counts forwards and dependencies backwards along the shortest-path edges, a step a round.
+
+    Both are linear, so what reaches a node by paths of different numbers of edges is summed afterwards.
+    """
+    key = ["city", "source"]
+    far = stored(path_lengths(pairs, sources, size, most_edges))
+    end = lambda n, d: far.select(*key, F.col("target").alias(n), F.col("d").alias(d))
+    both = symmetric(pairs.withColumnRenamed("length", "w"), "w")
+    on = stored(end("a", "da").join(both, ["city", "a"]).join(end("b", "db"), [*key, "b"]).filter("da + w = db and da < db").select(*key, F.col("a").alias("u"), F.col("b").alias("v")))
+    front = sources.select("city", F.col("node_id").alias("source"), F.col("node_id").alias("u"), F.lit(1.0).alias("c"))
+    reached = [front]
+    while not front.isEmpty():
+        front = stored(front.join(on, [*key, "u"]).groupBy(*key, F.col("v").alias("u")).agg(F.sum("c").alias("c")))
+        reached.append(front)
+    paths_ = stored(functools.reduce(DataFrame.unionByName, reached).groupBy(*key, "u").agg(F.sum("c").alias("c")))
+    share = stored(on.join(paths_, [*key, "u"]).join(paths_.select(*key, F.col("u").alias("v"), F.col("c").alias("cv")), [*key, "v"]).select(*key, "u", "v", (F.col("c") / F.col("cv")).alias("part")))
+    front, flows = far.filter("source <> target").select(*key, F.col("target").alias("v"), F.lit(1.0).alias("f")), []
+    while not front.isEmpty():
+        flow = stored(front.join(share, [*key, "v"]).select(*key, "u", "v", (F.col("f") * F.col("part")).alias("f")))
+        flows.append(flow)
+        front = flow.groupBy(*key, F.col("u").alias("v")).agg(F.sum("f").alias("f"))
+    if not flows:
+        return pairs.sparkSession.createDataFrame([], PARTIAL)
+    return functools.reduce(DataFrame.unionByName, flows).select("city", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), F.col("f").alias("share"))
+
+
 def add_dependencies(g: Csr, source: int, dist: np.ndarray, total: np.ndarray) -> None:
     """Adds to total, per directed edge, the source's dependency on it (Brandes).
 
     The shortest-path edges (those whose length is exactly the difference they bridge) form an acyclic graph, which is
     walked front by front: path counts forwards, dependencies backwards.
     """
-    tail = np.repeat(np.arange(len(g.ids)), np.diff(g.start))
-    on = np.flatnonzero((dist[tail] + g.w == dist[g.to]) & (dist[tail] < dist[g.to]) & np.isfinite(dist[tail]))
-    u, v = tail[on], g.to[on]
+    ahead, behind = dist[g.tail], dist[g.to]
+    on = np.flatnonzero((ahead + g.w == behind) & (ahead < behind) & np.isfinite(ahead))
+    u, v = g.tail[on], g.to[on]
     first = np.searchsorted(u, np.arange(len(g.ids) + 1))
     left = np.bincount(v, minlength=len(g.ids))
     sigma, flow = np.zeros(len(g.ids)), np.zeros(len(g.ids))

@@ -147,6 +147,20 @@ def reference_bounds(reference: DataFrame) -> DataFrame:
     return long_form(reference.withColumnRenamed(columns["city"], "city"), names).groupBy("metric").agg(F.min(known(F.col("value"))).alias("lo"), F.max(known(F.col("value"))).alias("hi"))
 
 
+def ranges_of_others(values: DataFrame) -> DataFrame:
+    """city, metric, value, lo, hi: the range of each metric over all other cities, null where there is no other.
+
+    The two smallest and the two largest values of a metric are all that is needed: one aggregation after another, no pairs.
+    """
+    v = F.col("value")
+    ends = values.groupBy("metric").agg(F.min("value").alias("l0"), F.max("value").alias("h0"))
+    with_ends = values.join(F.broadcast(ends), "metric")
+    inner = with_ends.groupBy("metric").agg(F.count_if(v == F.col("l0")).alias("nl"), F.count_if(v == F.col("h0")).alias("nh"), F.min(F.when(v > F.col("l0"), v)).alias("l1"), F.max(F.when(v < F.col("h0"), v)).alias("h1"))
+    lo = F.when((v == F.col("l0")) & (F.col("nl") == 1), F.col("l1")).otherwise(F.col("l0"))
+    hi = F.when((v == F.col("h0")) & (F.col("nh") == 1), F.col("h1")).otherwise(F.col("h0"))
+    return with_ends.join(F.broadcast(inner), "metric").select("city", "metric", "value", lo.alias("lo"), hi.alias("hi"))
+
+
 def evaluated(values: DataFrame, bounds: DataFrame) -> DataFrame:
     """city, metric, value, lo, hi, score against saved bounds, not clipped."""
     both = values.join(F.broadcast(metric_specs(values.sparkSession)), "metric").join(F.broadcast(bounds), "metric")

@@ -167,7 +167,8 @@ def hull(points: np.ndarray) -> np.ndarray:
 def convex_hulls(points: DataFrame, group: str = "city") -> DataFrame:
     """Per group: corners, area and the hull as WKT of its located points.
 
-    Two rounds: every batch of points is first reduced to its own hull where it lies, so that only hulls are gathered.
+    Three rounds: every batch of points is reduced to its own hull where it lies, those hulls in 64 parts per group, and what
+    is left of them to the hull: nothing but corners of hulls is gathered.
     """
     located = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)").filter(F.col(group).isNotNull()).select(F.col(group).alias("grp"), "x", "y")
 
@@ -182,7 +183,9 @@ def convex_hulls(points: DataFrame, group: str = "city") -> DataFrame:
         area = abs(ring_area(h)) if len(h) >= 3 else 0.0
         return pd.DataFrame([(own["grp"].iloc[0], len(h), area, to_wkt([[h]]) if len(h) >= 3 else None)], columns=[group, "corners", "area_m2", "geometry"])
 
-    return located.mapInPandas(reduce, "grp string, x double, y double").groupBy("grp").applyInPandas(finish, f"{group} string, corners int, area_m2 double, geometry string")
+    corner = "grp string, x double, y double"
+    parts = located.mapInPandas(reduce, corner).groupBy("grp", F.pmod(F.xxhash64("x", "y"), F.lit(64)).alias("part"))
+    return parts.applyInPandas(lambda own: next(reduce([own])), corner).groupBy("grp").applyInPandas(finish, f"{group} string, corners int, area_m2 double, geometry string")
 
 
 def rings_of(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
@@ -487,57 +490,6 @@ def distance_thresholds(distances: DataFrame, total: DataFrame, limits: tuple[fl
     return both.select("city", "n_points", "mean_d", "median_d", "p90_d", *[(100 * F.col(f"n{int(w)}") / F.col("n_points")).alias(f"within_{int(w)}m_pct") for w in limits])
 
 
-def cut_vertices(lo: np.ndarray, hi: np.ndarray) -> tuple[set[int], set[tuple[int, int]]]:
-    """(articulation points, bridges) of a simple graph, by lowlinks without recursion."""
-    near: dict[int, list[int]] = {}
-    for a, b in zip(lo.tolist(), hi.tolist()):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    seen: dict[int, int] = {}
-    low: dict[int, int] = {}
-    points, bridges = set(), set()
-    for root in sorted(near):
-        if root in seen:
-            continue
-        seen[root] = low[root] = len(seen)
-        stack, kids = [(root, None, iter(near[root]))], 0
-        while stack:
-            k, parent, rest = stack[-1]
-            for j in rest:
-                if j == parent:
-                    continue
-                if j in seen:
-                    low[k] = min(low[k], seen[j])
-                    continue
-                seen[j] = low[j] = len(seen)
-                kids += k == root
-                stack.append((j, k, iter(near[j])))
-                break
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[k])
-                    if low[k] > seen[parent]:
-                        bridges.add((min(parent, k), max(parent, k)))
-                    if parent != root and low[k] >= seen[parent]:
-                        points.add(parent)
-        if kids > 1:
-            points.add(root)
-    return points, bridges
-
-
-def weak_points(pairs: DataFrame) -> DataFrame:
-    """(city, kind, a, b): articulation points (b null) and bridges of each city's simple graph. A city must fit one task."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        points, bridges = cut_vertices(own["lo"].to_numpy(), own["hi"].to_numpy())
-        city = own["city"].iloc[0]
-        rows = [(city, "articulation", p, None) for p in sorted(points)] + [(city, "bridge", a, b) for a, b in sorted(bridges)]
-        return pd.DataFrame(rows, columns=["city", "kind", "a", "b"]).astype({"b": "Int64"})
-
-    return pairs.select("city", "lo", "hi").distinct().groupBy("city").applyInPandas(run, "city string, kind string, a bigint, b bigint")
-
-
 def great_circle_m(lon_a: float, lat_a: float, lon_b: float, lat_b: float, radius: float = 6371000.0) -> float:
     p, q = math.radians(lat_a), math.radians(lat_b)
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon_b - lon_a) / 2) ** 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from roadloom.functions import geo
 from roadloom.functions.defaults import SEED
 from roadloom.functions.frames import located, removed, shared_folder, spread, stored, table
 from roadloom.functions.stats import pilot_size
-from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes, spatial
+from roadloom.operators import blocks, features, grid, metrics, network, paths, sampling, scoring, shapes, spatial
 from roadloom.streaming import cells as streaming
 
 
@@ -140,7 +141,7 @@ def truncate_graph(spark, d):
 
 def articulation_bridges(spark, d):
     """b is the other end of a bridge, and a again for an articulation point."""
-    return shapes.weak_points(multigraph(spark, d)).withColumn("b", F.coalesce("b", "a"))
+    return blocks.weak_points(multigraph(spark, d)).withColumn("b", F.coalesce("b", "a"))
 
 
 # --- paths and measures ------------------------------------------------------------------------------------------------
@@ -311,9 +312,13 @@ def minmax_down(spark, d):
 
 
 def minmax_degenerate(spark, d):
-    """Each value against a range of itself: always 50, by all three tests."""
-    v, x = _metric_table(spark, d), F.col("value")
-    return v.select("city", "metric", *[scoring.scaled(x, x, x, 1, t).alias(f"score_{t}") for t in ("low", "high", "relative")])
+    """Each value in ranges about as wide as the three tests of a degenerate range allow: their verdicts differ."""
+    v, x = _metric_table(spark, d).filter("value > 0"), F.col("value")
+    out = []
+    for width in (0.0, 5e-10, 9e-6, 1.1e-5, 1e-3):
+        hi = x * (1 + width)
+        out.append(v.select("city", "metric", F.lit(width).alias("width"), *[F.round(scoring.scaled(x, x, hi, 1, t), 3).alias(f"score_{t}") for t in ("low", "high", "relative")]))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def pillar_scores(spark, d):
@@ -353,8 +358,7 @@ def evaluate_vs_reference(spark, d):
     """Every city against the range of the others alone: scores beyond 0 and 100 stay."""
     v = _metric_table(spark, d)
     specs = scoring.metric_specs(spark).select("metric", "direction")
-    other = v.select(F.col("city").alias("o"), "metric", F.col("value").alias("ov"))
-    span = v.join(other, "metric").filter("city <> o").groupBy("city", "metric", "value").agg(F.min("ov").alias("lo"), F.max("ov").alias("hi")).join(F.broadcast(specs), "metric")
+    span = scoring.ranges_of_others(v).join(F.broadcast(specs), "metric")
     return span.select("city", "metric", F.round(scoring.scaled(F.col("value"), F.col("lo"), F.col("hi"), F.col("direction"), "low"), 6).alias("score"))
 
 

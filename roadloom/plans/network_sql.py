@@ -213,7 +213,8 @@ SELECT city, measure, round(CAST(a AS DOUBLE), 6) AS full_value, round(CAST(b AS
     "random_sample": f"WITH {_NODES} SELECT city, node_id FROM nd WHERE x IS NOT NULL AND y IS NOT NULL ORDER BY {_hash('node_id')}, node_id LIMIT 10000",
     "minmax_scores": f"WITH {_METRICS} SELECT city, pillar, metric, round(value, 6) AS value, round(score, 6) AS score FROM scored",
     "minmax_down": f"WITH {_METRICS} SELECT city, metric, round(CASE WHEN abs(hi - lo) <= 1e-8 + 1e-5 * abs(hi) THEN 50.0 ELSE 100 * (hi - value) / (hi - lo) END, 6) AS score FROM scored",
-    "minmax_degenerate": f"WITH {_METRICS} SELECT city, metric, CAST(50.0 AS DOUBLE) AS score_low, CAST(50.0 AS DOUBLE) AS score_high, CAST(50.0 AS DOUBLE) AS score_relative FROM vals",
+    "minmax_degenerate": f"""WITH {_METRICS}, w AS (SELECT city, metric, CAST(width AS DOUBLE) AS width, value AS x, value * (1 + CAST(width AS DOUBLE)) AS y FROM vals, (VALUES (0.0), (5e-10), (9e-6), (1.1e-5), (1e-3)) t(width) WHERE value > 0)
+SELECT city, metric, width, CAST(CASE WHEN y - x <= 1e-8 + 1e-5 * x THEN 50 ELSE 0 END AS DOUBLE) AS score_low, CAST(CASE WHEN y - x <= 1e-8 + 1e-5 * y THEN 50 ELSE 0 END AS DOUBLE) AS score_high, CAST(CASE WHEN y - x <= 1e-9 * y THEN 50 ELSE 0 END AS DOUBLE) AS score_relative FROM w""",
     "pillar_scores": f"WITH {_METRICS} SELECT city, round(c, 6) AS connectivity_score, round(e, 6) AS efficiency_score, round(h, 6) AS hierarchy_score FROM pil",
     "pillar_merge": f"WITH {_METRICS} SELECT city, round(c, 6) AS connectivity_score, round(e, 6) AS efficiency_score, round(h, 6) AS hierarchy_score FROM pil",
     "composite": f"WITH {_METRICS} SELECT city, round(i, 6) AS index_score, true AS arithmetic_ok FROM idx",

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from roadloom.functions import polygons as P
-from roadloom.operators import shapes, spatial
+from roadloom.operators import blocks, shapes, spatial
 
 SQUARE = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 2 4, 4 4, 4 2, 2 2))"
 
@@ -127,7 +127,7 @@ def test_shapes(spark):
     line = np.array([(0, 0), (1, 0.1), (2, -0.1), (3, 5), (4, 6), (5, 7), (6, 8.1), (7, 9), (8, 9), (9, 9)], dtype=float)
     assert len(shapes.simplify_line(line, 1.0)) == 5 and len(shapes.simplify_line(line, 0.0)) == 8
     assert len(shapes.hull(np.array([(0, 0), (4, 0), (4, 4), (0, 4), (2, 2), (2, 0)], dtype=float))) == 4
-    assert shapes.cut_vertices(np.array([1, 2, 3, 3, 4]), np.array([2, 3, 1, 4, 5])) == ({3, 4}, {(3, 4), (4, 5)})
+    assert blocks.cut_vertices(np.array([1, 2, 3, 3, 4]), np.array([2, 3, 1, 4, 5])) == ({3, 4}, {(3, 4), (4, 5)})
     members = spark.createDataFrame([(1, "outer", w, p, float(x), float(y)) for w, way in enumerate(ways) for p, (x, y) in enumerate(way)] + [(2, "outer", 0, p, float(p), 0.0) for p in range(3)], "relation_id bigint, role string, way_no int, pos int, lon double, lat double")
     got = {r.relation_id: r for r in shapes.relation_polygons(members).collect()}
     assert got[1].area_deg2 == 25 and got[1].bbox.startswith("0.00000000, 0.00000000, 5.0") and got[2].problem

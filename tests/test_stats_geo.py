@@ -55,3 +55,25 @@ def test_columns(spark):
     assert [v for v in first(*geo.snapped(F.lit(-1.0), F.lit(1001.0), 500.0))] == [-500.0, 1500.0]
     x, y = geo.to_mercator(F.lit(180.0), F.lit(0.0))
     assert abs(first(x)[0] - math.pi * 6378137) < 1e-6 and abs(first(y)[0]) < 1e-6
+
+
+def test_ranks_and_quantiles_over_range_partitions(spark):
+    import random
+
+    import numpy as np
+
+    from roadloom.operators import ranks, scoring
+
+    rnd = random.Random(4)
+    rows = [(c, float(rnd.choice([rnd.randint(0, 30), rnd.random()]))) for c in "AB" for _ in range(200)] + [("C", 7.0), ("A", None)]
+    df = spark.createDataFrame(rows, "city string, v double").repartition(5)
+    below = {(r.city, r.v): (r.n, r.below) for r in ranks.cumulated(df, "v").collect()}
+    got = {r.city: (r.q, r.n) for r in ranks.quantile(df, "v", 0.9, "q").collect()}
+    for c in "ABC":
+        own = [v for k, v in rows if k == c and v is not None]
+        assert got[c][1] == len(own) and abs(got[c][0] - np.percentile(own, 90)) < 1e-12
+        assert all(below[c, v] == (own.count(v), sum(u < v for u in own)) for v in own)
+    assert ranks.quantile(df.limit(0), "v", 0.5, "q").collect() == []
+    v = spark.createDataFrame([("a", "m", 1.0), ("b", "m", 1.0), ("c", "m", 5.0), ("d", "m", 9.0), ("a", "k", 2.0)], "city string, metric string, value double")
+    others = {(r.city, r.metric): (r.lo, r.hi) for r in scoring.ranges_of_others(v).collect()}
+    assert others == {("a", "m"): (1.0, 9.0), ("b", "m"): (1.0, 9.0), ("c", "m"): (1.0, 9.0), ("d", "m"): (1.0, 5.0), ("a", "k"): (None, None)}
