@@ -10,7 +10,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,25 @@ def shared_rows(where: str, *columns: str) -> pa.Table | None:
     return pq.read_table(path, filesystem=system, partitioning=None, columns=list(columns))
 
 
+#: Rows of a table that may be sent to all executors or brought to the driver: one per city, metric or the like, some 10 MB.
+MOST_GROUPS = 100_000
+
+
+def small(df: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
+    """df for a broadcast join. The job fails, rather than sending more or losing rows, if df has more than `most` rows."""
+    counted = df.limit(most + 1).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    held = counted.filter(F.when(F.col("__rows") <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} groups: too many to send to all executors")).cast("boolean")))
+    return F.broadcast(held.drop("__rows"))
+
+
+def few(df: DataFrame, most: int = MOST_GROUPS) -> list[Row]:
+    """The rows of a table of one row per group. ValueError beyond `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} groups: too many for the driver")
+    return rows
+
+
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
     """df over at least the cluster's cores (or at_least) partitions: small files would otherwise leave Python work on one core.
 

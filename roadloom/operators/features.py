@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo
-from roadloom.functions.frames import stored
+from roadloom.functions.frames import small, stored
 from roadloom.operators import grid, shapes, spatial
 
 RELATION = "id bigint, type string, tags map<string,string>, members array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>"
@@ -121,7 +121,7 @@ def load_buildings(raw: DataFrame, centers: DataFrame, zones: DataFrame, most_km
     buildings lie more than most_km away from its centre, or that has none left.
     """
     held = shapes.cleaned(raw.select("city", F.col("polygon_id").cast("bigint").alias("polygon_id"), "geometry"))
-    rows = shapes.corners(held, "polygon_id").join(F.broadcast(zones.select("city", "srid").limit(100_000)), "city")
+    rows = shapes.corners(held, "polygon_id").join(small(zones.select("city", "srid")), "city")
     x, y = geo.to_utm(F.col("x"), F.col("y"), F.col("srid"))
     metres = shapes.from_corners(rows.select("id", "city", "part", "ring", "pos", x.alias("x"), y.alias("y")))
     sizes = shapes.measures(metres, "id").select("id", "area_m2", F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions.frames import small
 from roadloom.functions.defaults import BUILT_UP, CELL_M, COMBINE_KM, LEAST_CORE_KM2, MOST_CELLS, SEARCH_RADIUS_M
 from roadloom.functions.geo import cell_gap
 from roadloom.functions.polygons import parse_polygons, ring_area
@@ -122,7 +123,7 @@ def rectangle_overlay(boxes: DataFrame, cell: float = CELL_M) -> DataFrame:
 def coverage(pieces: DataFrame, limits: DataFrame, cell: float = CELL_M, built_up: float = BUILT_UP) -> DataFrame:
     """Every cell of the grid with the area covered, the share of it (clipped to 0..1) and whether it is built up."""
     origin = limits.select("city", F.round(F.col("x0") / cell).cast("int").alias("ox"), F.round(F.col("y0") / cell).cast("int").alias("oy"))
-    held = pieces.groupBy("city", "cx", "cy").agg(F.sum("area_m2").alias("building_area_m2")).join(F.broadcast(origin), "city").select("city", (F.col("cy") - F.col("oy")).alias("row"), (F.col("cx") - F.col("ox")).alias("col"), "building_area_m2")
+    held = pieces.groupBy("city", "cx", "cy").agg(F.sum("area_m2").alias("building_area_m2")).join(small(origin), "city").select("city", (F.col("cy") - F.col("oy")).alias("row"), (F.col("cx") - F.col("ox")).alias("col"), "building_area_m2")
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("building_area_m2") / F.col("cell_area_m2")))
     out = full_grid(limits, cell).join(held, ["city", "row", "col"], "left").na.fill(0.0, ["building_area_m2"]).withColumn("building_coverage", share)
     return out.withColumn("built_up", F.col("building_coverage") >= built_up)
@@ -162,7 +163,7 @@ def component_table(built: DataFrame) -> DataFrame:
 def primary_component(table: DataFrame, centers: DataFrame) -> DataFrame:
     """Per city the component whose centroid is nearest to the centre (city, x, y); ties go to more cells, then to the smaller id."""
     d = F.hypot(F.col("centroid_x") - F.col("x"), F.col("centroid_y") - F.col("y")) / 1000
-    near = table.join(F.broadcast(centers), "city").withColumn("distance_to_center_km", d)
+    near = table.join(small(centers), "city").withColumn("distance_to_center_km", d)
     return near.groupBy("city").agg(F.min_by("component_id", F.struct("distance_to_center_km", -F.col("cell_count"), "component_id")).alias("component_id"), F.min("distance_to_center_km").alias("distance_to_center_km"))
 
 
@@ -179,8 +180,8 @@ def gaps_to(built: DataFrame, primary: DataFrame, most_km: float = 1.0, cell: fl
     Cells meet in blocks as wide as the reach, so no component is compared with every other.
     """
     reach = int(most_km * 1000 // cell) + 1
-    mine = built.join(F.broadcast(primary.select("city", "component_id")), ["city", "component_id"], "left_semi").select("city", F.col("row").alias("r"), F.col("col").alias("c"))
-    other = built.join(F.broadcast(primary.select("city", "component_id")), ["city", "component_id"], "left_anti").select("city", "component_id", "row", "col")
+    mine = built.join(small(primary.select("city", "component_id")), ["city", "component_id"], "left_semi").select("city", F.col("row").alias("r"), F.col("col").alias("c"))
+    other = built.join(small(primary.select("city", "component_id")), ["city", "component_id"], "left_anti").select("city", "component_id", "row", "col")
     block = lambda c: F.floor(F.col(c) / reach)
     spread_ = mine.select("*", F.explode(F.array(*[F.struct((block("r") + a).alias("br"), (block("c") + b).alias("bc")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("k")).select("city", "r", "c", "k.br", "k.bc")
     both = other.withColumn("br", block("row")).withColumn("bc", block("col")).join(spread_, ["city", "br", "bc"])
@@ -221,9 +222,9 @@ def city_extent(built: DataFrame, centers: DataFrame, combine_km: float = COMBIN
 def urban_core(extent: DataFrame, share: float = 0.75) -> DataFrame:
     """Cells of the extent at or above the coverage quantile of their city; the whole extent where none is."""
     threshold = extent.groupBy("city").agg(F.percentile("building_coverage", share).alias("core_threshold"))
-    marked = extent.join(F.broadcast(threshold), "city").withColumn("core", F.col("building_coverage") >= F.col("core_threshold"))
+    marked = extent.join(small(threshold), "city").withColumn("core", F.col("building_coverage") >= F.col("core_threshold"))
     any_core = marked.groupBy("city").agg(F.bool_or("core").alias("any_core"))
-    return marked.join(F.broadcast(any_core), "city").filter("core or not any_core").drop("core", "any_core")
+    return marked.join(small(any_core), "city").filter("core or not any_core").drop("core", "any_core")
 
 
 def core_support(covered: DataFrame, core_floor: float = 0.02, core_share: float = 0.75, support_floor: float = 0.01, support_share: float = 0.5) -> DataFrame:
@@ -232,13 +233,13 @@ def core_support(covered: DataFrame, core_floor: float = 0.02, core_share: float
     cut = covered.groupBy("city").agg(F.percentile(some, core_share).alias("q_core"), F.percentile(some, support_share).alias("q_support"))
     core = F.greatest(F.lit(core_floor), F.coalesce("q_core", F.lit(core_floor)))
     support = F.least(core, F.greatest(F.lit(support_floor), F.coalesce("q_support", F.lit(support_floor))))
-    both = covered.join(F.broadcast(cut.select("city", core.alias("core_threshold"), support.alias("support_threshold"))), "city")
+    both = covered.join(small(cut.select("city", core.alias("core_threshold"), support.alias("support_threshold"))), "city")
     return both.withColumn("core", F.col("building_coverage") >= F.col("core_threshold")).withColumn("support", F.col("building_coverage") >= F.col("support_threshold"))
 
 
 def alternative_extent(covered: DataFrame, centers: DataFrame, radius_m: float = SEARCH_RADIUS_M, least_core_km2: float = LEAST_CORE_KM2) -> DataFrame:
     """The component of support cells within the search circle with most core cells (then most cells), if its core is large enough."""
-    near = covered.join(F.broadcast(centers), "city").filter(F.hypot(F.col("center_x") - F.col("x"), F.col("center_y") - F.col("y")) <= radius_m).drop("x", "y")
+    near = covered.join(small(centers), "city").filter(F.hypot(F.col("center_x") - F.col("x"), F.col("center_y") - F.col("y")) <= radius_m).drop("x", "y")
     parts = cell_components(core_support(near).filter("support"))
     sums = parts.groupBy("city", "component_id").agg(F.count_if("core").alias("core_count"), F.count("*").alias("cell_count"), (F.sum(F.when(F.col("core"), F.col("cell_area_m2")).otherwise(0.0)) / 1e6).alias("core_area_km2"))
     rank = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("core_count"), F.desc("cell_count"), "component_id"))
@@ -320,5 +321,5 @@ def dissolved(cells: DataFrame, limits: DataFrame, cell: float = CELL_M) -> Data
         parts = [[np.array([x0, y0]) + cell * r for r in part] for part in trace(own["row"].to_numpy(), own["col"].to_numpy())]
         return pd.DataFrame({"city": own["city"].iloc[:1], "geometry": [to_wkt(parts)]})
 
-    placed = cells.select("city", "row", "col").distinct().join(F.broadcast(limits.select("city", "x0", "y0")), "city")
+    placed = cells.select("city", "row", "col").distinct().join(small(limits.select("city", "x0", "y0")), "city")
     return placed.groupBy("city").applyInPandas(run, "city string, geometry string")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions.frames import small
 from roadloom.functions import defaults
 from roadloom.operators import network, paths, ranks
 from roadloom.operators.multivalue import Segmenter
@@ -75,13 +76,13 @@ def closeness(sums: DataFrame, populations: DataFrame) -> DataFrame:
     """Wasserman-Faust closeness of each source. sums: city, source, reachable (the source counts), total_hops."""
     r, s, n = F.col("reachable"), F.col("total_hops"), F.col("population")
     value = F.when((r <= 1) | (s <= 0), 0.0).otherwise((r - 1) / s * ((r - 1) / (n - 1)))
-    return sums.join(F.broadcast(populations.select("city", "population")), "city").select("city", "source", value.alias("closeness"))
+    return sums.join(small(populations.select("city", "population")), "city").select("city", "source", value.alias("closeness"))
 
 
 def efficiency(sums: DataFrame, populations: DataFrame) -> DataFrame:
     """Per source: global efficiency over all other nodes, mean path length and mean circuity over the reachable ones (null without any)."""
     n = F.col("population")
-    return sums.join(F.broadcast(populations.select("city", "population")), "city").select(
+    return sums.join(small(populations.select("city", "population")), "city").select(
         "city",
         "source",
         F.when(n > 1, F.coalesce("sum_inverse", F.lit(0.0)) / (n - 1)).otherwise(0.0).alias("global_efficiency"),

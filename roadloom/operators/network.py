@@ -143,7 +143,8 @@ def largest(labels: DataFrame) -> DataFrame:
 
 def within_largest(labels: DataFrame) -> DataFrame:
     """(city, node_id) of the largest component's nodes."""
-    return labels.join(F.broadcast(largest(labels).select("city", "component")), ["city", "component"], "left_semi").select("city", "node_id")
+    best = largest(labels).select("city", "component")  # a row per city; whether to send it to all is left to its measured size
+    return labels.join(best, ["city", "component"], "left_semi").select("city", "node_id")
 
 
 def induced(multigraph: DataFrame, members: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import defaults
-from roadloom.functions.frames import removed, shared_folder, shared_rows, stored
+from roadloom.functions.frames import removed, shared_folder, shared_rows, small, stored
 from roadloom.operators.network import symmetric
 
 #: Edges of a city that one task holds: their adjacency takes some 120 MB, building it about four times that.
@@ -120,7 +120,7 @@ class Csr:
 def batched(sources: DataFrame, size: int) -> DataFrame:
     """sources (city, node_id) in batches of about `size` per city, by hash."""
     n = sources.groupBy("city").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("batches"))
-    return sources.join(F.broadcast(n), "city").withColumn("batch", F.pmod(F.xxhash64("node_id"), F.col("batches")).cast("int"))
+    return sources.join(small(n), "city").withColumn("batch", F.pmod(F.xxhash64("node_id"), F.col("batches")).cast("int"))
 
 
 _KINDS = {"ids": np.int64, "start": np.int64, "to": np.int32, "w": np.float64, "x": np.float64, "y": np.float64}
@@ -207,9 +207,9 @@ HOPS = "city string, source bigint, target bigint, hops bigint"
 
 def hop_distances(pairs: DataFrame, sources: DataFrame, size: int = defaults.CLOSENESS_BATCH, most_edges: int = MOST_EDGES) -> DataFrame:
     """(city, source, target, hops) of the reachable pairs, the source itself included."""
-    plain = pairs.select("city", "lo", "hi").distinct()
+    plain = pairs.select("city", "lo", "hi")  # parallel edges don't change a search
     if not fits(plain, most_edges):
-        return _joined(symmetric(plain.withColumn("w", F.lit(1).cast("bigint")), "w"), sources).withColumnRenamed("d", "hops")
+        return _joined(symmetric(plain.distinct().withColumn("w", F.lit(1).cast("bigint")), "w"), sources).withColumnRenamed("d", "hops")
 
     def kernel(g: Csr, city: str, own: np.ndarray) -> pd.DataFrame:
         at, alone = g.places(own)
@@ -258,7 +258,7 @@ CLOSENESS = "city string, source bigint, reachable bigint, total_hops bigint"
 
 def hop_sums(pairs: DataFrame, sources: DataFrame, size: int = defaults.CLOSENESS_BATCH, most_edges: int = MOST_EDGES) -> DataFrame:
     """(city, source, reachable, total_hops): all that closeness needs of a breadth-first search."""
-    plain = pairs.select("city", "lo", "hi").distinct()
+    plain = pairs.select("city", "lo", "hi")  # parallel edges don't change a search
     if not fits(plain, most_edges):
         return hop_distances(plain, sources, size, most_edges).groupBy("city", "source").agg(F.count("*").alias("reachable"), F.sum("hops").alias("total_hops"))
 
@@ -319,7 +319,7 @@ def edge_betweenness(pairs: DataFrame, sources: DataFrame, nodes: DataFrame, siz
     summed = lambda df: df.groupBy("city", "lo", "hi").agg(F.sum("share").alias("share"))
     parts = per_batch(pairs.select("city", "lo", "hi", "length"), sources, kernel, PARTIAL, size, finish=summed) if fits(pairs, most_edges) else summed(_joined_shares(pairs, sources, size, most_edges))
     n = nodes.groupBy("city").agg(F.count("*").alias("n")).join(sources.groupBy("city").agg(F.count("*").alias("k")), "city")
-    full = pairs.select("city", "lo", "hi").join(parts, ["city", "lo", "hi"], "left").join(F.broadcast(n), "city")
+    full = pairs.select("city", "lo", "hi").join(parts, ["city", "lo", "hi"], "left").join(small(n), "city")
     return full.select("city", "lo", "hi", (F.coalesce("share", F.lit(0.0)) / (F.col("k") * F.greatest(F.lit(1), F.col("n") - 1))).alias("betweenness"))
 
 

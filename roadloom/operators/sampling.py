@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.defaults import CONFIDENCE, PILOT_FRACTION, PRECISION, SEED
-from roadloom.functions.frames import stored
+from roadloom.functions.frames import few, small, stored
 from roadloom.functions.stats import interval, pilot_size, required_by_critical_moments, required_by_size
 
 # A linear congruence over 31 bits that SQL engines can follow.
@@ -29,7 +29,7 @@ def order_hash(node_id: Column, seed: int = SEED) -> Column:
 
 def first_n(nodes: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
     """(city, node_id) of the first n nodes of each city in hash order. wanted: city, n, population."""
-    h = nodes.select("city", "node_id", order_hash(F.col("node_id"), seed).alias("h")).join(F.broadcast(wanted), "city")
+    h = nodes.select("city", "node_id", order_hash(F.col("node_id"), seed).alias("h")).join(small(wanted), "city")
     share = F.col("n") / F.col("population")
     bound = F.when(share >= 0.5, 1.0).otherwise(share + 8 * F.sqrt(share / F.col("population")) + 16 / F.col("population"))
     near = h.filter(F.col("h") < bound * _SPACE)
@@ -37,14 +37,14 @@ def first_n(nodes: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
     short = ranked.groupBy("city").agg(F.count("*").alias("got"))
     missing = wanted.join(short, "city", "left").filter("coalesce(got, 0) < least(n, population)").select("city")
     if not missing.isEmpty():
-        rest = h.join(F.broadcast(missing), "city", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("city").orderBy("h", "node_id"))).filter("r <= n")
-        ranked = ranked.join(F.broadcast(missing), "city", "left_anti").unionByName(rest)
+        rest = h.join(small(missing), "city", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("city").orderBy("h", "node_id"))).filter("r <= n")
+        ranked = ranked.join(small(missing), "city", "left_anti").unionByName(rest)
     return ranked.select("city", "node_id")
 
 
 def populations(nodes: DataFrame, size: Callable[[int], int]) -> DataFrame:
     """city, population, n: one row per city, n by the rule."""
-    rows = nodes.groupBy("city").agg(F.count("*").alias("population")).collect()
+    rows = few(nodes.groupBy("city").agg(F.count("*").alias("population")))
     return nodes.sparkSession.createDataFrame([(r.city, r.population, int(size(r.population))) for r in rows], "city string, population bigint, n bigint")
 
 
@@ -73,7 +73,7 @@ def adaptive(nodes: DataFrame, measure: Callable[[DataFrame], DataFrame], column
     first = first_n(nodes, start, seed)
     done = stored(measure(first))
     need = []
-    for r in start.join(moments(done, *columns), "city", "left").collect():
+    for r in few(start.join(moments(done, *columns), "city", "left")):
         sizes = []
         for c in columns:
             n, mean, sd = r[f"{c}_n"] or 0, r[f"{c}_mean"] or 0.0, r[f"{c}_sd"] or 0.0
@@ -86,7 +86,7 @@ def adaptive(nodes: DataFrame, measure: Callable[[DataFrame], DataFrame], column
     rest = first_n(nodes, final.drop("pilot"), seed).join(first, ["city", "node_id"], "left_anti")
     rows = stored(done.unionByName(measure(rest)))
     out = []
-    for r in final.join(moments(rows, *columns), "city", "left").collect():
+    for r in few(final.join(moments(rows, *columns), "city", "left")):
         for c in columns:
             n, mean, sd = r[f"{c}_n"] or 0, r[f"{c}_mean"], r[f"{c}_sd"] or 0.0
             ci = interval(r.population, n, mean or 0.0, sd, confidence)

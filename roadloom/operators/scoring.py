@@ -13,6 +13,8 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions.frames import small
+
 # Metric -> (pillar, direction: 1 higher is better, -1 lower is better).
 METRICS = {
     "node_density": ("connectivity", 1),
@@ -61,9 +63,9 @@ def long_form(wide: DataFrame, metrics: list[str], key: str = "city") -> DataFra
 def normalised(values: DataFrame, specs: DataFrame | None = None) -> DataFrame:
     """city, metric, value, lo, hi, score against the range of all cities, by each pillar's own rules."""
     specs = metric_specs(values.sparkSession) if specs is None else specs
-    rows = values.join(F.broadcast(specs), "metric")
+    rows = values.join(small(specs), "metric")
     span = rows.groupBy("metric").agg(F.min(known(F.col("value"))).alias("lo"), F.max(known(F.col("value"))).alias("hi"), F.max(F.coalesce(F.isnan("value"), F.lit(False))).alias("holes"))
-    both = rows.join(F.broadcast(span), "metric")
+    both = rows.join(small(span), "metric")
     score = F.coalesce(*[F.when(F.col("pillar") == p, scaled(known(F.col("value")), F.col("lo"), F.col("hi"), F.col("direction"), RANGE_TEST[p])) for p in PILLARS])
     spoiled = F.col("holes") & F.col("pillar").isin([p for p in PILLARS if NAN_POLICY[p] == "propagate"])
     return both.select("city", "pillar", "metric", "value", "lo", "hi", F.when(~spoiled, score).alias("score"))
@@ -125,7 +127,7 @@ def reference_range(index: DataFrame) -> DataFrame:
 
 def tiers(index: DataFrame) -> DataFrame:
     """Tier 1 above the reference range, Tier 2 within it (bounds included), Tier 3 below."""
-    both = index.join(F.broadcast(reference_range(index).select("reference_lower", "reference_upper")))
+    both = index.join(small(reference_range(index).select("reference_lower", "reference_upper")))
     i = F.col("index_score")
     return both.select("city", "index_score", F.when(i > F.col("reference_upper"), "Tier 1").when(i >= F.col("reference_lower"), "Tier 2").when(i.isNotNull(), "Tier 3").alias("tier"))
 
@@ -133,7 +135,7 @@ def tiers(index: DataFrame) -> DataFrame:
 def normalization_reference(scores: DataFrame) -> DataFrame:
     """metric, minimum_reference_value, maximum_reference_value, direction: what a later city is measured against."""
     specs = metric_specs(scores.sparkSession).select("metric", "direction")
-    return scores.groupBy("metric").agg(F.min("lo").alias("minimum_reference_value"), F.max("hi").alias("maximum_reference_value")).join(F.broadcast(specs), "metric").select("metric", "minimum_reference_value", "maximum_reference_value", F.when(F.col("direction") > 0, "higher").otherwise("lower").alias("direction"))
+    return scores.groupBy("metric").agg(F.min("lo").alias("minimum_reference_value"), F.max("hi").alias("maximum_reference_value")).join(small(specs), "metric").select("metric", "minimum_reference_value", "maximum_reference_value", F.when(F.col("direction") > 0, "higher").otherwise("lower").alias("direction"))
 
 
 def reference_bounds(reference: DataFrame) -> DataFrame:
@@ -154,16 +156,16 @@ def ranges_of_others(values: DataFrame) -> DataFrame:
     """
     v = F.col("value")
     ends = values.groupBy("metric").agg(F.min("value").alias("l0"), F.max("value").alias("h0"))
-    with_ends = values.join(F.broadcast(ends), "metric")
+    with_ends = values.join(small(ends), "metric")
     inner = with_ends.groupBy("metric").agg(F.count_if(v == F.col("l0")).alias("nl"), F.count_if(v == F.col("h0")).alias("nh"), F.min(F.when(v > F.col("l0"), v)).alias("l1"), F.max(F.when(v < F.col("h0"), v)).alias("h1"))
     lo = F.when((v == F.col("l0")) & (F.col("nl") == 1), F.col("l1")).otherwise(F.col("l0"))
     hi = F.when((v == F.col("h0")) & (F.col("nh") == 1), F.col("h1")).otherwise(F.col("h0"))
-    return with_ends.join(F.broadcast(inner), "metric").select("city", "metric", "value", lo.alias("lo"), hi.alias("hi"))
+    return with_ends.join(small(inner), "metric").select("city", "metric", "value", lo.alias("lo"), hi.alias("hi"))
 
 
 def evaluated(values: DataFrame, bounds: DataFrame) -> DataFrame:
     """city, metric, value, lo, hi, score against saved bounds, not clipped."""
-    both = values.join(F.broadcast(metric_specs(values.sparkSession)), "metric").join(F.broadcast(bounds), "metric")
+    both = values.join(small(metric_specs(values.sparkSession)), "metric").join(small(bounds), "metric")
     return both.select("city", "pillar", "metric", "value", "lo", "hi", scaled(known(F.col("value")), F.col("lo"), F.col("hi"), F.col("direction"), "low").alias("score"))
 
 
@@ -179,7 +181,7 @@ def position(value: Column, lower: Column, upper: Column) -> Column:
 
 def interpretation(index: DataFrame, reference: DataFrame) -> DataFrame:
     """city, position, mean_side, one column per pillar, and the sentences with the range, the mean and the pillar means."""
-    both = index.join(F.broadcast(reference))
+    both = index.join(small(reference))
     i, m = F.col("index_score"), F.col("index_mean")
     mean_side = F.when(i > m, "above").when(i < m, "below").when(i.isNotNull(), "equal to")
     own = [side(F.col(f"{p}_score"), F.col(f"{p}_mean")).alias(f"{p}_side") for p in PILLARS]

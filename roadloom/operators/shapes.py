@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import stored
+from roadloom.functions.frames import small, stored
 from roadloom.functions.geo import distance_to_segment
 from roadloom.functions.polygons import Polygon, parse_polygons, polygon_area, ring_area
 
@@ -431,7 +431,7 @@ def nearest_roads(points: DataFrame, roads: DataFrame, reach: float = 500.0, kee
     points = stored(points)
     roads = stored(roads.filter("ax is not null and ay is not null and bx is not null and by is not null"))
     done = stored(near_roads(points, roads, reach, keep))
-    pending = stored(points.join(F.broadcast(roads.select("city").distinct()), "city", "left_semi").join(done, ["city", *keep], "left_anti"))
+    pending = stored(points.join(small(roads.select("city").distinct()), "city", "left_semi").join(done, ["city", *keep], "left_anti"))
     found = [done]
     while not pending.isEmpty():
         reach *= 2

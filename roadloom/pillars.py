@@ -18,7 +18,7 @@ EFFICIENCY = ("global_efficiency", "average_shortest_path", "circuity")
 
 def largest(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of each city's largest component."""
-    members = stored(network.within_largest(network.components(links, nodes)))
+    members = stored(network.within_largest(stored(network.components(links, nodes))))
     return members, stored(network.induced(links, members))
 
 

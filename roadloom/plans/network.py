@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadloom import pillars
 from roadloom.functions import geo
 from roadloom.functions.defaults import SEED
-from roadloom.functions.frames import located, removed, shared_folder, spread, stored, table
+from roadloom.functions.frames import located, removed, shared_folder, small, spread, stored, table
 from roadloom.functions.stats import pilot_size
 from roadloom.operators import blocks, features, grid, metrics, network, paths, sampling, scoring, shapes, spatial
 from roadloom.streaming import cells as streaming
@@ -135,7 +135,7 @@ def truncate_graph(spark, d):
     """Edges with an end in the western half of their city's extent of nodes."""
     n = nodes(spark, d).filter(located())
     mid = n.groupBy("city").agg(((F.min("x") + F.max("x")) / 2).alias("mx"))
-    inside = n.join(F.broadcast(mid), "city").filter("x < mx").select("city", "node_id")
+    inside = n.join(small(mid), "city").filter("x < mx").select("city", "node_id")
     return network.truncated(edges(spark, d), inside).select("city", "u", "v", "edge_key")
 
 
@@ -260,7 +260,7 @@ def ci_fpc(spark, d):
     members, m = _lcc(spark, d)
     sizes = _sizes(members)
     c = metrics.closeness(paths.hop_sums(m, sampling.first_n(members, sizes)), sizes)
-    s = c.groupBy("city").agg(F.count("*").alias("n"), F.avg("closeness").alias("mean"), F.coalesce(F.stddev_samp("closeness"), F.lit(0.0)).alias("sd")).join(F.broadcast(sizes.select("city", "population")), "city")
+    s = c.groupBy("city").agg(F.count("*").alias("n"), F.avg("closeness").alias("mean"), F.coalesce(F.stddev_samp("closeness"), F.lit(0.0)).alias("sd")).join(small(sizes.select("city", "population")), "city")
     fpc = F.sqrt((F.col("population") - F.col("n")) / (F.col("population") - 1))
     return s.select("city", "population", "n", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), F.round(F.when(F.col("n") > 1, F.col("sd") / F.sqrt("n") * fpc), 12).alias("standard_error"))
 
@@ -308,7 +308,7 @@ def minmax_down(spark, d):
     """The same measures read as costs."""
     v = _metric_table(spark, d)
     span = v.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return v.join(F.broadcast(span), "metric").select("city", "metric", F.round(scoring.scaled(F.col("value"), F.col("lo"), F.col("hi"), -1, "high"), 6).alias("score"))
+    return v.join(small(span), "metric").select("city", "metric", F.round(scoring.scaled(F.col("value"), F.col("lo"), F.col("hi"), -1, "high"), 6).alias("score"))
 
 
 def minmax_degenerate(spark, d):
@@ -358,7 +358,7 @@ def evaluate_vs_reference(spark, d):
     """Every city against the range of the others alone: scores beyond 0 and 100 stay."""
     v = _metric_table(spark, d)
     specs = scoring.metric_specs(spark).select("metric", "direction")
-    span = scoring.ranges_of_others(v).join(F.broadcast(specs), "metric")
+    span = scoring.ranges_of_others(v).join(small(specs), "metric")
     return span.select("city", "metric", F.round(scoring.scaled(F.col("value"), F.col("lo"), F.col("hi"), F.col("direction"), "low"), 6).alias("score"))
 
 
@@ -510,7 +510,7 @@ def local_metres(spark, d):
     n = nodes(spark, d).select("city", "node_id", lon.alias("lon"), lat.alias("lat"))
     mean = n.groupBy("city").agg(F.avg("lon").alias("mlon"), F.avg("lat").alias("mlat"))
     lx, ly = geo.to_local_metres(F.col("lon"), F.col("lat"), F.col("mlon"), F.col("mlat"))
-    return n.join(F.broadcast(mean), "city").select("city", "node_id", F.round(lx, 3).alias("lx"), F.round(ly, 3).alias("ly"))
+    return n.join(small(mean), "city").select("city", "node_id", F.round(lx, 3).alias("lx"), F.round(ly, 3).alias("ly"))
 
 
 def extraction_envelope(spark, d):

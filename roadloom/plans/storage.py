@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadloom import pillars
 from roadloom.functions import defaults, geo, texts
-from roadloom.functions.frames import located, removed, shared_folder, stored, table
+from roadloom.functions.frames import located, removed, shared_folder, small, stored, table
 from roadloom.functions.stats import t_quantile
 from roadloom.operators import features, grid, metrics, network, paths, sampling, scoring, shapes
 from roadloom.plans import network as plans
@@ -194,7 +194,7 @@ def line_clip(spark, d):
     size = n.filter(located()).groupBy("city").agg(*[f(c).alias(f"{m}{c}") for c in "xy" for m, f in (("l", F.min), ("h", F.max))])
     part = lambda a, b, t: (F.col(a) + (F.col(b) - F.col(a)) * t)
     boxes = size.select("city", part("lx", "hx", 0.25).alias("lx"), part("ly", "hy", 0.25).alias("ly"), part("lx", "hx", 0.75).alias("hx"), part("ly", "hy", 0.75).alias("hy"))
-    cut = features.clipped_lines(roads, F.broadcast(boxes))
+    cut = features.clipped_lines(roads, small(boxes))
     return cut.groupBy("city").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), 2).alias("length_m"))
 
 
@@ -237,7 +237,7 @@ def landuse_cells(spark, d):
     """How many built-up cells a land-use polygon touches: every third footprint stands for one."""
     f = _wkt(spark, d).filter(F.pmod("polygon_id", F.lit(3)) == 0)
     limits = plans._limits(spark, d).select("city", F.round(F.col("x0") / 500).cast("int").alias("ox"), F.round(F.col("y0") / 500).cast("int").alias("oy"))
-    built = plans._covered(spark, d).filter("built_up").join(F.broadcast(limits), "city").select("city", (F.col("col") + F.col("ox")).alias("cx"), (F.col("row") + F.col("oy")).alias("cy"))
+    built = plans._covered(spark, d).filter("built_up").join(small(limits), "city").select("city", (F.col("col") + F.col("ox")).alias("cx"), (F.col("row") + F.col("oy")).alias("cy"))
     return features.cells_touched(f, built)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import located
+from roadloom.functions.frames import few, located
 
 GEOJSON = "type string, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 OSM_NODE = "_id bigint, _lat double, _lon double, tag array<struct<_k:string,_v:string>>"
@@ -199,6 +199,6 @@ def preflight(nodes: DataFrame, edges: DataFrame, extents: DataFrame, cities: li
     checks = {"nodes": (nodes, ("x", "y"), "no node with a position"), "edges": (edges, ("length",), "no edge with a length"), "extent": (extents, (), "")}
     for what, (df, needed, empty) in checks.items():
         usable = functools.reduce(operator.and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in needed if c in df.columns], F.lit(True))
-        have = {r.city: r.n for r in df.filter(F.col("city").isin(cities)).groupBy("city").agg(F.count_if(usable).alias("n")).collect()}
+        have = {r.city: r.n for r in few(df.filter(F.col("city").isin(cities)).groupBy("city").agg(F.count_if(usable).alias("n")))}
         problems += [f"{c}: no {what}" if c not in have else f"{c}: {empty}" for c in cities if not have.get(c)]
     return problems

@@ -77,3 +77,16 @@ def test_ranks_and_quantiles_over_range_partitions(spark):
     v = spark.createDataFrame([("a", "m", 1.0), ("b", "m", 1.0), ("c", "m", 5.0), ("d", "m", 9.0), ("a", "k", 2.0)], "city string, metric string, value double")
     others = {(r.city, r.metric): (r.lo, r.hi) for r in scoring.ranges_of_others(v).collect()}
     assert others == {("a", "m"): (1.0, 9.0), ("b", "m"): (1.0, 9.0), ("c", "m"): (1.0, 9.0), ("d", "m"): (1.0, 5.0), ("a", "k"): (None, None)}
+
+
+def test_small_tables_are_checked_before_they_are_sent(spark):
+    from roadloom.functions.frames import few, small
+
+    big, groups = spark.range(1000).selectExpr("id", "id % 10 as g"), spark.range(10).selectExpr("id as g", "id * 2 as v")
+    joined = big.join(small(groups, 10), "g")
+    assert joined.count() == 1000 and "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="too many"):
+        big.join(small(groups, 9), "g").collect()
+    assert len(few(groups, 10)) == 10
+    with pytest.raises(ValueError, match="too many"):
+        few(groups, 9)
