@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import spread, stored
+from roadloom.functions.frames import few, small, spread, stored
 from roadloom.llm.tokens import VOCABULARY, token_count
 
 SEED = 42
@@ -56,10 +56,8 @@ def rates(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total:
 def _plan(held: DataFrame, targets: DataFrame, total: float | None) -> DataFrame:
     """Per source: target, cap, documents, tokens and rate. One row per source is bounded by the table of targets."""
     wanted = targets.filter("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    sums = held.join(F.broadcast(wanted.select("source")), "source").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    rows = wanted.join(sums, "source", "left").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources have targets")
+    sums = held.join(small(wanted.select("source"), MOST_SOURCES), "source").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    rows = few(wanted.join(sums, "source", "left"), MOST_SOURCES)
     rate = rates({r.source: r.n_tokens or 0 for r in rows}, {r.source: (r.target_share, r.max_repeats) for r in rows}, total)
     plan = [(r.source, r.target_share, r.max_repeats, r.n_docs or 0, r.n_tokens or 0, rate.get(r.source, 0.0)) for r in rows]
     return held.sparkSession.createDataFrame(plan, "source string, target_share double, max_repeats int, source_docs bigint, source_tokens bigint, rate double")
@@ -71,7 +69,7 @@ def drawn(held: DataFrame, targets: DataFrame, total: float | None = None, seed:
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(2**53))
     whole = F.floor("rate").cast("int")
     copies = whole + (chance < F.col("rate") - whole).cast("int")
-    both = held.join(F.broadcast(plan.select("source", "rate")), "source")
+    both = held.join(small(plan.select("source", "rate"), MOST_SOURCES), "source")
     return both.select("doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0"), plan
 
 
@@ -87,4 +85,4 @@ def shares(held: DataFrame, targets: DataFrame, total: float | None = None, seed
     got = chosen.groupBy("source").agg(F.count("*").alias("docs_used"), F.sum("copies").alias("uses"), F.max("copies").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
     both = plan.join(got, "source", "left").na.fill(0, ["docs_used", "uses", "most_copies", "tokens"])
     whole = both.agg(F.sum("tokens").alias("all_tokens"))
-    return both.join(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")
+    return both.join(small(whole, 1)).withColumn("actual_share", F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")

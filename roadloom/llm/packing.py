@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import spread, stored
+from roadloom.functions.frames import small, spread, stored
 from roadloom.llm.tokens import VOCABULARY, counts
 
 PLACED = "spec_id int, container_id bigint, position int, doc_id bigint, piece int, token_start bigint, n_tokens bigint, n_loss bigint"
@@ -190,7 +190,7 @@ def report(placed: DataFrame, sizes: DataFrame, loss_share: float = LOSS_SHARE,
     c = F.col("capacity_tokens")
     most_loss, most_segments = F.greatest(F.lit(1), F.floor(F.lit(loss_share) * c)), F.greatest(F.lit(1), F.floor(F.lit(segments_per) * c))
     over_loss = F.col("l") > most_loss
-    both = each.join(F.broadcast(sizes.select("spec_id", "capacity_tokens").limit(1_001)), "spec_id")
+    both = each.join(small(sizes.select("spec_id", "capacity_tokens"), 1_000), "spec_id")
     out = both.groupBy("spec_id", "capacity_tokens").agg(
         F.count("*").alias("containers"),
         F.sum("t").alias("tokens"),
