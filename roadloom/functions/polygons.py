@@ -230,12 +230,108 @@ def trapezoids(part: Polygon) -> np.ndarray:
     return np.asarray(out, dtype=float).reshape(-1, 3, 2)
 
 
+def crossings(part: Polygon) -> dict[int, list[tuple[float, tuple]]]:
+    """Edge (counted over all rings) -> (place along it, point) of every point where it meets another edge other than in a common corner."""
+    a = np.concatenate(part)
+    b = np.concatenate([np.roll(r, -1, axis=0) for r in part])
+    d, found = b - a, {}
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    for i in range(len(a) - 1):
+        near = i + 1 + np.flatnonzero((low[i + 1 :] <= high[i]).all(axis=1) & (high[i + 1 :] >= low[i]).all(axis=1))
+        den = d[i, 0] * d[near, 1] - d[i, 1] * d[near, 0]
+        near, den = near[den != 0], den[den != 0]
+        off = a[near] - a[i]
+        t, u = (off[:, 0] * d[near, 1] - off[:, 1] * d[near, 0]) / den, (off[:, 0] * d[i, 1] - off[:, 1] * d[i, 0]) / den
+        for k in np.flatnonzero((t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)):
+            m, own, other = int(near[k]), float(t[k]), float(u[k])
+            ends = {tuple(v.tolist()) for v in (a[i], b[i])} & {tuple(v.tolist()) for v in (a[m], b[m])}
+            if ends:
+                continue  # a common corner
+            point = a[i] if own == 0 else b[i] if own == 1 else a[m] if other == 0 else b[m] if other == 1 else a[i] + own * d[i]
+            found.setdefault(i, []).append((own, tuple(point.tolist())))
+            found.setdefault(m, []).append((other, tuple(point.tolist())))
+    return found
+
+
+def untangled(part: Polygon) -> list[Polygon]:
+    """The even-odd inside of a part whose rings may cross, as parts whose rings don't.
+
+    All rings are cut where they meet; each closed walk falls into simple loops at the points it comes back to, and loops are
+    outer rings or holes by how many others hold them. Where the loops so found don't enclose the even-odd area (loops that
+    cross each other) or touch in a way no triangulation follows, the part comes as its triangles.
+    """
+    area = float(sum(abs(ring_area(t)) for t in trapezoids(part)))
+    loops, cuts, first = [], crossings(part), 0
+    for ring in part:
+        walk = [p for k, corner in enumerate(map(tuple, ring.tolist()), first) for p in (corner, *(q for _, q in sorted(cuts.get(k, ())) if q != corner))]
+        first += len(ring)
+        path: list[tuple] = []
+        place: dict[tuple, int] = {}
+        for p in [*walk, walk[0]]:
+            if p in place:
+                loop = path[place[p] :]
+                if len(loop) >= 3 and ring_area(np.asarray(loop)) != 0:
+                    loops.append(np.asarray(loop))
+                for q in path[place[p] + 1 :]:
+                    del place[q]
+                del path[place[p] + 1 :]
+            else:
+                place[p] = len(path)
+                path.append(p)
+    loops.sort(key=lambda r: -abs(ring_area(r)))
+    inner = [_inner_point(r) for r in loops]
+    depth = [sum(j != k and abs(ring_area(r)) > abs(ring_area(loops[k])) and bool(_odd(r, inner[k])) for j, r in enumerate(loops)) for k in range(len(loops))]
+    parts: dict[int, Polygon] = {}
+    for k, ring in enumerate(loops):
+        if depth[k] % 2 == 0:
+            parts[k] = [ring]
+        else:
+            owner = max((j for j in parts if _odd(loops[j], inner[k])), key=lambda j: depth[j], default=None)
+            if owner is not None:
+                parts[owner].append(ring)
+    made = list(parts.values())
+    if math.isclose(sum(map(polygon_area, made)), area, rel_tol=1e-9, abs_tol=1e-6) and all(map(is_simple, made)):
+        return made
+    return [[t] for t in trapezoids(part) if ring_area(t) != 0]
+
+
+def is_simple(part: Polygon) -> bool:
+    """Its rings don't cross, and a triangulation covers it."""
+    if crossings(part):
+        return False
+    try:
+        triangulate(part)
+    except ValueError:
+        return False
+    return True
+
+
+def _odd(ring: Ring, p: tuple[float, float]) -> bool:
+    (ax, ay), (bx, by) = ring.T, np.roll(ring, -1, axis=0).T
+    cut = (ay > p[1]) != (by > p[1])
+    return bool(np.count_nonzero(ax[cut] + (p[1] - ay[cut]) * (bx[cut] - ax[cut]) / (by[cut] - ay[cut]) > p[0]) % 2)
+
+
+def _inner_point(ring: Ring) -> tuple[float, float]:
+    """A point within a simple ring: in the middle of the widest stretch halfway between its two lowest heights."""
+    ys = np.unique(ring[:, 1])
+    best = (-1.0, (0.0, 0.0))
+    for lo, hi in zip(ys[:-1][:8], ys[1:][:8]):
+        y = (lo + hi) / 2
+        (ax, ay), (bx, by) = ring.T, np.roll(ring, -1, axis=0).T
+        cut = (ay > y) != (by > y)
+        xs = np.sort(ax[cut] + (y - ay[cut]) * (bx[cut] - ax[cut]) / (by[cut] - ay[cut]))
+        for l, r in zip(xs[::2], xs[1::2]):
+            best = max(best, (float((r - l) * (hi - lo)), (float((l + r) / 2), float(y))))
+    return best[1]
+
+
 def region_triangles(text: str | None) -> np.ndarray:
     """All triangles of a geometry text; parts whose rings cross count by the even-odd rule."""
     found = []
     for part in parse_polygons(text):
         try:
-            found.append(triangulate(part))
+            found.append(trapezoids(part) if crossings(part) else triangulate(part))
         except ValueError:
             found.append(trapezoids(part))
     return np.concatenate(found) if found else np.empty((0, 3, 2))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.frames import small, stored
 from roadloom.functions.geo import distance_to_segment
-from roadloom.functions.polygons import Polygon, parse_polygons, polygon_area, ring_area
+from roadloom.functions.polygons import Polygon, crossings, is_simple, parse_polygons, polygon_area, ring_area, untangled
 
 
 def centroid(parts: list[Polygon]) -> tuple[float, float] | None:
@@ -43,8 +43,15 @@ def to_wkt(parts: list[Polygon]) -> str:
 def repaired(parts: list[Polygon]) -> list[Polygon]:
     """Outer rings counterclockwise, holes clockwise, repeated corners and spikes dropped, parts and holes without area left out.
 
-    Rings that cross themselves keep their corners; membership then follows the even-odd rule (see polygons.region_triangles).
+    A part that no triangulation covers (its rings cross) is untangled: its even-odd inside, in parts whose rings don't cross.
     """
+    out = []
+    for part in _tidied(parts):
+        out += [part] if is_simple(part) else _tidied(untangled(part))
+    return out
+
+
+def _tidied(parts: list[Polygon]) -> list[Polygon]:
     out = []
     for part in parts:
         rings = []
@@ -61,7 +68,7 @@ def repaired(parts: list[Polygon]) -> list[Polygon]:
                         del points[i]
                         changed = True
                         break
-            if len(points) < 3 or ring_area(np.asarray(points)) == 0:
+            if len(points) < 3 or ring_area(np.asarray(points)) == 0 and not crossings([np.asarray(points)]):
                 if k == 0:
                     break
                 continue

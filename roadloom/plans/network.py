@@ -483,18 +483,20 @@ SRID = {"Chandigarh": 32643, "Jaipur": 32643, "Pune": 32643, "Kolkata": 32645, "
 
 
 def _srid():
-    return F.create_map(*[x for c, s in SRID.items() for x in (F.lit(c), F.lit(s))])[F.col("city")]
+    """The zone of the row's city; a city without a known zone fails the job rather than being left out."""
+    zone = F.try_element_at(F.create_map(*[x for c, s in SRID.items() for x in (F.lit(c), F.lit(s))]), F.col("city"))
+    return F.coalesce(zone, F.raise_error(F.concat(F.lit("no UTM zone is known for "), F.col("city"))).cast("int"))
 
 
 def utm_inverse(spark, d):
     lon, lat = geo.from_utm(F.col("x"), F.col("y"), F.col("srid"))
-    return nodes(spark, d).filter(located()).withColumn("srid", _srid()).filter("srid is not null").select("city", "node_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+    return nodes(spark, d).filter(located()).withColumn("srid", _srid()).select("city", "node_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
 def utm_round_trip(spark, d):
     """Largest error in metres of going to degrees and back, in millimetres rounded."""
     lon, lat = geo.from_utm(F.col("x"), F.col("y"), F.col("srid"))
-    n = nodes(spark, d).filter(located()).withColumn("srid", _srid()).filter("srid is not null").select("city", "x", "y", "srid", lon.alias("lon"), lat.alias("lat"))
+    n = nodes(spark, d).filter(located()).withColumn("srid", _srid()).select("city", "x", "y", "srid", lon.alias("lon"), lat.alias("lat"))
     ux, uy = geo.to_utm(F.col("lon"), F.col("lat"), F.col("srid"))
     return n.groupBy("city").agg(F.count("*").alias("n"), F.round(F.max(F.hypot(ux - F.col("x"), uy - F.col("y"))), 3).alias("worst_m"))
 
@@ -515,7 +517,7 @@ def local_metres(spark, d):
 
 def extraction_envelope(spark, d):
     """Squares of 50 km about the centres, in degrees."""
-    c = _centers(spark, d).withColumn("srid", _srid()).filter("srid is not null")
+    c = _centers(spark, d).withColumn("srid", _srid())
     lon, lat = geo.from_utm(F.col("x"), F.col("y"), F.col("srid"))
     west, south, east, north = geo.envelope(lon, lat)
     return c.select("city", F.round(west, 7).alias("west"), F.round(south, 7).alias("south"), F.round(east, 7).alias("east"), F.round(north, 7).alias("north"))

@@ -215,7 +215,7 @@ def _wkt(spark, d) -> DataFrame:
 
 def building_load(spark, d):
     """Footprints given in degrees, cleaned, projected back and measured."""
-    f = plans.footprints(spark, d).withColumn("srid", plans._srid()).filter("srid is not null")
+    f = plans.footprints(spark, d).withColumn("srid", plans._srid())
     sides = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in enumerate((("lx", "ly"), ("hx", "ly"), ("hx", "hy"), ("lx", "hy")))]))
     c = f.select("city", "polygon_id", "srid", sides.alias("c"))
     lon, lat = geo.from_utm(F.col("c.x"), F.col("c.y"), F.col("srid"))

@@ -109,3 +109,49 @@ def test_saved_relations(spark):
     got = shapes.relation_polygons(members.drop("tags")).first()
     assert got.relation_id == 3 and got.area_deg2 == 8 and got.problem is None
     assert np.isclose(features.circle_wkt(0, 0, 1).count(","), 64)
+
+
+def test_pbf_written_and_cut_by_a_polygon(spark, tmp_path):
+    rows = [("node", k, 10.0 + k / 100, 70.0 + k / 50, {"highway": "stop"} if k == 3 else None, None) for k in range(20)] + [("way", 100 + k, None, None, {"building": "yes", "name": f"ä{k}"}, [k, k + 1, k + 2]) for k in range(0, 18, 4)]
+    df = spark.createDataFrame(rows, "kind string, id bigint, lat double, lon double, tags map<string,string>, refs array<bigint>").repartition(3)
+    paths = pbf.write_pbf(df, str(tmp_path / "out"), block=4)
+    back = pbf.read_pbf(spark, *paths)
+    got = {(r.kind, r.id): r for r in back.collect()}
+    assert len(got) == len(rows) and got["way", 104].refs == [4, 5, 6] and got["way", 104].tags == {"building": "yes", "name": "ä4"} and got["node", 3].tags == {"highway": "stop"}
+    assert all(abs(got["node", k].lat - (10 + k / 100)) < 1e-7 and abs(got["node", k].lon - (70 + k / 50)) < 1e-7 for k in range(20))
+    region = spark.createDataFrame([(1, "POLYGON ((69.99 9.99, 70.05 9.99, 70.05 10.03, 69.99 10.03, 69.99 9.99))")], "region_id bigint, geometry string")
+    cut = {(r.kind, r.id) for r in pbf.within_regions(back, region).collect()}
+    assert cut == {("node", 0), ("node", 1), ("node", 2), ("way", 100)}
+
+
+def test_query_servers_fail_over(spark):
+    from roadloom.sources import overpass
+
+    asked, slept = [], []
+    answer = '{"elements": [{"type": "relation", "id": 7, "tags": {"boundary": "administrative"}, "members": [{"type": "way", "ref": 1, "role": "outer", "geometry": [{"lat": 0, "lon": 0}, {"lat": 0, "lon": 1}, {"lat": 1, "lon": 1}, {"lat": 0, "lon": 0}]}]}]}'
+
+    def transport(endpoint, query):
+        asked.append((endpoint, query))
+        if endpoint == "bad" or len(asked) == 3:
+            raise OSError("no route")
+        return answer
+
+    got = overpass.relations(spark, [7], ["bad", "good"], transport, tries=2, pause=5.0, sleep=slept.append)
+    assert [e for e, _ in asked] == ["bad", "bad", "good", "good"] and slept == [5.0, 10.0, 5.0] and "relation(7)" in asked[0][1]
+    assert shapes.relation_polygons(got).first().area_deg2 == 0.5
+    with pytest.raises(ConnectionError, match="bad, try 2"):
+        overpass.fetched("q", ["bad"], transport)
+    assert overpass.area_query([(1.0, 2.0), (3.0, 4.0)], {"building": None, "landuse": "farm"}) == '[out:json][timeout:300];(nwr["building"](poly:"2.0 1.0 4.0 3.0");nwr["landuse"="farm"](poly:"2.0 1.0 4.0 3.0"););out geom;'
+
+
+def test_building_load(spark):
+    from roadloom.operators import features as f
+
+    square = lambda lon, lat, s=0.001: f"POLYGON (({lon} {lat}, {lon + s} {lat}, {lon + s} {lat + s}, {lon} {lat + s}, {lon} {lat}))"
+    raw = spark.createDataFrame([("A", 1, square(75.0, 20.0)), ("A", 2, None), ("A", 3, "POINT (75 20)"), ("A", 4, "POLYGON ((75 20, 75 20, 75 20))"), (None, 5, square(75.0, 20.0)), ("Z", 6, square(75.0, 20.0))], "city string, polygon_id bigint, geometry string")
+    centers = spark.createDataFrame([("A", 500000.0, 2211500.0)], "city string, x double, y double")
+    zones = spark.createDataFrame([("A", 32643)], "city string, srid int")
+    rows = f.load_buildings(raw, centers, zones).collect()
+    assert [(r.city, r.polygon_id) for r in rows] == [("A", 1)] and abs(rows[0].area_m2 - 111.32 * 0.9997 * 111.32 * math.cos(math.radians(20.0005))) < 120
+    with pytest.raises(ValueError, match="far"):
+        f.load_buildings(raw, centers.withColumn("y", F.lit(0.0)), zones)

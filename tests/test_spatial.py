@@ -181,3 +181,29 @@ def test_administrative_kinds(spark):
     kind, reason = shapes.administrative_kind(df.tags)
     got = {r.k: r for r in df.select("k", kind.alias("kind"), reason.alias("reason")).collect()}
     assert [got[k].kind for k in range(len(cases))] == [w for _, w in cases] and all(r.reason for r in got.values())
+
+
+def test_crossing_rings_are_untangled():
+    bow = shapes.repaired(P.parse_polygons("POLYGON ((0 0, 4 4, 4 0, 0 4, 0 0))"))
+    assert sorted(P.polygon_area(p) for p in bow) == [4, 4]
+    rnd = np.random.default_rng(2)
+    for _ in range(40):
+        part = [rnd.uniform(0, 10, (int(rnd.integers(4, 9)), 2))]
+        want = sum(abs(P.ring_area(t)) for t in P.trapezoids(part))
+        got = shapes.repaired([part])
+        assert np.isclose(sum(map(P.polygon_area, got)), want) and all(map(P.is_simple, got))
+    holed = P.parse_polygons("POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))")
+    assert shapes.repaired(holed)[0][0].tolist() == holed[0][0].tolist() and P.polygon_area(shapes.repaired(holed)[0]) == 77
+
+
+def test_dissolved_cells(spark):
+    from roadloom.operators import grid
+
+    held = [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2), (3, 3), (7, 7)]
+    parts = grid.trace(*(np.array(v) for v in zip(*held)))
+    assert [len(p) for p in parts] == [2, 1, 1] and sum(map(P.polygon_area, parts)) == len(held)
+    cells = spark.createDataFrame([("A", r, c) for r, c in held] * 2 + [("B", 0, 0)], "city string, row int, col int")
+    limits = spark.createDataFrame([("A", 1000.0, 2000.0), ("B", 0.0, 0.0)], "city string, x0 double, y0 double")
+    got = {r.city: P.parse_polygons(r.geometry) for r in grid.dissolved(cells, limits).collect()}
+    assert sum(map(P.polygon_area, got["A"])) == len(held) * 250_000 and got["A"][0][0].min(axis=0).tolist() == [1000.0, 2000.0]
+    assert grid.dissolved(cells.limit(0), limits).collect() == []
