@@ -10,7 +10,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,10 +76,26 @@ MOST_GROUPS = 100_000
 
 
 def small(df: DataFrame, most: int = MOST_GROUPS) -> DataFrame:
-    """df for a broadcast join. The job fails, rather than sending more or losing rows, if df has more than `most` rows."""
-    counted = df.limit(most + 1).withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    held = counted.filter(F.when(F.col("__rows") <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} groups: too many to send to all executors")).cast("boolean")))
-    return F.broadcast(held.drop("__rows"))
+    """df for a broadcast join. The job fails, rather than sending more or losing rows, if df has more than `most` rows.
+
+    The rows of a local table (made by local()) are counted at once; of any other they are counted as they are gathered.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() == "LocalRelation":
+        if plan.data().size() > most:
+            raise ValueError(f"more than {most} groups: too many to send to all executors")
+        return F.broadcast(df)
+    numbered = df.coalesce(1).withColumn("__row", F.monotonically_increasing_id())  # no shuffle: a broadcast gathers the rows anyway
+    held = numbered.filter(F.when(F.col("__row") < most, True).otherwise(F.raise_error(F.lit(f"more than {most} groups: too many to send to all executors")).cast("boolean")))
+    return F.broadcast(held.drop("__row"))
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that the driver holds, known to the optimizer as such: reading it needs no job."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]))
 
 
 def few(df: DataFrame, most: int = MOST_GROUPS) -> list[Row]:

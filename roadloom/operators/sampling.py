@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.defaults import CONFIDENCE, PILOT_FRACTION, PRECISION, SEED
-from roadloom.functions.frames import few, small, stored
+from roadloom.functions.frames import few, local, small, stored
 from roadloom.functions.stats import interval, pilot_size, required_by_critical_moments, required_by_size
 
 # A linear congruence over 31 bits that SQL engines can follow.
@@ -45,7 +45,7 @@ def first_n(nodes: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
 def populations(nodes: DataFrame, size: Callable[[int], int]) -> DataFrame:
     """city, population, n: one row per city, n by the rule."""
     rows = few(nodes.groupBy("city").agg(F.count("*").alias("population")))
-    return nodes.sparkSession.createDataFrame([(r.city, r.population, int(size(r.population))) for r in rows], "city string, population bigint, n bigint")
+    return local(nodes.sparkSession, [(r.city, r.population, int(size(r.population))) for r in rows], "city string, population bigint, n bigint")
 
 
 def pilot(nodes: DataFrame, fraction: float = PILOT_FRACTION, seed: int = SEED) -> DataFrame:
@@ -82,7 +82,7 @@ def adaptive(nodes: DataFrame, measure: Callable[[DataFrame], DataFrame], column
             else:
                 sizes.append(r.population if n < 2 else required_by_critical_moments(r.population, r.n, mean, sd, precision, confidence))
         need.append((r.city, r.population, min(max(*sizes, r.n), r.population), r.n))
-    final = spark.createDataFrame(need, "city string, population bigint, n bigint, pilot bigint")
+    final = local(spark, need, "city string, population bigint, n bigint, pilot bigint")
     rest = first_n(nodes, final.drop("pilot"), seed).join(first, ["city", "node_id"], "left_anti")
     rows = stored(done.unionByName(measure(rest)))
     out = []
@@ -91,4 +91,4 @@ def adaptive(nodes: DataFrame, measure: Callable[[DataFrame], DataFrame], column
             n, mean, sd = r[f"{c}_n"] or 0, r[f"{c}_mean"], r[f"{c}_sd"] or 0.0
             ci = interval(r.population, n, mean or 0.0, sd, confidence)
             out.append((r.city, c, r.population, r.pilot, r.n, n, mean, sd, ci["standard_error"], ci["ci_lower"], ci["ci_upper"], ci["relative_margin"]))
-    return spark.createDataFrame(out, "city string, metric string, population bigint, pilot_size bigint, sample_size bigint, n_finite bigint, estimate double, sd double, standard_error double, ci_lower double, ci_upper double, relative_margin double")
+    return local(spark, out, "city string, metric string, population bigint, pilot_size bigint, sample_size bigint, n_finite bigint, estimate double, sd double, standard_error double, ci_lower double, ci_upper double, relative_margin double")

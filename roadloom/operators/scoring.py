@@ -13,7 +13,7 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.frames import small
+from roadloom.functions.frames import local, small
 
 # Metric -> (pillar, direction: 1 higher is better, -1 lower is better).
 METRICS = {
@@ -35,7 +35,7 @@ NAN_POLICY = {"connectivity": "propagate", "efficiency": "propagate", "hierarchy
 
 
 def metric_specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, p, d) for m, (p, d) in METRICS.items()], "metric string, pillar string, direction int")
+    return local(spark, [(m, p, d) for m, (p, d) in METRICS.items()], "metric string, pillar string, direction int")
 
 
 def known(value: Column) -> Column:
