@@ -223,7 +223,7 @@ def building_load(spark, d):
     zones = spark.createDataFrame(list(plans.SRID.items()), "city string, srid int")
     dirt = spark.createDataFrame([("Pune", -1, None), ("Pune", -2, "POINT (1 2)"), ("Pune", -3, "POLYGON EMPTY")], "city string, polygon_id bigint, geometry string")
     made = features.load_buildings(raw.select("city", "polygon_id", "geometry").unionByName(dirt), plans._centers(spark, d), zones)
-    return made.groupBy("city").agg(F.count("*").alias("n_buildings"), F.round(F.sum("area_m2") / 1e6, 5).alias("area_km2"))
+    return made.groupBy("city").agg(F.count("*").alias("n_buildings"), F.round(F.sum("area_m2") / 1e6, 6).alias("area_km2"))
 
 
 def building_place(spark, d):

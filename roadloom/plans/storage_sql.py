@@ -50,7 +50,7 @@ cl AS (SELECT b.city, source, CASE WHEN sum(hops) > 0 THEN (count(*) - 1) / sum(
 ORACLE = {
     "geojson_points": f"WITH {q._NODES} SELECT city, node_id, round(x, 3) AS x, round(y, 3) AS y FROM nd WHERE x IS NOT NULL AND y IS NOT NULL",
     "geojson_lines": f"{q._WITH}, {_ENDS} SELECT city, count(*) AS n_lines, round(sum(s), 2) AS straight_m FROM e GROUP BY city",
-    "extent_polygon": f"{_BUILT},\n{_FOUR} SELECT e.city, CAST(any_value(p.n) AS INT) AS parts, CAST(any_value(p.n) - count(*) + any_value(s.n) - coalesce(any_value(k.n), 0) AS INT) AS holes, round(count(*) * 250000.0, 1) AS area_m2, round(CAST(min(e.center_x) - 250 AS DOUBLE), 2) AS min_x, round(CAST(max(e.center_y) + 250 AS DOUBLE), 2) AS max_y FROM ext e JOIN pieces p USING (city) JOIN sides s USING (city) LEFT JOIN squares k USING (city) GROUP BY e.city",
+    "extent_polygon": f"{_BUILT},\n{_FOUR} SELECT e.city, CAST(any_value(p.n) AS INT) AS parts, CAST(any_value(p.n) - count(*) + any_value(s.n) - coalesce(any_value(k.n), 0) AS INT) AS holes, CAST(count(*) * 250000 AS DOUBLE) AS area_m2, round(CAST(min(e.center_x) - 250 AS DOUBLE), 2) AS min_x, round(CAST(max(e.center_y) + 250 AS DOUBLE), 2) AS max_y FROM ext e JOIN pieces p USING (city) JOIN sides s USING (city) LEFT JOIN squares k USING (city) GROUP BY e.city",
     "graphml_edges": f"{q._WITH} SELECT u, v, edge_key, round(length, 3) AS length, CASE WHEN regexp_full_match(highway, '[a-z_]+') THEN highway END AS highway FROM ed",
     "osm_roads": f"{q._WITH}, {_LL}, w AS (SELECT edge_id, u, v, highway, edge_id % 3 AS k FROM ed WHERE regexp_full_match(highway, '[a-z_]+')), s AS (SELECT edge_id, u, v, highway FROM w WHERE k <> 1 UNION ALL SELECT edge_id, v, u, highway FROM w WHERE k <> 0) SELECT edge_id AS way_id, s.u, s.v, round({_HAV}, 3) AS length, highway FROM s JOIN ll a ON a.node_id = s.u JOIN ll b ON b.node_id = s.v",
     "pbf_extract": f"{q._WITH}, {_LL}, hit AS (SELECT node_id FROM ll WHERE {_IN}), w AS (SELECT edge_id, highway FROM ed WHERE regexp_full_match(highway, '[a-z_]+') AND (u IN (SELECT node_id FROM hit) OR v IN (SELECT node_id FROM hit))) SELECT 'node' AS kind, count(*) AS n, CAST(0 AS BIGINT) AS n_primary FROM hit HAVING count(*) > 0 UNION ALL SELECT 'way', count(*), count(*) FILTER (highway = 'primary') FROM w HAVING count(*) > 0",
@@ -72,7 +72,7 @@ UNION ALL SELECT DISTINCT city, 'no edges', CAST(1 AS BIGINT) FROM nd WHERE city
     "boundary_audit": f"WITH {q._AREAS}, r AS (SELECT region_id AS relation_id, sum(CASE WHEN is_outer THEN a ELSE -a END) AS a, min(lx) FILTER (is_outer) AS lx, min(ly) FILTER (is_outer) AS ly, max(hx) FILTER (is_outer) AS hx, max(hy) FILTER (is_outer) AS hy FROM ra GROUP BY region_id) SELECT relation_id, {_KIND} AS kind, round(a / 1e6, 4) AS area_km2, printf('%.8f, %.8f, %.8f, %.8f', lx, ly, hx, hy) AS bbox, CAST(NULL AS VARCHAR) AS problem FROM r",
     "line_clip": f"{q._WITH}, {q._ROADS}, {_CLIP} SELECT city, count(*) AS n_lines, round(sum(l), 2) AS length_m FROM cut GROUP BY city",
     "coordinate_kind": f"WITH {q._NODES} SELECT city, min(x) >= -180 AND max(x) <= 180 AND min(y) >= -90 AND max(y) <= 90 AS nodes_in_degrees, true AS made_in_degrees FROM nd WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY city",
-    "building_load": f"WITH {q._NODES}, zone(city, srid) AS (VALUES {q._ZONES}) SELECT city, count(*) AS n_buildings, round(sum(pow(30 + node_id % 150, 2)) / 1e6, 5) AS area_km2 FROM nd JOIN zone USING (city) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY city",
+    "building_load": f"WITH {q._NODES}, zone(city, srid) AS (VALUES {q._ZONES}) SELECT city, count(*) AS n_buildings, round(sum(pow(30 + node_id % 150, 2)) / 1e6, 6) AS area_km2 FROM nd JOIN zone USING (city) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY city",
     "building_place": f"WITH {q._NODES}, w AS (SELECT city, x, y, pow(30 + node_id % 150, 2) AS a FROM nd WHERE x IS NOT NULL AND y IS NOT NULL) SELECT city, round(sqrt(pow(sum(x * a) / sum(a) - quantile_cont(x, 0.5), 2) + pow(sum(y * a) / sum(a) - quantile_cont(y, 0.5), 2)) / 1000, 6) AS distance_km FROM w GROUP BY city",
     "landuse_cells": f"{q._GRID}, third AS (SELECT DISTINCT city, cx, cy FROM fy WHERE node_id % 3 = 0 AND (least(hx, (cx + 1) * 500) - greatest(lx, cx * 500)) * (least(hy, (cy + 1) * 500) - greatest(ly, cy * 500)) > 1e-9) SELECT t.city, count(*) AS n_cells FROM third t JOIN lim l USING (city) JOIN bu ON bu.city = t.city AND bu.row = t.cy - l.oy AND bu.col = t.cx - l.ox GROUP BY t.city",
     "built_within": f"{_BUILT} SELECT city, round(sum(area) / 1e6, 6) AS built_up_km2 FROM ext GROUP BY city",

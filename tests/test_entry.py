@@ -25,7 +25,7 @@ def test_entry(spark, small):
     assert entry.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", ["p2_found", "edges_undirected", "components", "efficiency_mean", "interpretation", "extent_selection", "polygon_area", "road_class_parse", "closeness"])
+@pytest.mark.parametrize("name", ["p2_found", "edges_undirected", "components", "efficiency_mean", "interpretation", "extent_selection", "polygon_area", "road_class_parse", "closeness", "graph_simplify", "graph_simplify_directed", "articulation_bridges", "edge_betweenness", "required_n", "index_metrics", "alternative_extent", "extent_polygon", "osm_roads", "graphml_edges", "building_load", "relation_rings", "admin_classify", "p3_found"])
 def test_against_sql(spark, small, name):
     import duckdb
 
