@@ -135,6 +135,20 @@ def test_paths_against_brute_force(spark):
                 assert e[s].average_shortest_path is None and e[s].circuity is None
 
 
+def test_hop_distances_leave_a_task_in_pieces_and_are_not_stored(spark, monkeypatch):
+    n, m, _ = graph(spark, [(k, k + 1) for k in range(1, 40)], nodes=[*range(1, 41), 50])
+    made = []
+    monkeypatch.setattr(paths, "stored", lambda df: made.append(df.columns) or df)
+    monkeypatch.setattr(paths, "PIECE_ROWS", 7)
+    got = paths.hop_distances(m, n, size=128)
+    assert not any("target" in c for c in made)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan  # no group's rows are gathered
+    for _ in range(2):  # what isn't stored can be read again
+        rows = [(r.source, r.target, r.hops) for r in got.collect()]
+        assert sorted(rows) == sorted([(a, b, abs(a - b)) for a in range(1, 41) for b in range(1, 41)] + [(50, 50, 0)])
+
+
 def test_betweenness_of_a_path(spark):
     n, m, _ = graph(spark, [(1, 2), (2, 3), (3, 4), (4, 5)])
     got = {(r.lo, r.hi): r.betweenness for r in paths.edge_betweenness(network.simple_graph(m), n, n).collect()}
