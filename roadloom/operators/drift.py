@@ -22,11 +22,14 @@ Defined results:
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,15 +129,15 @@ class _File:
         self.numbers = {n: canonical(c) for n, c in self.cells.items()}
 
 
-#: Rows with one value (or values within the tolerance) that a row is compared with at most: those nearest in value and place.
+#: Rows of b that agree with a row in a column are listed one by one up to this number; beyond it the column is crowded for that row, and both meet by what rows have in common there (_match).
 BAND = 64
 
 
-def _candidates(a: _File, b: _File, within: float) -> dict[tuple[int, int], float]:
-    """(row of a, row of b) -> how much their common columns agree, of the rows that agree in any.
+def _candidates(a: _File, b: _File, within: float, crowded: dict[str, list[int]] | None = None) -> dict[tuple[int, int], float]:
+    """(row of a, row of b) -> how much their common columns agree, of the rows that agree in any; columns where more than BAND
+    rows of b agree with a row of a don't count for that row, which goes to crowded, by column.
 
-    Rows meet by an index of each column of b, not pair by pair. Of a value that more than BAND rows of b hold, a row meets
-    those around its own place, so that long files of few values stay linear and each row still meets its like.
+    Rows meet by an index of each column of b, not pair by pair, so that long files stay linear.
     """
     agree: dict[tuple[int, int], float] = {}
     for n in a.names:
@@ -145,33 +148,80 @@ def _candidates(a: _File, b: _File, within: float) -> dict[tuple[int, int], floa
         for j, cell in enumerate(b.cells[n]):
             if not blank(cell):
                 texts.setdefault(cell.strip().lower(), []).append(j)
-        told = 1.0 if len(set(map(str.lower, a.cells[n]))) > 1 else 0.05
+        told = _told(a, n)
         for i, (x, cell) in enumerate(zip(a.numbers[n], a.cells[n], strict=True)):
+            first = last = 0
             if x is not None:
                 lo, hi = sorted((x * (1 - within), x / (1 - within)))
                 first, last = bisect_left(numbers, (lo - 2e-12, -1)), bisect_right(numbers, (hi + 2e-12, len(b.rows)))
-                if last - first > BAND:
-                    at = bisect_left(numbers, (x, i))
-                    first, last = max(first, at - BAND // 2), min(last, at + BAND // 2)
-                for y, j in numbers[first:last]:
-                    if _close(x, y, within):
-                        agree[i, j] = agree.get((i, j), 0.0) + (1.0 if x not in (0.0, 1.0) else 0.05)
             held = texts.get(cell.strip().lower(), ()) if not blank(cell) else ()
-            if len(held) > BAND:
-                at = bisect_left(held, i)
-                held = held[max(0, at - BAND // 2) : at + BAND // 2]
+            if held and x is not None and b.numbers[n][held[0]] is not None:
+                held = ()  # numbers on both sides (a text's number is the same in all rows): they have met as such
+            if max(last - first, len(held)) > BAND:
+                if crowded is not None:
+                    crowded.setdefault(n, []).append(i)
+                continue
+            for y, j in numbers[first:last]:
+                if _close(x, y, within):
+                    agree[i, j] = agree.get((i, j), 0.0) + _weight(x)
             for j in held:
-                if x is None or b.numbers[n][j] is None:
-                    agree[i, j] = agree.get((i, j), 0.0) + told
+                agree[i, j] = agree.get((i, j), 0.0) + told
     return agree
 
 
+def _weight(x: float) -> float:
+    return 1.0 if x not in (0.0, 1.0) else 0.05
+
+
+def _told(a: _File, name: str) -> float:
+    return 1.0 if len(set(map(str.lower, a.cells[name]))) > 1 else 0.05
+
+
+class _Column:
+    """A common column as arrays: by how much rows of a and of b agree in it."""
+
+    def __init__(self, a: _File, b: _File, name: str, within: float, crowded: list[int]):
+        self.within, self.told = within, _told(a, name)
+        self.x, self.y = (np.array([np.nan if v is None else v for v in f.numbers[name]], dtype=float) for f in (a, b))
+        ids: dict[str, int] = {}
+        self.p, self.q = (np.array([-1 if blank(c) else ids.setdefault(c.strip().lower(), len(ids)) for c in f.cells[name]], dtype=np.int64) for f in (a, b))
+        self.crowded = np.zeros(len(self.x), dtype=bool)
+        self.crowded[crowded] = True
+
+    def agree(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        x, y, p = self.x[i], self.y[j], self.p[i]
+        with np.errstate(invalid="ignore", over="ignore"):
+            near = (np.abs(x - y) <= self.within * np.maximum(np.abs(x), np.abs(y)) + 1e-12) & np.isfinite(x) & np.isfinite(y)
+        same = (p == self.q[j]) & (p >= 0) & (np.isnan(x) | np.isnan(y))
+        return np.where(near, np.where((x == 0.0) | (x == 1.0), 0.05, 1.0), np.where(same, self.told, 0.0))
+
+    def apart(self) -> np.ndarray:
+        """A number per row of b, the same for equal cells, -1 for those that no crowded row agrees with."""
+        rows = np.flatnonzero(self.crowded)
+        _, j = np.unique(self.q, return_index=True)
+        met_ids = np.zeros(self.q.max(initial=0) + 1, dtype=bool)
+        for i in rows[np.unique(self.p[rows], return_index=True)[1]].tolist():
+            met_ids[self.q[j[self.agree(i, j) > 0]]] = True
+        return np.where((self.q >= 0) & met_ids[self.q], self.q, -1)
+
+
+def _classes(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each class, the class of each row) of the rows that are equal in all columns."""
+    _, first, own = np.unique(np.stack(rows, axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, own.reshape(-1)
+
+
 def _shared_rows(a: _File, b: _File, within: float) -> list[tuple[int, int]]:
-    """Rows of both files that are the same record: matched by how many of the common columns agree."""
+    """Rows of both files that are the same record: matched by how many of the common columns agree, then by how near their
+    places are. All rows that agree in any column may meet, however many hold a value."""
+    crowded: dict[str, list[int]] = {}
+    agree = _candidates(a, b, within, crowded)
+    if crowded:
+        return _match(a, b, within, list(agree), crowded)
     taken_a: set[int] = set()
     taken_b: set[int] = set()
     pairs = []
-    for _, _, i, j in sorted((-agree, abs(i - j), i, j) for (i, j), agree in _candidates(a, b, within).items()):
+    for _, _, i, j in sorted((-agree, abs(i - j), i, j) for (i, j), agree in agree.items()):
         if i not in taken_a and j not in taken_b:
             taken_a.add(i)
             taken_b.add(j)
@@ -179,6 +229,117 @@ def _shared_rows(a: _File, b: _File, within: float) -> list[tuple[int, int]]:
     return pairs
 
 
+def _match(a: _File, b: _File, within: float, listed: list[tuple[int, int]], crowded: dict[str, list[int]]) -> list[tuple[int, int]]:
+    """The matching of _shared_rows() where columns are crowded, without a list of all pairs.
+
+    Rows of a with the same cells in their crowded columns are one class, and so are rows of b with the same cells there: two
+    rows that aren't listed agree as their classes do. Agreements are gone through from the highest. At each, the nearest two
+    rows of matching classes are neighbours among the rows left, so every row offers only the nearest row on either side, and
+    nothing beyond the next row of its own class, which would be nearer. Memory stays linear in the rows; time does in the
+    product of the rows of one file and the classes of the other, at most.
+    """
+    columns = [_Column(a, b, n, within, crowded.get(n, [])) for n in a.names if n in b.cells]
+    i, j = (np.array([pair[k] for pair in listed], dtype=np.int64) for k in (0, 1))
+    total = np.zeros(len(listed))
+    for c in columns:
+        total += c.agree(i, j)
+    order = np.lexsort((j, i, np.abs(i - j), -total))
+    listed = list(zip(total[order].tolist(), i[order].tolist(), j[order].tolist()))
+
+    full = [c for c in columns if c.crowded.any()]
+    apart = [c.apart() for c in full]
+    some_a, class_a = _classes([np.where(c.crowded, c.p, -1) for c in full])
+    some_b, class_b = _classes(apart)
+    free_a, free_b, left_b = np.ones(len(class_a), dtype=bool), np.ones(len(class_b), dtype=bool), np.bincount(class_b)
+
+    @functools.lru_cache(maxsize=max(1, 4_000_000 // len(some_b)))
+    def score(k: int) -> np.ndarray:
+        """How much class k of a agrees with each of b."""
+        out, row = np.zeros(len(some_b)), some_a[k]
+        for c, own in zip(full, apart):
+            if c.crowded[row]:
+                out += np.where(own[some_b] >= 0, c.agree(row, some_b), 0.0)
+        return out
+
+    before, after = np.full(len(class_a), -1), np.full(len(class_a), len(class_a) + len(class_b))  # the next rows left of the class
+    by_class = np.lexsort((np.arange(len(class_a)), class_a))
+    beside = class_a[by_class[1:]] == class_a[by_class[:-1]]
+    before[by_class[1:][beside]], after[by_class[:-1][beside]] = by_class[:-1][beside], by_class[1:][beside]
+
+    def nearest(i: int, start: int, right: bool, level: float) -> int | None:
+        """The first row of b left from start on, short of the next row of i's class, that agrees with i as the level says."""
+        end, wide = (min(int(after[i]), len(class_b)), 64) if right else (int(before[i]), 64)
+        while start < end if right else start > end:
+            stop = min(start + wide, end) if right else max(start - wide, end)
+            at = slice(start, stop) if right else slice(stop + 1, start + 1)
+            found = np.flatnonzero(free_b[at] & (score(int(class_a[i]))[class_b[at]] == level))
+            if len(found):
+                return at.start + int(found[0 if right else -1])
+            start, wide = stop, 2 * wide
+        return None
+
+    pairs, at = [], 0
+    rows_of, waiting = np.split(by_class, np.flatnonzero(~beside) + 1), []
+
+    def put_back(k: int) -> None:
+        top = np.max(score(k)[left_b > 0], initial=0.0)
+        if top > 0 and free_a[rows_of[k]].any():
+            heappush(waiting, (-float(top), k))
+
+    for k in range(len(some_a)):
+        put_back(k)
+    while waiting or at < len(listed):
+        level = max(-waiting[0][0] if waiting else 0.0, listed[at][0] if at < len(listed) else 0.0)
+        heap: list[tuple] = []
+        while at < len(listed) and listed[at][0] == level:
+            _, i, j = listed[at]
+            heap.append((abs(i - j), i, j, None))
+            at += 1
+        active = []
+        while waiting and -waiting[0][0] == level:
+            _, k = heappop(waiting)
+            if np.max(score(k)[left_b > 0], initial=0.0) == level:
+                active.append(k)
+            else:
+                put_back(k)
+        heapify(heap)
+
+        def offer(i: int, start: int, right: bool) -> None:
+            j = nearest(i, start, right, level)
+            if j is not None:
+                heappush(heap, (abs(i - j), i, j, right))
+
+        for k in active:
+            for i in rows_of[k][free_a[rows_of[k]]].tolist():
+                offer(i, i, True)
+                offer(i, min(i, len(class_b)) - 1, False)
+        on = set(active)
+        while heap:
+            _, i, j, right = heappop(heap)
+            if not free_a[i]:
+                continue
+            if not free_b[j]:
+                if right is not None:
+                    offer(i, j + 1 if right else j - 1, right)
+                continue
+            free_a[i] = free_b[j] = False
+            left_b[class_b[j]] -= 1
+            pairs.append((i, j))
+            left, next_ = int(before[i]), int(after[i])
+            if left >= 0:
+                after[left] = next_
+            if next_ < len(class_a):
+                before[next_] = left
+            if int(class_a[i]) in on:
+                if left >= 0:
+                    offer(left, i, True)
+                if next_ < len(class_a):
+                    offer(next_, min(i, len(class_b) - 1), False)
+        for k in active:
+            put_back(k)
+    return pairs
+
+
 def _agreement(a: _File, b: _File, old: str, new: str, rows: list[tuple[int, int]], within: float) -> float | None:
     """Share of the shared rows in which the two columns mean the same value; None if no row can tell."""
     told = same = 0

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from roadloom.operators import drift
@@ -108,3 +110,45 @@ def test_rows_meet_by_value_in_linear_time():
     one, other = drift._File(a), drift._File(b)
     assert len(drift._candidates(one, other, 0.04)) < 3000 * 2 * drift.BAND
     assert drift.renames(one, other) == [("old", "new")]
+
+
+def greedy(a, b, within=0.04):
+    """The matching of _shared_rows() over all pairs of rows, one by one."""
+    agree = {}
+    for n in a.names:
+        if n in b.cells:
+            told = 1.0 if len(set(map(str.lower, a.cells[n]))) > 1 else 0.05
+            for i, (x, p) in enumerate(zip(a.numbers[n], a.cells[n])):
+                for j, (y, q) in enumerate(zip(b.numbers[n], b.cells[n])):
+                    if x is not None and y is not None:
+                        same = drift._close(x, y, within) * (1.0 if x not in (0.0, 1.0) else 0.05)
+                    else:
+                        same = (not drift.blank(p) and p.strip().lower() == q.strip().lower()) * told
+                    if same:
+                        agree[i, j] = agree.get((i, j), 0.0) + same
+    pairs, left, right = [], set(), set()
+    for _, _, i, j in sorted((-v, abs(i - j), i, j) for (i, j), v in agree.items()):
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            pairs.append((i, j))
+    return pairs
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_rows_meet_exactly_however_many_hold_a_value(seed):
+    rnd = random.Random(seed)
+    kinds = ["", "x", "X ", "y", "5", "5%", "NA", "true", "0"]
+    column = [lambda: rnd.choice(kinds), lambda: rnd.choice("abc"), lambda: "same", lambda: f"{rnd.uniform(90, 110):.2f}", lambda: str(rnd.randint(-2, 2)), lambda: f"k{rnd.randint(0, 400)}", lambda: rnd.choice(["7", "u"]) if rnd.random() < 0.8 else f"{rnd.randint(0, 10**6)}"]
+    chosen = rnd.sample(column, rnd.randint(1, 5))
+    file = lambda n: drift._File(csv_text(",".join(["id", *(f"c{k}" for k in range(len(chosen)))]), *(",".join([f"r{rnd.random()}", *(f() for f in chosen)]) for _ in range(n))))
+    a, b = file(rnd.randint(20, 260)), file(rnd.randint(150, 260))
+    assert drift._shared_rows(a, b, 0.04) == greedy(a, b)
+
+
+def test_a_row_meets_its_like_beyond_any_band():
+    rows = [f"{'xy'[k % 2]},{k % 5 + 2},{'pq'[k % 3 == 0]}" for k in range(400)]
+    odd = "z,9,q"  # agrees in one crowded value with the rows near it, in all with one far away
+    a, b = drift._File(csv_text("kind,level,state", odd, *rows, *["z,9,p"] * 80)), drift._File(csv_text("kind,level,state", *rows, *["z,9,p"] * 80, odd))
+    assert (0, 480) in drift._shared_rows(a, b, 0.04)
+    assert drift._shared_rows(a, b, 0.04) == greedy(a, b)
