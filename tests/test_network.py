@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,44 @@ def test_hop_distances_leave_a_task_in_pieces_and_are_not_stored(spark, monkeypa
         assert sorted(rows) == sorted([(a, b, abs(a - b)) for a in range(1, 41) for b in range(1, 41)] + [(50, 50, 0)])
 
 
+def test_hop_distances_take_little_disk_when_written(spark, tmp_path):
+    rnd = random.Random(8)
+    pairs = [(0, k) for k in range(1, 200)] + sorted({tuple(sorted(rnd.sample(range(1, 1200), 2))) for _ in range(3000)})
+    n, m, _ = graph(spark, [(a * 1009 + 3_000_000_000, b * 1009 + 3_000_000_000) for a, b in pairs])
+    paths.hop_distances(m, n).write.parquet(str(tmp_path / "out"))
+    columns = [pq.read_table(f).column("target").to_numpy() for f in (tmp_path / "out").glob("*.parquet")]
+    rows = sum(map(len, columns))
+    assert rows > 1_200_000 and sum(int((c[1:] != c[:-1]).sum()) for c in columns) < rows / 20  # one value a row if a source comes after the other
+
+
+def test_hop_distances_by_blocks_parts_and_batches(spark, monkeypatch):
+    ids = list(range(1, 91))
+    pairs = [(k, k + 1) for k in range(1, 60)] + [(70, k) for k in range(71, 80)] + [(5, 40)]  # two parts of the graph; 61 to 69 and 80 on stand alone
+    n, m, _ = graph(spark, pairs, nodes=ids)
+    want = sorted((a, b, int(h)) for (a, b), h in floyd(ids, [(a, b, 1) for a, b in pairs]).items() if h < math.inf)
+    for block, task, tile in ((2**17, 2**26, 2**25), (7, 1, 1), (30, 300, 64 * 30)):
+        for name, value in (("BLOCK_TARGETS", block), ("TASK_ROWS", task), ("TILE_PAIRS", tile)):
+            monkeypatch.setattr(paths, name, value)
+        got = paths.hop_distances(m, n, size=5)
+        assert sorted((r.source, r.target, r.hops) for r in got.collect()) == want
+
+
+def test_search_from_many_sources_at_once():
+    rnd = np.random.default_rng(3)
+    grid = [(k, k + 1) for k in range(899) if k % 30 < 29] + [(k, k + 30) for k in range(870)]
+    for pairs in (grid, [(2000, k) for k in range(500)] + grid[::3], rnd.integers(0, 400, (500, 2)).tolist()):
+        lo, hi = np.asarray([p for p in pairs if p[0] != p[1]], dtype=np.int64).T
+        g = paths.Csr(lo, hi)
+        own, targets = rnd.integers(0, len(g.ids), 64), rnd.permutation(len(g.ids))[: len(g.ids) // 2]
+        for s in (own, own[:1], np.repeat(own[:3], 2)):
+            assert (g.hops_at(s, targets) == np.stack([g.hops(int(k))[targets] for k in s], axis=1)).all()
+
+
+def test_search_beyond_16_bits_of_hops():
+    at = np.arange(33_000)
+    assert (paths.Csr(at[:-1], at[1:]).hops_at(at[:1], at)[:, 0] == at).all()
+
+
 def test_betweenness_of_a_path(spark):
     n, m, _ = graph(spark, [(1, 2), (2, 3), (3, 4), (4, 5)])
     got = {(r.lo, r.hi): r.betweenness for r in paths.edge_betweenness(network.simple_graph(m), n, n).collect()}
